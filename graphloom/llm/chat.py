@@ -20,10 +20,6 @@ PART = 128
 FRAME_ROLES = ["system"]
 
 
-def _segment(role: Column, name: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>"), name, F.lit("\n"), text, F.lit("<|end|>\n"))
-
-
 def _head(speaker: Column, role: Column) -> Column:
     """What stands before a turn's text."""
     return (
