@@ -20,6 +20,12 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.toxicity import toxicity
 
@@ -32,6 +38,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.pii import pii_digests
 
@@ -39,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_chat_rotation, op5_toxicity, op6_quality, op10_pii]
+    own = [op1_secret_scan, op2_chat_rotation, op4_packing, op5_toxicity, op6_quality, op9_decontamination, op10_pii]
     return {f.__name__: f for f in own}
 
 
