@@ -11,14 +11,13 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import cache
-from itertools import chain
 
 import numpy as np
 
 from graphloom.llm._text import _powers, mix
 
-#: Pre-tokens that are kept encoded, at most twice as many in all.
-CACHE = 250_000
+#: Pre-tokens that are kept encoded, known by 64-bit hashes.
+CACHE = 1_500_000
 #: Characters that are cut and looked up at once.
 RUN = 1_000_000
 BOUNDARY = "\x00"
@@ -121,18 +120,36 @@ class Encoder:
             import tiktoken
 
             ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
-            self._tiktoken = tiktoken.Encoding("from-file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self._young: dict[str, list[int]] = {}
-        self._old: dict[str, list[int]] = {}
-
-    def _one(self, piece: str) -> list[int]:
-        found = self._old.get(piece)
-        if found is None:
-            found = self._tiktoken.encode_ordinary(piece)
-        if len(self._young) >= CACHE:
-            self._young, self._old = {}, self._young
-        self._young[piece] = found
-        return found
+            self._tiktoken = tiktoken.Encoding("many", pat_str=r"[^\x00]+|\x00", mergeable_ranks=ranks, special_tokens={})
+            self._single = tiktoken.Encoding("single", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            self._separator = ranks[BOUNDARY.encode()]
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is known of pre-tokens: sorted hashes, and for each a range of ``_ids``."""
+        self._known = np.zeros(0, np.uint64)
+        self._first, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, "<u4")
+
+    def _learn(self, value: np.ndarray, pieces: list[str]) -> None:
+        """Encode pre-tokens of new hashes (sorted) and merge them in."""
+        if len(self._known) + len(value) > CACHE:
+            self._forget()
+        plain = [p if BOUNDARY not in p else "" for p in pieces]
+        # One call encodes all: the separator stands between pre-tokens and is one id.
+        ids = np.asarray(self._tiktoken.encode_to_numpy(BOUNDARY.join(plain), disallowed_special=()), dtype="<u4")
+        cut = np.concatenate([[-1], np.flatnonzero(ids == self._separator), [len(ids)]])
+        first, size = cut[:-1] + 1, np.diff(cut) - 1
+        odd = [i for i, p in enumerate(pieces) if BOUNDARY in p]
+        for i in odd:
+            own = np.array(self._single.encode_ordinary(pieces[i]), dtype="<u4")
+            first[i], size[i] = len(ids), len(own)
+            ids = np.concatenate([ids, own])
+        at = np.searchsorted(self._known, value)
+        self._known = np.insert(self._known, at, value)
+        self._first = np.insert(self._first, at, first + len(self._ids))
+        self._size = np.insert(self._size, at, size)
+        self._ids = np.concatenate([self._ids, ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens; a special token's string is ordinary text.
@@ -166,24 +183,23 @@ class Encoder:
             return [b""] * len(texts)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         start, value = cuts(joined, ends[:-1])
-        _, first, which = np.unique(value, return_index=True, return_inverse=True)
-        begin, end = start[first].tolist(), np.append(start, len(joined))[first + 1].tolist()
-        known = self._young
-        ids = []
-        for a, b in zip(begin, end, strict=True):
-            piece = joined[a:b]
-            got = known.get(piece)
-            if got is None:
-                got = self._one(piece)
-                known = self._young
-            ids.append(got)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum()))
+        distinct, first, which = np.unique(value, return_index=True, return_inverse=True)
+        at = np.searchsorted(self._known, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        there = at < len(self._known)
+        new[there] = self._known[at[there]] != distinct[there]
+        if new.any():
+            if len(self._known) + int(new.sum()) > CACHE:
+                new[:] = True
+            stop = np.append(start, len(joined))[first + 1]
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(start[first[new]].tolist(), stop[new].tolist(), strict=True)])
+            at = np.searchsorted(self._known, distinct)
+        size = self._size[at]
         sizes = size[which]
         sizes[np.searchsorted(start, ends[:-1])] = 0  # the boundaries
         total = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.arange(total[-1]) + np.repeat((np.cumsum(size) - size)[which] - total[:-1], sizes)
-        data = flat[places].tobytes()
+        places = np.arange(total[-1]) + np.repeat(self._first[at][which] - total[:-1], sizes)
+        data = self._ids[places].tobytes()
         low = total[np.searchsorted(start, np.concatenate([[0], ends[:-1] + 1]))].tolist()
         high = total[np.searchsorted(start, ends)].tolist()
         return [data[4 * a : 4 * b] for a, b in zip(low, high, strict=True)]

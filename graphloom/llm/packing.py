@@ -122,19 +122,22 @@ def patterns(classes: int) -> np.ndarray:
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """x >= 0 that makes the sum of squares of A x - target least (active sets).
 
-    A's column j counts the entries of ``columns[j]``; entry 0 is none.
+    Column j of A counts the entries of ``columns[j]``; entry 0 is none.
     """
     n = len(target)
-    a = np.zeros((len(columns), n + 1))
-    for part in columns.T:
-        np.add.at(a, (np.arange(len(columns)), part), 1.0)
-    a = a[:, 1:]
+
+    def counts(own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(own), n + 1))
+        for part in columns[own].T:
+            np.add.at(out, (np.arange(len(own)), part), 1.0)
+        return out[:, 1:]
+
     x = np.zeros(len(columns))
     active = np.zeros(len(columns), dtype=bool)
     rest = target.astype(float)
     tolerance = 1e-7 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(rounds):
-        gain = a @ rest
+        gain = np.concatenate([[0.0], rest])[columns].sum(axis=1)
         gain[active] = -np.inf
         j = int(np.argmax(gain))
         if not gain[j] > tolerance:
@@ -142,7 +145,7 @@ def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndar
         active[j] = True
         while True:
             own = np.flatnonzero(active)
-            part = a[own]
+            part = counts(own)
             solved = np.linalg.solve(part @ part.T + 1e-9 * np.eye(len(own)), part @ target)
             if (solved > 0).all():
                 x[:] = 0
@@ -158,7 +161,8 @@ def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndar
             active[gone] = False
             if not active.any():
                 break
-        rest = target - x @ a
+        own = np.flatnonzero(active)
+        rest = target - x[own] @ counts(own)
     return x
 
 
