@@ -182,10 +182,8 @@ def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         if high - low >= width:
             own = np.unique(rolled[low : high - width + 1])
         elif high > low:
-            x = np.array([high - low], dtype=np.uint64)
-            for i in range(low, high):
-                x = x + h[i] * _PLACE[i - low]
-            own = mix(x * _U(0x2545F4914F6CDD1D))
+            whole = (h[low:high] * np.array(_PLACE[: high - low])).sum(keepdims=True)
+            own = mix((whole + np.array([high - low], dtype=np.uint64)) * _U(0x2545F4914F6CDD1D))
         else:
             continue
         out.append(own)

@@ -38,6 +38,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.decontam import overlaps
 
@@ -51,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_chat_rotation, op4_packing, op5_toxicity, op6_quality, op9_decontamination, op10_pii]
+    own = [op1_secret_scan, op2_chat_rotation, op4_packing, op5_toxicity, op6_quality, op8_near_dedup, op9_decontamination, op10_pii]
     return {f.__name__: f for f in own}
 
 
