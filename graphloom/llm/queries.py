@@ -20,6 +20,12 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.embed_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.packing import pack
 
@@ -57,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_chat_rotation, op4_packing, op5_toxicity, op6_quality, op8_near_dedup, op9_decontamination, op10_pii]
+    own = [op1_secret_scan, op2_chat_rotation, op3_embedding_dedup, op4_packing, op5_toxicity, op6_quality, op8_near_dedup, op9_decontamination, op10_pii]
     return {f.__name__: f for f in own}
 
 
