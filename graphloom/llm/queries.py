@@ -44,6 +44,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.brown_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.near_dup import near_duplicates
 
@@ -63,7 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_chat_rotation, op3_embedding_dedup, op4_packing, op5_toxicity, op6_quality, op8_near_dedup, op9_decontamination, op10_pii]
+    own = [op1_secret_scan, op2_chat_rotation, op3_embedding_dedup, op4_packing, op5_toxicity, op6_quality, op7_lm_scoring, op8_near_dedup, op9_decontamination, op10_pii]
     return {f.__name__: f for f in own}
 
 
