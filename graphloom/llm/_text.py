@@ -171,10 +171,10 @@ def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if width > len(_PLACE):
         raise ValueError(f"width is at most {len(_PLACE)}")
     h, at = words.hash, words.bounds()
-    n = len(h)
-    rolled = np.zeros(max(0, n - width + 1), dtype=np.uint64)
+    n = max(0, len(h) - width + 1)
+    rolled = np.zeros(n, dtype=np.uint64)
     for i in range(width):
-        rolled += h[i : n - width + 1 + i] * _PLACE[i]
+        rolled += h[i : i + n] * _PLACE[i]
     rolled = mix(rolled)
     out, sizes = [], np.zeros(len(at) - 1, dtype=np.int64)
     for d in range(len(at) - 1):
