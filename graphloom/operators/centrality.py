@@ -34,8 +34,8 @@ def _rank(p: Projected, shares: DataFrame, damping: float, iterations: int, tole
     nodes = p.nodes
 
     def step(scores: DataFrame) -> DataFrame:
-        sent = flows.join(scores, flows.src == scores.id).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        return nodes.join(sent, nodes.id == sent.to, "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        sent = flows.join(scores, flows.src == scores.id).groupBy(F.col("dst").alias("at")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        return nodes.join(sent, nodes.id == sent["at"], "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
 
     start = nodes.select("id", F.lit(1 - damping).alias("score"))
     if tolerance is None:
