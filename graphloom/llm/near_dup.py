@@ -46,6 +46,11 @@ WIDTH = 5
 SIMILARITY = 75
 #: Members of a bucket that one tile holds on a side.
 TILE = 1024
+#: Bins of a one-permutation sketch, which tells similar from nearly similar
+#: documents in a tile: a shingle's bin is its hash's first bits.
+BINS = 256
+#: A pair is left out if it agrees in so many standard deviations fewer bins than a linked pair does.
+DEVIATIONS = 5.5
 
 _SEED = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _FACTOR = mix(_SEED) | np.uint64(1)
@@ -67,8 +72,20 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.add.reduceat(mix(values), first), np.add.reduceat(mix(values ^ np.uint64(0x6A09E667F3BCC909)), first)
 
 
+def _sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each document with shingles and each bin, 15 bits of its least shingle there; 0 if there is none."""
+    size = np.diff(bounds)
+    there = size > 0
+    owner = np.repeat(np.arange(int(there.sum())), size[there])
+    slot = owner * BINS + (values >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    out = np.zeros((int(there.sum()), BINS), dtype=np.uint16)
+    out.ravel()[slot[first]] = (mix(values[first]) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b, signature; the last three are null for a document without words."""
+    """doc_id, n_shingles, set_a, set_b, signature, sketch; the last four are null for a document without words."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +98,45 @@ def signatures(documents: DataFrame) -> DataFrame:
                 signature, a, b = _signatures(values, bounds)
                 at = np.cumsum(there) - 1
                 place = pa.array(at, mask=~there)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * HASHES), len(signature), [None, pa.py_buffer(signature.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(size, pa.int64()),
                         pa.array(a.view(np.int64)).take(place),
                         pa.array(b.view(np.int64)).take(place),
-                        raw.cast(pa.binary()).take(place),
+                        _binary(signature).take(place),
+                        _binary(_sketches(values, bounds)).take(place),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "sketch"],
                 )
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary")
+    return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, sketch binary")
+
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    wide = pa.binary(rows.shape[1] * rows.itemsize)
+    return pa.FixedSizeBinaryArray.from_buffers(wide, len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Signatures as rows; no value may be null."""
+
+def _matrix(column: pa.Array, wide: int = HASHES) -> np.ndarray:
+    """Signatures or sketches as rows; no value may be null."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     data, _ = _raw(column)
-    return data.view(np.uint16).reshape(-1, HASHES)
+    return data.view(np.uint16).reshape(-1, wide)
+
+
+def _alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which sketches agree with one in about as many bins as those of linked documents do.
+
+    Of the bins that either fills, as large a share agrees as the documents
+    are similar, with at most the spread of as many independent draws.
+    """
+    filled = ((sketches > 0) | (one > 0)).sum(axis=1)
+    agree = ((sketches == one) & (one > 0)).sum(axis=1)
+    share = SIMILARITY / 100
+    return agree >= share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled)
 
 
 def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,17 +248,20 @@ def _links(part: pa.RecordBatch) -> np.ndarray:
     right, right_at = _sets(part.column(3).take(pa.array(first)))
     out = np.zeros(part.num_rows, dtype=bool)
     for r in range(part.num_rows):
-        a = left[left_at[r] : left_at[r + 1]]
-        b = right[right_at[which[r]] : right_at[which[r] + 1]]
-        small, large = (a, b) if len(a) <= len(b) else (b, a)
-        if not len(small):
-            continue
-        at = np.searchsorted(large, small)
-        common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-        out[r] = 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+        out[r] = _linked_sets(left[left_at[r] : left_at[r + 1]], right[right_at[which[r]] : right_at[which[r] + 1]])
     return out
 
 
+def _linked_sets(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link; an empty one links with nothing."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < SIMILARITY * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+
+
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(texts)
     return shingle_sets(Words(data, offsets), WIDTH)
@@ -233,12 +270,16 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # --- what is left in buckets --------------------------------------------------------
 
 
+TILED = "tile bigint, key bigint, left boolean, right boolean, node bigint, label bigint, n_shingles bigint, signature binary, sketch binary"
+
+
 def _tiles(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that are near by signature.
+    """Rows of ``TILED``: members of a tile that are near a member of another component.
 
     Buckets of one component, and buckets of two members (already compared),
     are left out.  A larger bucket is dealt into blocks of about ``TILE``
-    members, and each pair of blocks is a tile of its own.
+    members, and each pair of blocks is a tile of its own.  Members are
+    returned, never pairs.
     """
     labelled = buckets.join(labels, buckets.node == labels.id, "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     mixed = (
@@ -247,60 +288,119 @@ def _tiles(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         .filter("size > 2 and low <> high")
         .select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
     )
-    rows = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "signature"), "node")
+    rows = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "signature", "sketch"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = dealt.select(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
+        "key",
         (F.col("block") <= F.col("other")).alias("left"),
         (F.col("block") >= F.col("other")).alias("right"),
         "node",
         "label",
         "n_shingles",
         "signature",
+        "sketch",
     )
 
+    def near(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        members = np.zeros(rows.num_rows, dtype=bool)
+        for i, others in _near_members(rows):
+            members[i] = True
+            members[others] = True
+        if members.any():
+            yield from rows.filter(pa.array(members)).combine_chunks().to_batches()
+
+    return _by_tile(tiled).mapInArrow(_each_tile(near), TILED)
+
+
+def _late_links(tiled: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of a tile, found on full shingle sets."""
+    ids = tiled.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    texts = _texts(documents, ids)
+    whole = tiled.join(texts.withColumnRenamed("node", "id"), F.col("node") == F.col("id")).drop("id")
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pairs = _joining(rows)
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_tile(whole).mapInArrow(_each_tile(links), "a bigint, b bigint").distinct()
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile", "key")
+
+
+def _each_tile(work):
+    """Apply ``work`` to the rows of one tile after another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            if rest is not None:
-                rows = pa.concat_tables([rest, rows])
-            tile = rows.column(0).to_numpy()
-            last = int(np.searchsorted(tile, tile[-1], side="left")) if len(tile) else 0
-            yield from _compared(rows.slice(0, last))
-            rest = rows.slice(last)
-        if rest is not None:
-            yield from _compared(rest)
-
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = tiled.repartition(parts, "tile").sortWithinPartitions("tile")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    if not rows.num_rows:
-        return
-    rows = rows.combine_chunks()
-    tile, node, label, size = (rows.column(n).to_numpy() for n in ("tile", "node", "label", "n_shingles"))
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            tile, key = rows.column("tile").to_numpy(), rows.column("key").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (key[1:] != key[:-1])]))
+            for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                yield from work(rows.slice(low, high - low).combine_chunks())
+            rest = rows.slice(int(first[-1]))
+        if rest is not None and rest.num_rows:
+            yield from work(rest.combine_chunks())
+
+    return run
+
+
+def _near_members(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places of the members it is near to); each pair of a bucket once.
+
+    A pair is taken in the bucket of the first key it shares only, whatever
+    other buckets hold it.
+    """
+    node, label, size = (rows.column(n).to_numpy() for n in ("node", "label", "n_shingles"))
     left, right = (rows.column(n).to_numpy() for n in ("left", "right"))
-    signature = _matrix(rows.column("signature"))
-    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-    out_a, out_b = [], []
-    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(tile)], strict=True):
-        members = np.arange(low, high)
-        for i in members[left[low:high]]:
-            others = members[right[low:high] & (label[low:high] != label[i])]
-            others = others[(node[others] > node[i]) | ~left[others]]
-            a, b = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            others = others[100 * a >= SIMILARITY * b]
-            if len(others):
-                near = others[(signature[others] != signature[i]).sum(axis=1) <= LOOSE]
-                out_a.append(np.maximum(node[near], node[i]))
-                out_b.append(np.minimum(node[near], node[i]))
-    if out_a:
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    signature, sketch = _matrix(rows.column("signature")), _matrix(rows.column("sketch"), BINS)
+    keys = chunk_keys(signature).view(np.int64)
+    here = int(rows.column("key")[0].as_py())
+    right_of = np.flatnonzero(right)
+    for i in np.flatnonzero(left).tolist():
+        others = right_of[label[right_of] != label[i]]
+        others = others[(node[others] > node[i]) | ~left[others]]
+        others = others[100 * np.minimum(size[others], size[i]) >= SIMILARITY * np.maximum(size[others], size[i])]
+        if len(others):
+            others = others[(signature[others] != signature[i]).sum(axis=1) <= LOOSE]
+        if len(others):
+            others = others[_alike(sketch[others], sketch[i])]
+        if len(others):
+            shared = keys[others] == keys[i]
+            others = others[keys[i][shared.argmax(axis=1)] == here]
+        if len(others):
+            yield i, others
+
+
+def _joining(rows: pa.Table) -> list[tuple[int, int]]:
+    """Linked pairs (higher id, lower id) of different components, as few as join them."""
+    values, bounds = _sets(rows.column("text"))
+    node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+    joined: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    out = []
+    for i, others in _near_members(rows):
+        for j in others.tolist():
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b and _linked_sets(values[bounds[i] : bounds[i + 1]], values[bounds[j] : bounds[j + 1]]):
+                joined[max(a, b)] = min(a, b)
+                out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+    return out
 
 
 # --- the operator -------------------------------------------------------------------
@@ -329,9 +429,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def _nodes(every: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, n_shingles, signature: one row for each distinct set."""
-    chosen = every.filter("set_a is not null").select(F.col("doc_id").alias("node"), "set_a", "set_b", "n_shingles", "signature")
-    return written(chosen.join(classes, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "signature"), "nodes")
+    """node, n_shingles, signature, sketch: one row for each distinct set."""
+    chosen = every.filter("set_a is not null").select(F.col("doc_id").alias("node"), "set_a", "set_b", "n_shingles", "signature", "sketch")
+    return written(chosen.join(classes, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "signature", "sketch"), "nodes")
 
 
 def _linked(spark: SparkSession, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -342,11 +442,10 @@ def _linked(spark: SparkSession, documents: DataFrame, nodes: DataFrame) -> Data
     first = written(_near(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), nodes), "candidates")
     links = written(_confirmed(first, documents), "links")
     labels = written(connected_components(links, "a", "b"), "labels")
-    more = _tiles(buckets.select("key", "node"), labels, nodes)
-    second = written(more.join(first, ["a", "b"], "left_anti"), "candidates")
-    if second.isEmpty():
+    rest = written(_tiles(buckets.select("key", "node"), labels, nodes), "tiles")
+    if rest.isEmpty():
         return labels
-    late = written(_confirmed(second, documents), "links")
+    late = written(_late_links(rest, documents), "links")
     if late.isEmpty():
         return labels
     # Links between components: join the components, not their members.
