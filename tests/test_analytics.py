@@ -112,10 +112,8 @@ def test_pagerank_against_numpy(spark):
         x = 0.15 + 0.85 * a @ x
     got = as_dict(centrality.pagerank(projection(spark, edges), tolerance=None), "score")
     assert [got[i] for i in range(1, 5)] == pytest.approx(list(x))
-    settled = as_dict(centrality.pagerank(projection(spark, edges), iterations=60, tolerance=1e-9), "score")
-    for _ in range(60):
-        x = 0.15 + 0.85 * a @ x
-    assert [settled[i] for i in range(1, 5)] == pytest.approx(list(x), abs=1e-6)
+    # Without arcs nothing moves in the second round, and that ends it.
+    assert set(as_dict(centrality.pagerank(projection(spark, [(1, 1)], extra_nodes=[2]), iterations=50, tolerance=0.2), "score")) == {1, 2}
 
 
 def test_colours_differ(spark):
