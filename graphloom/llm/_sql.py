@@ -83,3 +83,34 @@ SELECT rid, k, kind, s, e, score FROM (
         FROM ({_matches(kind, place, pii.PATTERNS[kind])}) x JOIN d USING (rid)
         WHERE v IS NOT NULL AND {_VALID[kind]})){keep}""")
     return _digest(pii.KINDS, len(pii.BASE_KINDS), "\nUNION ALL\n".join(parts), ", string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, k) AS scores")
+
+
+_COMPONENTS = """e AS MATERIALIZED (SELECT a AS src, b AS dst FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT id, id FROM n UNION SELECT e.dst, r.c FROM r JOIN e ON e.src = r.id WHERE r.c < e.dst),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
+
+
+def near_dedup_sql() -> str:
+    return f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all({_low("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+n AS MATERIALIZED (SELECT id, CAST(len(g) AS BIGINT) AS n FROM s),
+x AS MATERIALIZED (SELECT id, unnest(g) AS g FROM s),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) AS k FROM x a JOIN x b ON b.g = a.g AND a.id < b.id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+{_COMPONENTS}
+SELECT n.id AS doc_id, n.n AS n_shingles, c AS component_id, c = n.id AS kept FROM n JOIN k ON k.id = n.id"""
+
+
+def embedding_dedup_sql() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS MATERIALIZED (SELECT id FROM v),
+u AS MATERIALIZED (SELECT id, v, sqrt(list_dot_product(v, v)) AS size FROM v
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+{_COMPONENTS},
+q AS (SELECT src AS id, count(*) AS q FROM e GROUP BY src)
+SELECT n.id AS vec_id, coalesce(q, 0) AS n_links, c AS component_id, c = n.id AS kept FROM n JOIN k ON k.id = n.id LEFT JOIN q ON q.id = n.id"""

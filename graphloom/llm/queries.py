@@ -77,5 +77,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": _sql.secrets_sql(),
         "op2_chat_rotation": chat.ORACLE,
+        "op3_embedding_dedup": _sql.embedding_dedup_sql(),
+        "op8_near_dedup": _sql.near_dedup_sql(),
         "op10_pii": _sql.pii_sql(),
     }
