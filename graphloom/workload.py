@@ -551,7 +551,7 @@ def s_bitset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(bitsets.similar_pairs(_baskets(spark, sf_dir), WIDTH, 0.4), "jaccard")
+    return _r(bitsets.similar_pairs(_baskets(spark, sf_dir), WIDTH, 0.7), "jaccard")
 
 
 QUERIES |= {"s_bitset_pairs": s_bitset_pairs, "s_similar_pairs": s_similar_pairs}

@@ -266,7 +266,7 @@ round((na + nb - 2 * k) / 256.0, 6) AS hamming_distance, round(1 - (na + nb - 2
 round(k / CAST(na + nb - k AS DOUBLE), 6) AS jaccard, round(k / sqrt(CAST(na AS DOUBLE) * nb), 6) AS cosine FROM i"""
 SQL["s_similar_pairs"] = f"""WITH {_SETS}, i AS (SELECT x.id AS l, y.id AS r, count(*) AS k FROM f x JOIN f y ON y.f = x.f AND x.id < y.id GROUP BY 1, 2)
 SELECT l AS "left", r AS "right", round(k / CAST(a.n + b.n - k AS DOUBLE), 6) AS jaccard FROM i JOIN z a ON a.id = l JOIN z b ON b.id = r
-WHERE 10 * k >= 4 * (a.n + b.n - k)"""
+WHERE 10 * k >= 7 * (a.n + b.n - k)"""
 
 # --- mutations ----------------------------------------------------------------------
 
