@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -9,6 +11,7 @@ import zipfile
 from pathlib import Path
 from threading import Lock
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that go to Python at once; Spark's default is made for short rows, not for texts.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application."""
+    """Give executors this package, once for each application, and keep batches of texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     with _LOCK:
         if app in _SHIPPED:
@@ -35,6 +45,21 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def tidy(run):
+    """A task's function that hands free memory back to the system at its end.
+
+    Python workers live on for other tasks; without this each keeps its peak.
+    """
+
+    def run_and_release(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run_and_release
+
+
 def fold(column: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import fold, ship
+from graphloom.llm._io import fold, ship, tidy
 from graphloom.llm._text import LOWER, Words, mix, slices, utf8
 from graphloom.plans.lineage import written
 
@@ -37,7 +37,7 @@ ENDINGS = 255
 CLASSES = 48
 PASSES = 6
 #: Tokens of a segment, about; a longer document is a segment of its own.
-SEGMENT = 5_000_000
+SEGMENT = 2_500_000
 #: Weight of class frequencies against transitions, in tokens.
 MIX = 50.0
 UNITS = TOP_WORDS + ENDINGS + 1
@@ -143,7 +143,7 @@ def segments(documents: DataFrame, folds: int, held: int) -> DataFrame:
     chosen = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held"), F.col("text").cast("string").alias("text")
     )
-    return chosen.mapInArrow(run, SEGMENT_SCHEMA)
+    return chosen.mapInArrow(tidy(run), SEGMENT_SCHEMA)
 
 
 def _vocabulary(corpus: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _vocabulary(corpus: DataFrame) -> DataFrame:
                     n = counts[own].astype(np.int64) << 8 | endings[own]
                     yield pa.RecordBatch.from_arrays([pa.array(words[own]), pa.array(place), pa.array(n)], names=["word", "place", "n"])
 
-    return corpus.select("segment", "words", "endings", "counts").mapInArrow(run, "word bigint, place bigint, n bigint")
+    return corpus.select("segment", "words", "endings", "counts").mapInArrow(tidy(run), "word bigint, place bigint, n bigint")
 
 
 # --- classes --------------------------------------------------------------------
@@ -189,7 +189,7 @@ def _bigrams(corpus: DataFrame, top: np.ndarray) -> np.ndarray:
             own = there[i : i + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(table[own])], names=["pair", "n"])
 
-    rows = corpus.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # UNITS ** 2 rows at most
+    rows = corpus.mapInArrow(tidy(run), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # UNITS ** 2 rows at most
     out = np.zeros(UNITS * UNITS, dtype=np.int64)
     out[rows.pair.to_numpy(dtype=np.int64)] = rows.n.to_numpy()
     return out.reshape(UNITS, UNITS)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import ship
+from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import Words, mix, slices, utf8
 
 # The seeds.  1 is read, 0 is ignored.
@@ -212,7 +212,7 @@ def _against(docs: DataFrame, index: TestIndex) -> DataFrame:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -255,7 +255,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     kept = documents.toDF(*(f"c{i}" for i in range(len(names))))
     for ids, texts in _blocks(benchmark):
         held = documents.sparkSession.sparkContext.broadcast(TestIndex(ids, *_tokens(texts)))
-        kept = kept.mapInArrow(_sieve(held, names.index(text_col)), schema)
+        kept = kept.mapInArrow(tidy(_sieve(held, names.index(text_col))), schema)
     return kept.toDF(*names)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import ship
+from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import mix
 from graphloom.operators.components import connected_components
 from graphloom.plans.lineage import written
@@ -97,7 +97,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             )
 
     chosen = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return chosen.mapInArrow(run, "vec_id bigint, dims int, hash_a bigint, hash_b bigint, vector binary")
+    return chosen.mapInArrow(tidy(run), "vec_id bigint, dims int, hash_a bigint, hash_b bigint, vector binary")
 
 
 # --- cells ----------------------------------------------------------------------
@@ -290,7 +290,7 @@ def _one_dimension(nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
                 head = pa.FixedSizeListArray.from_arrays(box, min(dims, STEPS[0])).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, cell, head], names=["node", "weight", "vector", "cell", "head"])
 
-    dealt = written(nodes.select("node", "weight", "vector").mapInArrow(placed, "node bigint, weight bigint, vector binary, cell bigint, head array<double>"), "cells")
+    dealt = written(nodes.select("node", "weight", "vector").mapInArrow(tidy(placed), "node bigint, weight bigint, vector binary, cell bigint, head array<double>"), "cells")
     wide = min(dims, STEPS[0])
     bounds = [f(F.col("head")[k]).alias(f"{n}{k}") for k in range(wide) for n, f in (("low", F.min), ("high", F.max))]
     boxes = dealt.groupBy("cell").agg(F.count("*").alias("n"), *bounds).orderBy("cell").collect()  # MAX_CELLS rows at most
@@ -331,7 +331,7 @@ def _blocks(dealt: DataFrame, sizes: DataFrame, dims: int) -> DataFrame:
 
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "node")
-    return ordered.mapInArrow(run, "cell bigint, block bigint, ids binary, weights binary, vectors binary")
+    return ordered.mapInArrow(tidy(run), "cell bigint, block bigint, ids binary, weights binary, vectors binary")
 
 
 def _groups(rows: pa.Table) -> list[pa.Table]:
@@ -384,7 +384,7 @@ def _tiles(blocks: DataFrame, near: list[tuple[int, int]], sizes: DataFrame, dim
 
     parts = min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
     ordered = sent.repartition(parts, "tile").sortWithinPartitions("tile", "place")
-    return ordered.mapInArrow(run, "src bigint, dst bigint, links bigint")
+    return ordered.mapInArrow(tidy(run), "src bigint, dst bigint, links bigint")
 
 
 def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:

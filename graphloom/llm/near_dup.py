@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import ship
+from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import Words, mix, shingle_sets, slices, utf8
 from graphloom.operators.components import connected_components
 from graphloom.plans.lineage import written
@@ -111,7 +111,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 )
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, sketch binary")
+    return chosen.mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, sketch binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -167,7 +167,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "signature").mapInArrow(tidy(run), "key bigint, node bigint")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 differ = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
                 yield batch.select([0, 1]).filter(pa.array(differ <= LOOSE))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 # --- confirmation -----------------------------------------------------------------
@@ -223,7 +223,7 @@ def _texts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     chosen = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     # A repeated id has one text here; rows of one id are one document.
-    found = chosen.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(1 << log))).mapInArrow(run, "node bigint, text string")
+    found = chosen.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(1 << log))).mapInArrow(tidy(run), "node bigint, text string")
     return found
 
 
@@ -239,7 +239,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield part.select([0, 1]).filter(pa.array(_links(part)))
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _links(part: pa.RecordBatch) -> np.ndarray:
@@ -311,7 +311,7 @@ def _tiles(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         if members.any():
             yield from rows.filter(pa.array(members)).combine_chunks().to_batches()
 
-    return _by_tile(tiled).mapInArrow(_each_tile(near), TILED)
+    return _by_tile(tiled).mapInArrow(tidy(_each_tile(near)), TILED)
 
 
 def _late_links(tiled: DataFrame, documents: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def _late_links(tiled: DataFrame, documents: DataFrame) -> DataFrame:
             a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _by_tile(whole).mapInArrow(_each_tile(links), "a bigint, b bigint").distinct()
+    return _by_tile(whole).mapInArrow(tidy(_each_tile(links)), "a bigint, b bigint").distinct()
 
 
 def _by_tile(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
-from graphloom.llm._io import ship
+from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import slices, utf8
 from graphloom.plans.lineage import written
 
@@ -61,7 +61,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield _cut(part.column(0).to_pylist(), encode.encode(texts), limit, counted, with_ids)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 class _Ranks:
@@ -285,4 +285,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: i
             )
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "") + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import sha256_text, ship, span_text
+from graphloom.llm._io import sha256_text, ship, span_text, tidy
 from graphloom.llm._text import slices, utf8
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -62,7 +62,6 @@ SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PATTERNS = {"email": EMAIL_LOCAL + EMAIL_DOMAIN, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
 
 _EMAIL_AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LINEAR = {
     "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
@@ -196,12 +195,12 @@ def _found(texts: pa.Array) -> list[list[tuple[int, int, int, int]]]:
     return [find(texts[d].as_py(), hits[d]) if d in hits else [] for d in range(len(texts))]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _batches(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
-        _, offsets = utf8(batch.column(batch.num_columns - 1))
+        _, offsets = utf8(batch.column(place))
         for i, j in slices(offsets):
             part = batch.slice(i, j - i)
-            yield part, _found(part.column(part.num_columns - 1))
+            yield part, _found(part.column(place))
 
 
 def pii_digests(df: DataFrame) -> DataFrame:
@@ -213,7 +212,7 @@ def pii_digests(df: DataFrame) -> DataFrame:
     base = range(len(BASE_KINDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _batches(batches):
+        for part, found in _batches(batches, 1):
             own = [[(s, k, e) for s, k, e, _ in x] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -227,7 +226,7 @@ def pii_digests(df: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string, scores string"
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, int, int]]) -> str:
@@ -244,21 +243,21 @@ def redact(text: str, spans: list[tuple[int, int, int, int]]) -> str:
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df`` with personal data in the text replaced.
 
-    Null texts stay null.  The columns keep their order and types.
+    Null texts stay null.  The columns keep their order and types; ``text_col``
+    is a string.
     """
     ship(df.sparkSession)
     names = df.columns
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _batches(batches):
-            texts = part.column(part.num_columns - 1)
-            new = [redact(texts[i].as_py(), x) if x else texts[i].as_py() for i, x in enumerate(found)] if any(found) else texts
-            columns = [part.column(i) for i in range(part.num_columns - 1)]
-            columns[place] = pa.array(new, pa.string()) if isinstance(new, list) else new
+        for part, found in _batches(batches, place):
+            columns = part.columns
+            if any(found):
+                texts = columns[place]
+                columns[place] = pa.array([redact(texts[i].as_py(), x) if x else texts[i].as_py() for i, x in enumerate(found)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    # The text goes in twice: once in its place, once last, where _batches reads it.
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
-    return plain.withColumn("t", F.col(f"c{place}").cast("string")).mapInArrow(run, schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), schema).toDF(*names)

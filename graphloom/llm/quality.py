@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import fold, ship
+from graphloom.llm._io import fold, ship, tidy
 from graphloom.llm._text import Words, slices, utf8
 from graphloom.llm.toxicity import training_sample
 
@@ -169,7 +169,7 @@ def quality(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int =
                 x = _expand(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
-    scored = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
+    scored = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id bigint, score double")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), folds) == held).alias("held_out"),

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import sha256_text, ship, span_text
+from graphloom.llm._io import sha256_text, ship, span_text, tidy
 from graphloom.llm._text import LOWER, slices, utf8
 
 # --- queries -----------------------------------------------------------------
@@ -304,7 +304,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([ids, pa.array(rows, type=pa.list_(span))], names=["id", "spans"])
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = chosen.mapInArrow(run, f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    found = chosen.mapInArrow(tidy(run), f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -331,5 +331,5 @@ def secret_digests(df: DataFrame, rules: list[Rule] | None = None, base: int = l
             )
 
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in kinds[:base]) + ", base_sha256 string, spans string"
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 

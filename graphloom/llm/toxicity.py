@@ -11,14 +11,14 @@ inflected and compounded words share weight.  Nothing but the text is read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import fold, ship
+from graphloom.llm._io import fold, ship, tidy
 from graphloom.llm._text import Words, slices, utf8
 
 #: Labelled documents the weights are fitted on, at most; taken by a hash of the id.
@@ -27,6 +27,8 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 EPOCHS = 25
 BATCH_DOCS = 64
+#: Bytes scored at once; a word has many features.
+SLICE = 400_000
 RATE = 0.05
 DECAY = 2e-5
 SEED = 11
@@ -103,14 +105,15 @@ def fit(texts: list[str | None], labels: list[int]) -> Weights:
         share = 0.5 if not len(y) else min(0.99, max(0.01, float(y.mean())))
         return Weights(float(np.log(share / (1 - share))), np.zeros(1 << BITS))
     order = np.random.default_rng(SEED).permutation(len(y))
+    own = [order[i : i + BATCH_DOCS] for i in range(0, len(order), BATCH_DOCS)]
+    # Two passes over the texts, so that only telling features are ever held together.
+    common = _telling(((*_features_of(texts, k), y[k]) for k in own), y.mean())
     groups = []
-    for i in range(0, len(order), BATCH_DOCS):
-        own = order[i : i + BATCH_DOCS]
-        data, offsets = utf8(pa.array([texts[j] for j in own], pa.large_string()))
-        feature, sentence, doc, _, _ = sentence_features(data, offsets)
-        groups.append((feature.astype(np.int32), sentence.astype(np.int32), doc, y[own]))
-    common = _telling(groups, y.mean())
-    groups = [(*np.unique(f[k := common[f]], return_inverse=True), s[k], doc, label) for f, s, doc, label in groups]
+    for k in own:
+        feature, sentence, doc = _features_of(texts, k)
+        kept = common[feature]
+        slots, where = np.unique(feature[kept], return_inverse=True)
+        groups.append((slots, where.astype(np.int32), sentence[kept].astype(np.int32), doc, y[k]))
     w, bias = np.zeros(1 << BITS), -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     mb = vb = 0.0
@@ -132,7 +135,13 @@ def fit(texts: list[str | None], labels: list[int]) -> Weights:
     return Weights(float(bias), w)
 
 
-def _telling(groups: list[tuple], share: float) -> np.ndarray:
+def _features_of(texts: list[str | None], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = utf8(pa.array([texts[j] for j in places], pa.large_string()))
+    feature, sentence, doc, _, _ = sentence_features(data, offsets)
+    return feature, sentence, doc
+
+
+def _telling(groups: Iterable[tuple], share: float) -> np.ndarray:
     """Feature slots that enough documents have, and documents of one label more than chance allows."""
     seen, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for feature, sentence, doc, label in groups:
@@ -167,6 +176,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
 def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df`` and a struct column ``toxicity``: score, n_offending,
     worst_start, worst_end (bytes of the worst sentence in the UTF-8 text, null where there is none).
+    ``text_col`` is a string.
 
     Texts that are null, empty or without words score the bias as one sentence.
     """
@@ -175,23 +185,22 @@ def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text") -> D
     slots = spark.sparkContext.broadcast(weights.slots.astype(np.float32))  # 2 ** BITS values
     bias = weights.bias
     names = df.columns
+    place = names.index(text_col)
     kind = "struct<score:double,n_offending:bigint,worst_start:bigint,worst_end:bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(bias, slots.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            data, offsets = utf8(texts)
-            for i, j in slices(offsets):
+            data, offsets = utf8(batch.column(place))
+            for i, j in slices(offsets, SLICE):
                 part = data[offsets[i] : offsets[j]]
                 result = _score_slice(part, offsets[i : j + 1] - offsets[i], model)
-                columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)]
+                columns = [c.slice(i, j - i) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, result], names=[*(f"c{c}" for c in range(len(columns))), "toxicity"])
 
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
-    with_text = plain.withColumn("t", F.col(f"c{names.index(text_col)}").cast("string"))
-    return with_text.mapInArrow(run, f"{schema}, toxicity {kind}").toDF(*names, "toxicity")
+    return plain.mapInArrow(tidy(run), f"{schema}, toxicity {kind}").toDF(*names, "toxicity")
 
 
 def _score_slice(data: np.ndarray, offsets: np.ndarray, model: Weights) -> pa.Array:
