@@ -25,7 +25,14 @@ from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import Words, mix, slices, utf8
 
 # The seeds.  1 is read, 0 is ignored.
-SEEDS = ["11111111", "1101100101011", "1110010110111", "1011011100011", "11001110101011"]
+#: Found by enumeration: every layout of disagreements that ``LEAST_AGREEMENT`` allows in
+#: 13 to 25 tokens leaves a window of some seed whole, and of two halves of a longer
+#: overlap one agrees as much as the whole.
+SEEDS = ["11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1111111"]
+#: The same for items of ``SHORT`` tokens up to one less than ``LEAST_OVERLAP``, in their whole length.
+SHORT_SEEDS = ["110111", "11001011", "11111"]
+#: Tokens from which an item is found by seeds.
+SHORT = 8
 #: Tokens in an overlap that counts, and the share of them that must agree.
 LEAST_OVERLAP = 13
 LEAST_AGREEMENT = 0.8
@@ -69,17 +76,23 @@ class TestIndex:
         self.item_ids, self.tokens, self.bounds = item_ids, tokens, bounds
         hashes, places = [], []
         owner = np.searchsorted(bounds, np.arange(len(tokens)), side="right") - 1
-        for salt, mask in enumerate(SEEDS):
+        size = np.diff(bounds)
+        self.seeds = list(enumerate(SEEDS))
+        few = (size >= SHORT) & (size < LEAST_OVERLAP)
+        if few.any():
+            self.seeds += list(enumerate(SHORT_SEEDS, len(SEEDS)))
+        for salt, mask in self.seeds:
             h = _seed_hashes(tokens, mask, salt)
             start = np.arange(len(h))
             inside = owner[start] == owner[start + len(mask) - 1]
+            inside &= few[owner[start]] == (salt >= len(SEEDS))
             hashes.append(h[inside])
             places.append(start[inside])
-        # An item shorter than every window is its own window.
+        # A very short item is its own window.
         self.short = {}
         for i in range(len(item_ids)):
             low, high = int(bounds[i]), int(bounds[i + 1])
-            if 0 < high - low < len(SEEDS[0]):
+            if 0 < high - low < SHORT:
                 self.short.setdefault(high - low, []).append(i)
         key = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
@@ -92,7 +105,7 @@ class TestIndex:
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``h``, place in the benchmark) of agreeing windows."""
         mine, theirs = [], []
-        for salt, mask in enumerate(SEEDS):
+        for salt, mask in self.seeds:
             own = _seed_hashes(h, mask, salt)
             near = np.flatnonzero(self.maybe[(own >> np.uint64(44)).astype(np.int64)])
             low = np.searchsorted(self.key, own[near], side="left")
@@ -144,7 +157,7 @@ def verify(h: np.ndarray, index: TestIndex, mine: np.ndarray, theirs: np.ndarray
 
 
 def _short_items(h: np.ndarray, index: TestIndex) -> dict[int, tuple[int, int, int, int]]:
-    """Items with fewer tokens than the first seed: found only word by word."""
+    """Items with fewer than ``SHORT`` tokens: found only word by word."""
     out = {}
     for size, items in index.short.items():
         n = len(h) - size + 1

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -70,3 +71,38 @@ def test_seeds_tolerate_substitutions():
         for j in range(i, 24):
             bad = {i, j}
             assert any(not any(m == "1" and s + k in bad for k, m in enumerate(mask)) for mask in decontam.SEEDS for s in range(24 - len(mask) + 1))
+
+
+def lost(size, changed, seeds):
+    """The share of layouts of ``changed`` substitutions in ``size`` tokens that leave no window of a seed."""
+    bad = np.zeros((len(list(combinations(range(size), changed))), size), dtype=bool)
+    np.put_along_axis(bad, np.array(list(combinations(range(size), changed))).reshape(len(bad), changed), True, axis=1)
+    whole = np.zeros(len(bad), dtype=bool)
+    for mask in seeds:
+        read = np.flatnonzero(np.array(list(mask)) == "1")
+        for s in range(size - len(mask) + 1):
+            whole |= ~bad[:, s + read].any(axis=1)
+    return 1 - whole.mean()
+
+
+def test_seeds_find_every_layout_of_the_rule():
+    """All layouts up to 25 tokens; a longer overlap has a half of 13 or more tokens that agrees as much."""
+    for size in range(decontam.LEAST_OVERLAP, 2 * decontam.LEAST_OVERLAP):
+        assert lost(size, int(size * (1 - decontam.LEAST_AGREEMENT) + 1e-9), decontam.SEEDS) == 0, size
+
+
+def test_seeds_find_short_items():
+    for size in range(decontam.SHORT, decontam.LEAST_OVERLAP):
+        assert lost(size, int(size * (1 - decontam.LEAST_AGREEMENT) + 1e-9), decontam.SHORT_SEEDS) == 0, size
+
+
+def test_sparse_hit(spark):
+    """Substitutions at places that no window of eight words in a row survives."""
+    words = [f"w{i}" for i in range(15)]
+    doc = ["x", *words, "y"]
+    for k in (4, 8, 12):
+        doc[k] = "changed"
+    b = spark.createDataFrame([(7, " ".join(words)), (8, "a1 a2 a3 a4 a5 a6 a7 a8 a9")], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(doc)), (2, "q a1 a2 a3 a4 zz a6 a7 a8 a9 q")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.agreements) for r in decontam.overlaps(d, b).collect())
+    assert [x[:2] for x in got] == [(1, 7), (2, 8)]
