@@ -5,7 +5,7 @@ positions are ignored, so a substituted token there does not hide a match.
 All windows of the benchmark are hashed under every mask; the windows of every
 document are hashed the same way and joined with them.  Around each hit the
 two token sequences are compared along the hit's diagonal, and the longest
-overlap with few substitutions decides.
+stretch that agrees enough decides.
 
 The benchmark is a stated query set: it is joined block by block, each block
 bounded in tokens, and every block meets every document.
@@ -36,8 +36,8 @@ SHORT = 8
 #: Tokens in an overlap that counts, and the share of them that must agree.
 LEAST_OVERLAP = 13
 LEAST_AGREEMENT = 0.8
-#: Agreements that a disagreement costs an overlap.
-MISMATCH = 2
+#: What an agreement and a disagreement add to a stretch: it agrees enough if the sum isn't negative.
+_GAIN = (1, -4)
 #: Tokens of the benchmark that are broadcast at once.
 BLOCK_TOKENS = 500_000
 
@@ -122,13 +122,20 @@ def _ramp(count: np.ndarray) -> np.ndarray:
 
 
 def _best_run(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the largest number of agreements less ``MISMATCH`` times
-    the disagreements; it starts and ends in an agreement."""
-    gain = np.where(same, 1, -MISMATCH)
-    total = np.concatenate([[0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - low[:-1])) + 1
-    start = int(np.flatnonzero(total[:end] == low[end - 1])[-1])
+    """The longest stretch of which ``LEAST_AGREEMENT`` agree, the first of equals; (0, 0) if there is none."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, *_GAIN))])
+    # From the first place where the least total so far is no greater, no stretch to here falls.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(np.arange(len(total)) - start))
+    return int(start[end]), end
+
+
+def _trimmed(same: np.ndarray, start: int, end: int) -> tuple[int, int]:
+    """Without disagreements at the ends, as far as ``LEAST_OVERLAP`` tokens are left."""
+    while end - start > LEAST_OVERLAP and not same[end - 1]:
+        end -= 1
+    while end - start > LEAST_OVERLAP and not same[start]:
+        start += 1
     return start, end
 
 
@@ -147,9 +154,10 @@ def verify(h: np.ndarray, index: TestIndex, mine: np.ndarray, theirs: np.ndarray
         a, b = max(low, -shift), min(high, len(h) - shift)
         same = index.tokens[a:b] == h[a + shift : b + shift]
         start, end = _best_run(same)
-        agree = int(same[start:end].sum())
         whole = start == 0 and end == b - a == high - low  # a short item found whole
-        if (end - start >= LEAST_OVERLAP or whole) and agree >= LEAST_AGREEMENT * (end - start):
+        if end - start >= LEAST_OVERLAP or whole:
+            start, end = _trimmed(same, start, end)
+            agree = int(same[start:end].sum())
             found = (end - start, agree, a + shift + start, a - low + start)
             if i not in out or found[:2] > out[i][:2]:
                 out[i] = found
@@ -199,7 +207,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A pair is returned if at least ``LEAST_OVERLAP`` tokens in line overlap and
     ``LEAST_AGREEMENT`` of them agree, or if the document holds a whole item
-    that is shorter.  Tokens are words in lower case without punctuation.
+    that is shorter.  Disagreements at an overlap's ends count in the decision;
+    what is returned leaves them out down to ``LEAST_OVERLAP`` tokens.  Tokens are words in lower case without punctuation.
     Null and empty texts and items share nothing; a null document id is kept;
     repeated documents give repeated rows; repeated items count once.
     """

@@ -106,3 +106,37 @@ def test_sparse_hit(spark):
     d = spark.createDataFrame([(1, " ".join(doc)), (2, "q a1 a2 a3 a4 zz a6 a7 a8 a9 q")], "doc_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.agreements) for r in decontam.overlaps(d, b).collect())
     assert [x[:2] for x in got] == [(1, 7), (2, 8)]
+
+
+def qualifies(same):
+    """The rule itself: some stretch of at least 13 tokens of which four fifths agree."""
+    n = len(same)
+    return any(5 * int(same[i:j].sum()) >= 4 * (j - i) for i in range(n) for j in range(i + 13, n + 1))
+
+
+def test_longest_stretch_is_the_rule():
+    draw = np.random.default_rng(3)
+    for _ in range(1500):
+        same = draw.random(draw.integers(1, 45)) < draw.choice([0.5, 0.7, 0.8, 0.9])
+        s, e = decontam._best_run(same)
+        assert (e - s >= 13) == qualifies(same)
+        assert 5 * same[s:e].sum() >= 4 * (e - s)
+
+
+def test_early_substitution_and_longer_overlap_beside_exact_run(spark):
+    words = [f"w{i}" for i in range(13)]
+    late = [f"v{i}" for i in range(60)]
+    docs = []
+    for k in range(13):  # the whole item with one token changed
+        docs.append((k, " ".join(["x", "x", *words[:k], "changed", *words[k + 1 :], "y"])))
+    # Twelve tokens alike, then unlike ones, then sixteen with two changed.
+    far = [w if i < 12 or 30 <= i < 46 and i not in (35, 40) else f"u{i}" for i, w in enumerate(late)]
+    docs.append((50, " ".join(far)))
+    docs.append((60, " ".join(w if 20 <= i < 30 else f"u{i}" for i, w in enumerate(late))))  # ten alike
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(late))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap, r.agreements, r.doc_start) for r in decontam.overlaps(d, b).collect()}
+    assert set(got) == {(k, 1) for k in range(13)} | {(50, 2)}
+    assert all(got[k, 1] == (13, 12, 2) for k in range(13))
+    assert got[50, 2] == (16, 14, 30)
+    assert [r.doc_id for r in decontam.decontaminate(d, b).collect()] == [60]
