@@ -53,13 +53,18 @@ def tidy(run):
 
     def run_and_release(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run_and_release
 
 
+def release() -> None:
+    """Hand free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(column: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

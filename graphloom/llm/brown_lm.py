@@ -2,8 +2,12 @@
 
 Words are assigned to classes by exchange clustering: each unit moves to the
 class that raises the average mutual information of neighbouring classes most.
-Units are the ``TOP_WORDS`` most frequent words, each by itself, and for all
-other words the group of their ending.  A text's probability is
+It begins with the ``TOP_WORDS`` most frequent words, each by itself, and all
+other words in groups of their ending.  Then every word that occurs at least
+``LEAST_COUNT`` times, however many there are, moves by itself: in a round the
+classes beside it are counted over the corpus and all words move at once, as
+long as the likelihood of the class bigrams rises.  Rarer and unseen words
+keep the class of their ending.  A text's probability is
 
     prod over tokens of  P(class | class before) * P(word | class),
 
@@ -26,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import fold, ship, tidy
+from graphloom.llm._io import fold, release, ship, tidy
 from graphloom.llm._text import LOWER, Words, mix, slices, utf8
-from graphloom.plans.lineage import written
+from graphloom.plans.lineage import drop_written, written
 
 #: Words that are units by themselves.
 TOP_WORDS = 768
@@ -36,8 +40,14 @@ TOP_WORDS = 768
 ENDINGS = 255
 CLASSES = 48
 PASSES = 6
+#: Training tokens of a word from which it has a class of its own choice.
+LEAST_COUNT = 5
+#: Rounds in which all such words move at once.
+ROUNDS = 2
 #: Tokens of a segment, about; a longer document is a segment of its own.
 SEGMENT = 2_500_000
+#: Tokens of a segment that are scored at once, about.
+CHUNK = 250_000
 #: Weight of class frequencies against transitions, in tokens.
 MIX = 50.0
 UNITS = TOP_WORDS + ENDINGS + 1
@@ -197,7 +207,7 @@ def _bigrams(corpus: DataFrame, top: np.ndarray) -> np.ndarray:
 
 def _read(batch: pa.RecordBatch, r: int) -> dict[str, np.ndarray]:
     kinds = {"docs": np.int64, "nulls": bool, "held": bool, "bounds": np.int64, "words": np.int64, "endings": np.uint8, "counts": np.uint32}
-    out = {k: np.frombuffer(batch.column(k)[r].as_py(), t) for k, t in kinds.items()}
+    out = {k: np.frombuffer(batch.column(k)[r].as_py(), t) for k, t in kinds.items() if k in batch.schema.names}
     out["tokens"] = _unsqueezed(batch.column("tokens")[r].as_py(), int(out["bounds"][-1]))
     return out
 
@@ -220,6 +230,68 @@ def _add_bigrams(table: np.ndarray, s: dict[str, np.ndarray], top: np.ndarray) -
     table += np.bincount((line[:-1] * UNITS + line[1:])[train], minlength=UNITS * UNITS)
 
 
+def _class_bigrams(line: np.ndarray, train: np.ndarray, k: int) -> np.ndarray:
+    """How often a class follows another; ``train`` tells the transitions of training documents."""
+    pair = line[:-1].astype(np.int32) * k
+    pair += line[1:]
+    return np.bincount(pair[train], minlength=k * k)
+
+
+def _class_line(s: dict[str, np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of a segment's tokens with ends, in few bytes; which transitions are those of training documents;
+    which places are tokens."""
+    sizes = np.diff(s["bounds"])
+    inner = np.ones(int(s["bounds"][-1]) + len(sizes) + 1, dtype=bool)
+    inner[np.concatenate([[0], np.cumsum(sizes + 1)])] = False
+    line = np.zeros(len(inner), dtype=np.int16)
+    line[inner] = label.astype(np.int16)[s["tokens"]]
+    return line, ~np.repeat(s["held"], sizes + 1), inner
+
+
+def _contexts(tokens: np.ndarray, chosen: np.ndarray, line: np.ndarray, train: np.ndarray, inner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chosen words, in training documents: (word's place times 2k plus what is beside it), and how often; the
+    classes after a word are 0 to k - 1, those before it k to 2k - 1."""
+    use = np.zeros(len(line), dtype=bool)
+    use[inner] = chosen[tokens]
+    use[:-1] &= train
+    at = np.flatnonzero(use)
+    word = tokens[use[inner]]
+    key = np.empty(2 * len(at), dtype=np.int64)
+    key[: len(at)] = word
+    key[len(at) :] = word
+    key *= 2 * k
+    key[: len(at)] += line[at + 1]
+    key[len(at) :] += line[at - 1] + np.int16(k)
+    del use, at, word
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+def moved(context: np.ndarray, label: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word, given the classes after and before it and the class bigrams.
+
+    The gain is that of the likelihood for a small change of the table; the
+    word's own tokens count in its class, so a word stays unless another class gains.
+    """
+    k = len(table)
+    log = np.log(table + 0.5)
+    out, into = context[:, :k].astype(np.float64), context[:, k:].astype(np.float64)
+    gain = out @ log.T + into @ log
+    gain -= out.sum(axis=1)[:, None] * np.log(table.sum(axis=1) + 0.5 * k)[None, :]
+    gain -= into.sum(axis=1)[:, None] * np.log(table.sum(axis=0) + 0.5 * k)[None, :]
+    gain[:, 0] = -np.inf
+    best = np.argmax(gain, axis=1)
+    here = np.arange(len(label))
+    return np.where(gain[here, best] > gain[here, label] + 1e-9, best, label)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, as far as it depends on the classes."""
+    t = table.astype(np.float64)
+    return float(_gain(t).sum() - _gain(t.sum(axis=0)).sum() - _gain(t.sum(axis=1)).sum())
+
+
 def _with_ends(line: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """An end, then each document's units and an end."""
     out = np.full(len(line) + len(sizes) + 1, END, dtype=np.int64)
@@ -304,12 +376,17 @@ class Model:
         k = int(label.max()) + 1
         member = np.zeros((len(label), k))
         member[np.arange(len(label)), label] = 1
-        table = member.T @ bigrams @ member
+        self.once = member.T @ once
+        self.estimate(member.T @ bigrams @ member)
+
+    def estimate(self, table: np.ndarray) -> None:
+        """Probabilities from the class bigrams."""
+        self.table = table
+        k = len(table)
         after = table.sum(axis=0)
         share = (after + 0.5) / (after.sum() + 0.5 * k)
         self.transition = np.log10((table + MIX * share[None, :]) / (table.sum(axis=1, keepdims=True) + MIX))
-        seen_once = member.T @ once
-        unknown = (seen_once + 1.0) / (after + 2.0)
+        unknown = (self.once + 1.0) / (after + 2.0)
         unknown[0] = 0.0  # the end is the only token of its class
         with np.errstate(divide="ignore"):
             self.known = np.log10(1.0 - unknown) - np.log10(np.maximum(after, 1.0))
@@ -324,25 +401,32 @@ class Model:
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scores(s: dict[str, np.ndarray], count: np.ndarray, model: Model, tokens: int, distinct: int, ends: int) -> pa.RecordBatch:
-    """One row for each document of a segment; ``count`` belongs to the segment's words."""
-    sizes = np.diff(s["bounds"])
+def _scores(s: dict[str, np.ndarray], count: np.ndarray, label: np.ndarray, model: Model, tokens: int, distinct: int, ends: int) -> pa.RecordBatch:
+    """One row for each document of a segment; ``count`` and ``label`` belong to the segment's words."""
+    bounds = s["bounds"]
+    sizes = np.diff(bounds)
     n = len(sizes)
-    doc = np.repeat(np.arange(n), sizes)
-    label = model.label[_units(s["words"], s["endings"], model.top)]
     with np.errstate(divide="ignore"):
         emission = np.where(count > 0, model.known[label] + np.log10(np.maximum(count, 1)), model.unknown[label])
     base = np.log10((count + 1.0) / (tokens + distinct + 1.0))
-    word = s["tokens"]
-    line = _with_ends(label[word], sizes)
-    # The end's place in ``line`` belongs to class 0.
-    ends_at = np.cumsum(sizes + 1)
-    line[0] = 0
-    line[ends_at] = 0
-    step = model.transition[line[:-1], line[1:]]
-    score = np.add.reduceat(step, np.concatenate([[0], ends_at[:-1]])) + np.bincount(doc, weights=emission[word], minlength=n)
     end = np.log10((ends + 1.0) / (tokens + distinct + 1.0))
-    known = np.bincount(doc, weights=(count > 0)[word], minlength=n).astype(np.int64) + (1 if ends else 0)
+    score, base_score, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+    i = 0
+    while i < n:  # some documents at a time, to hold few numbers for each token
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, side="right")) - 1)
+        own = sizes[i:j]
+        doc = np.repeat(np.arange(j - i), own)
+        word = s["tokens"][bounds[i] : bounds[j]]
+        line = _with_ends(label[word], own)
+        # The end's place in ``line`` belongs to class 0.
+        ends_at = np.cumsum(own + 1)
+        line[0] = 0
+        line[ends_at] = 0
+        step = model.transition[line[:-1], line[1:]]
+        score[i:j] = np.add.reduceat(step, np.concatenate([[0], ends_at[:-1]])) + np.bincount(doc, weights=emission[word], minlength=j - i)
+        base_score[i:j] = np.bincount(doc, weights=base[word], minlength=j - i) + end
+        known[i:j] = np.bincount(doc, weights=(count > 0)[word], minlength=j - i).astype(np.int64) + (1 if ends else 0)
+        i = j
     return pa.RecordBatch.from_arrays(
         [
             pa.array(s["docs"], mask=s["nulls"]),
@@ -350,7 +434,7 @@ def _scores(s: dict[str, np.ndarray], count: np.ndarray, model: Model, tokens: i
             pa.array(sizes + 1, pa.int64()),
             pa.array(known, pa.int64()),
             pa.array(np.full(n, tokens), pa.int64()),
-            pa.array(np.bincount(doc, weights=base[word], minlength=n) + end),
+            pa.array(base_score),
             pa.array(score),
         ],
         names=[c.split()[0] for c in RESULT.split(", ")],
@@ -396,18 +480,139 @@ def score_documents(documents: DataFrame, folds: int = 7, held: int = 2, classes
     bigrams = _bigrams(corpus, top)
     model = Model(top, exchange(bigrams, classes), bigrams, once, ends)
     tokens, distinct = int(sums.n) + ends, int(sums.v) + (1 if ends else 0)
+    back = counted.select(F.shiftright("place", 32).alias("segment"), "place", "total", F.lit(-1).cast("short").alias("label"))
+    own_class = _reclassed(corpus, back, model)
     shared = spark.sparkContext.broadcast(model)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=_EMPTY)
         s = _read(left.combine_chunks().to_batches()[0], 0)
-        count = np.zeros(len(s["words"]), dtype=np.int64)
-        count[right.column("place").to_numpy() & 0xFFFFFFFF] = right.column("total").to_numpy()
-        return pa.Table.from_batches([_scores(s, count, shared.value, tokens, distinct, ends)])
+        count, label = _known(s, right, shared.value)
+        found = pa.Table.from_batches([_scores(s, count, label, shared.value, tokens, distinct, ends)])
+        del s, count, label
+        release()
+        return found
+
+    rows = back if own_class is None else back.unionByName(own_class)
+    return corpus.drop("counts").groupBy("segment").cogroup(rows.groupBy("segment")).applyInArrow(run, RESULT)
+
+
+def _known(s: dict[str, np.ndarray], right: pa.Table, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word of a segment, from rows with a count and rows with a class."""
+    place = right.column("place").to_numpy() & 0xFFFFFFFF
+    total, given = right.column("total").to_numpy(), right.column("label").to_numpy()
+    count = np.zeros(len(s["words"]), dtype=np.int64)
+    plain = given < 0
+    count[place[plain]] = total[plain]
+    label = model.label[_units(s["words"], s["endings"], model.top)]
+    label[place[~plain]] = given[~plain]
+    return count, label
 
-    back = counted.select(F.shiftright("place", 32).alias("segment"), "place", "total")
-    return corpus.groupBy("segment").cogroup(back.groupBy("segment")).applyInArrow(run, RESULT)
+
+def _reclassed(corpus: DataFrame, back: DataFrame, model: Model) -> DataFrame | None:
+    """segment, place, total, label of the words that chose a class; ``model`` is estimated anew.
+
+    A round counts, segment by segment, the classes beside each word of at
+    least ``LEAST_COUNT`` tokens, sums them by word, and lets all words move.
+    The class bigrams are counted again afterwards; a round that doesn't raise
+    their likelihood is dropped.
+    """
+    spark = corpus.sparkSession
+    k = len(model.table)
+    shared = spark.sparkContext.broadcast(model)
+
+    def beside(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """A segment's class bigrams (in a row without a word) and its words' contexts."""
+        if not left.num_rows:
+            return pa.Table.from_batches([], schema=_BESIDE)
+        s = _read(left.combine_chunks().to_batches()[0], 0)
+        count, label = _known(s, right, shared.value)
+        line, train, inner = _class_line(s, label)
+        table = _class_bigrams(line, train, k)
+        # After the last round only the class bigrams are of use.
+        code, n = _contexts(s["tokens"], (count >= LEAST_COUNT) & (turn < ROUNDS), line, train, inner, k)
+        of = code // (2 * k)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        place = of[starts]
+        offsets = np.append(starts, len(code))
+        what = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((code % (2 * k)).astype(np.int16)))
+        often = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n.astype(np.int32)))
+        segment = int(left.column("segment")[0].as_py()) << 32
+        words = pa.Table.from_arrays([pa.array(s["words"][place]), pa.array(segment + place), pa.array(label[place].astype(np.int16)), what, often, pa.nulls(len(place), pa.list_(pa.int64()))], schema=_BESIDE)
+        own = pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int16()), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.list_(pa.int32())), pa.array([table], pa.list_(pa.int64()))], schema=_BESIDE)
+        del s, line, train, inner, code, of
+        release()
+        return pa.concat_tables([words, own])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word; a word's rows may be spread over batches."""
+        held = []
+        for batch in batches:
+            word = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(word, word[-1])) if len(word) else 0
+            if cut:
+                yield from _choices([*held, batch.slice(0, cut)], shared_table.value)
+                held = []
+            if len(word):
+                held.append(batch.slice(cut))
+        if held:
+            yield from _choices(held, shared_table.value)
+
+    own_class = before = None
+    lines = corpus.select("segment", "held", "bounds", "tokens", "words", "endings")
+    for turn in range(ROUNDS + 1):
+        rows = back if own_class is None else back.unionByName(own_class)
+        found = written(lines.groupBy("segment").cogroup(rows.groupBy("segment")).applyInArrow(beside, _BESIDE_DDL), "beside")
+        sums = found.filter("word is null").select(F.posexplode("bigrams").alias("pair", "n")).groupBy("pair").agg(F.sum("n").alias("n")).collect()  # k ** 2 rows
+        table = np.zeros(k * k, dtype=np.int64)
+        for r in sums:
+            table[r.pair] = r.n
+        table = table.reshape(k, k)
+        if turn and likelihood(table) <= likelihood(model.table):
+            drop_written(found)
+            return before
+        model.estimate(table.astype(np.float64))
+        if before is not None:
+            drop_written(before)
+        if turn == ROUNDS:
+            drop_written(found)
+            return own_class
+        shared_table = spark.sparkContext.broadcast(table.astype(np.float64))
+        before = own_class
+        chosen = found.filter("word is not null").select("word", "place", "label", "what", "often").repartition("word").sortWithinPartitions("word")
+        own_class = written(chosen.mapInArrow(tidy(choose), "segment bigint, place bigint, total bigint, label smallint"), "classes")
+        drop_written(found)
+    return own_class
+
+
+def _choices(batches: list[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class of whole words' rows."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    word = rows.column("word").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+    k = len(table)
+    what, often = rows.column("what").combine_chunks(), rows.column("often").combine_chunks()
+    owner = np.repeat(which, what.value_lengths().to_numpy())
+    code = owner * (2 * k) + what.flatten().to_numpy()
+    context = np.bincount(code, weights=often.flatten().to_numpy(), minlength=len(first) * 2 * k).reshape(-1, 2 * k)
+    best = moved(context, rows.column("label").to_numpy()[first].astype(np.int64), table)
+    place = rows.column("place").to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array(place >> 32), pa.array(place), pa.array(np.zeros(len(place), np.int64)), pa.array(best[which].astype(np.int16))], names=["segment", "place", "total", "label"])
+
+
+_BESIDE = pa.schema(
+    [
+        ("word", pa.int64()),
+        ("place", pa.int64()),
+        ("label", pa.int16()),
+        ("what", pa.list_(pa.int16())),
+        ("often", pa.list_(pa.int32())),
+        ("bigrams", pa.list_(pa.int64())),
+    ]
+)
+_BESIDE_DDL = "word bigint, place bigint, label smallint, what array<smallint>, often array<int>, bigrams array<bigint>"
 
 
 _EMPTY = pa.schema(

@@ -190,3 +190,44 @@ def test_gain_of_a_move_is_that_of_the_likelihood():
     before = likelihood(np.append(start, 0), 4)
     after = likelihood(brown_lm.exchange(bigrams, classes=4), 4)
     assert after >= before
+
+
+def test_every_counted_word_chooses_its_class(spark, monkeypatch):
+    """Words of one ending, too rare for units of their own, part by what is beside them."""
+    draw = random.Random(5)
+    left, right = ([f"{side}{i}{side}" for i in range(500)] for side in ("a", "q"))
+    odd = [f"m{i}zzz" for i in range(20)]
+    docs = [" ".join(draw.choice(left) for _ in range(40)) if d % 2 else " ".join(draw.choice(right) for _ in range(40)) for d in range(700)]
+    for i, w in enumerate(odd):
+        for _ in range(8):
+            own = (left, right)[i % 2]
+            docs.append(f"{draw.choice(own)} {w} {draw.choice(own)}")
+    seen = {}
+    true = brown_lm._reclassed
+
+    def spy(corpus, back, model):
+        first = brown_lm.likelihood(model.table)
+        own = true(corpus, back, model)
+        seen.update(rows=own.collect(), first=first, last=brown_lm.likelihood(model.table), table=model.table)
+        return own
+
+    monkeypatch.setattr(brown_lm, "_reclassed", spy)
+    monkeypatch.setattr(brown_lm, "SEGMENT", 3000)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = brown_lm.score_documents(df).collect()
+    assert len(got) == len(docs) and all(math.isfinite(r.score) for r in got)
+    # More words than fixed units have a class, and the likelihood is higher.
+    train = Counter(w for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    counted = sum(n >= brown_lm.LEAST_COUNT for n in train.values())
+    assert counted > brown_lm.TOP_WORDS
+    assert seen["last"] > seen["first"]
+    assert seen["table"].sum() == sum(train.values()) + sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(docs)))
+
+
+def test_moved_words_follow_their_neighbours():
+    table = np.zeros((4, 4))
+    table[1, 1], table[2, 2], table[3, 3], table[0, 1:], table[1:, 0] = 500, 500, 500, 5, 5
+    context = np.zeros((3, 8), dtype=np.int64)
+    context[0, [2, 6]] = 6  # class 2 on both sides
+    context[1, [3, 7]] = 6
+    assert brown_lm.moved(context, np.array([1, 1, 1]), table).tolist() == [2, 3, 1]
