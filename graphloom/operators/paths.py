@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,12 +180,12 @@ def a_star(p: Projected, sources: DataFrame, targets: DataFrame, coordinates: Da
     return _weighted(p, wanted, bound, coordinates)
 
 
-def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops: int = 16) -> DataFrame:
+def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops: int | None = None) -> DataFrame:
     """source, target, rank, nodes, hop_count, total_cost: the k least paths without a repeated node.
 
     Distances to each target bound what a partial path can still cost; it is
     dropped when k whole paths cost less than that.  Paths have ``max_hops`` at
-    most.  Ties go to fewer hops, then to order.
+    most, or any number where none is given.  Ties go to fewer hops, then to order.
     """
     if k <= 0:
         raise ValueError("k is positive")
@@ -196,7 +197,7 @@ def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops:
     order = Window.partitionBy("source", "target").orderBy("cost", "hops", "nodes")
     whole = None
     front = written(wanted.select("source", "target", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source").alias("nodes")), "front")
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         at = F.element_at("nodes", -1)
         ahead = (
             front.withColumn("at", at)

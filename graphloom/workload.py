@@ -529,6 +529,13 @@ def r_yen(g: Graph) -> DataFrame:
     return _joined(found).select("source", "target", "rank", "nodes", "hop_count", "total_cost")
 
 
+@_query
+def r_yen_all(g: Graph) -> DataFrame:
+    """Routes of any number of hops."""
+    a, b = _ends(g)
+    return _joined(a.shortest_path_to(b, g.relation("FOLLOWED_BY")).weighted_by("weight").yen(3).to_df()).select("source", "target", "rank", "nodes", "hop_count", "total_cost")
+
+
 # --- similarity ---------------------------------------------------------------------
 
 WIDTH = 256

@@ -226,3 +226,12 @@ def test_haversine(spark):
 
     far = spark.range(1).select(paths.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0)).alias("d")).first().d
     assert far == pytest.approx(math.pi / 2 * paths.EARTH_RADIUS)
+
+
+def test_yen_has_no_hop_limit(spark):
+    """A cheap chain of 20 hops is found beside a dear short route."""
+    chain = [(i, i + 1, 1.0) for i in range(20)]
+    p = projection(spark, [*chain, (0, 10, 50.0), (10, 20, 50.0)])
+    ends = [spark.createDataFrame([(i,)], "id long") for i in (0, 20)]
+    got = sorted(paths.yen(p, *ends, k=2).collect(), key=lambda r: r["rank"])
+    assert [(r.hop_count, r.total_cost) for r in got] == [(20, 20.0), (11, 60.0)]
