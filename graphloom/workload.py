@@ -309,6 +309,78 @@ def x_raw_sql(g: Graph) -> DataFrame:
     return g.sql("SELECT c_mktsegment, count(*) AS n FROM Customer WHERE c_acctbal > :least GROUP BY c_mktsegment", least=1000.0)
 
 
+# --- the same over whole tables --------------------------------------------------------
+
+
+@_query
+def p_in_all(g: Graph) -> DataFrame:
+    return g.nodes("Order").where(lambda o: o.o_orderpriority.is_in(["1-URGENT", "2-HIGH"])).select("o_orderkey", "o_orderpriority").to_df()
+
+
+@_query
+def t_distinct_all(g: Graph) -> DataFrame:
+    return g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).distinct().select("p_partkey", "p_name").to_df()
+
+
+@_query
+def x_undirected_all(g: Graph) -> DataFrame:
+    return g.nodes("Part").traverse(g.relation("BOUGHT_WITH")).select("p_partkey", "p_size").to_df()
+
+
+@_query
+def x_undirected_2_all(g: Graph) -> DataFrame:
+    return g.nodes("Part").traverse(g.relation("BOUGHT_WITH")).traverse(g.relation("BOUGHT_WITH")).select("p_partkey").to_df()
+
+
+@_query
+def x_optional_all(g: Graph) -> DataFrame:
+    return g.nodes("Customer").traverse_optional(g.relation("RETURNED_FROM")).where(lambda s: s.s_acctbal > 0).select("s_suppkey", "s_acctbal").to_df()
+
+
+@_query
+def x_any_all(g: Graph) -> DataFrame:
+    return g.nodes("Customer").traverse_any(g.relation("ORDERED_HIGH"), g.relation("ORDERED_OPEN")).select("o_orderkey").to_df()
+
+
+@_query
+def x_path_all(g: Graph) -> DataFrame:
+    found = g.nodes("Customer").traverse_path(g.relation("PLACED")).to_df()
+    return found.select(F.col("source.c_custkey").alias("c_custkey"), F.col("relation.o_totalprice").alias("price"), F.col("target.o_orderkey").alias("o_orderkey"))
+
+
+@_query
+def x_where_relation_all(g: Graph) -> DataFrame:
+    found = g.nodes("Order").traverse_path(g.relation("CONTAINS")).where_relation(lambda r: r.l_quantity >= 45).where_target(lambda p: p.p_size > 25).to_df()
+    return found.select(F.col("source.o_orderkey").alias("o_orderkey"), F.col("relation.l_quantity").alias("quantity"), F.col("target.p_partkey").alias("p_partkey"))
+
+
+@_query
+def x_var_depth_all(g: Graph) -> DataFrame:
+    return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 1, 3).select("user_id").to_df()
+
+
+@_query
+def x_zero_depth_all(g: Graph) -> DataFrame:
+    return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 0, 1).select("user_id").to_df()
+
+
+@_query
+def x_simple_path_all(g: Graph) -> DataFrame:
+    return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 2, 3).without_cycles().select("user_id").to_df()
+
+
+@_query
+def x_subgraph_nodes_all(g: Graph) -> DataFrame:
+    nodes, _ = g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
+    return nodes.select("label", "id")
+
+
+@_query
+def x_subgraph_edges_all(g: Graph) -> DataFrame:
+    _, edges = g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
+    return edges.select("relation", "source_id", "target_id")
+
+
 # --- analytics ----------------------------------------------------------------------
 
 

@@ -100,6 +100,17 @@ SQL["x_subgraph_edges"] = f"""SELECT DISTINCT 'PLACED' AS relation, CAST(o_custk
 UNION ALL SELECT 'CONTAINS', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) FROM {_SUB}"""
 SQL["x_raw_sql"] = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_mktsegment"
 
+# --- the same over whole tables --------------------------------------------------------
+
+#: What restricts the ids in the statements above.
+_FEW = {
+    "p_in": " AND o_orderkey < 2000", "t_distinct": "WHERE o_custkey < 60", "x_undirected": " WHERE src < 200", "x_undirected_2": "a.src < 100 AND ",
+    "x_optional": "src < 300 AND ", "x_any": "o_custkey < 100 AND ", "x_path": " WHERE o_custkey < 50", "x_where_relation": "l_orderkey < 3000 AND ",
+    "x_var_depth": " WHERE src < 4", "x_simple_path": " WHERE src < 4", "x_subgraph_nodes": " WHERE o_custkey < 20", "x_subgraph_edges": " WHERE o_custkey < 20",
+}
+SQL |= {f"{name}_all": SQL[name].replace(few, "") for name, few in _FEW.items()}
+SQL["x_zero_depth_all"] = f"SELECT id AS user_id FROM ({USERS}) UNION ALL SELECT dst FROM ({FOLLOWED})"
+
 # --- analytics ----------------------------------------------------------------------
 
 SQL["a_degree"] = _with(USERS, FOLLOWED) + " SELECT id AS user_id, round(CAST(coalesce(sum(weight), 0) AS DOUBLE), 6) AS score FROM n LEFT JOIN e ON src = id GROUP BY id"
