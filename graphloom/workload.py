@@ -531,6 +531,41 @@ def a_sllpa(g: Graph) -> DataFrame:
     return found.select("p_partkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("communities"))
 
 
+# The same over the whole relation.
+
+
+@_query
+def a_articulation_all(g: Graph) -> DataFrame:
+    return _parts(g).articulation_points().to_df().select("p_partkey", "resulting_components")
+
+
+@_query
+def a_bridges_all(g: Graph) -> DataFrame:
+    found = _parts(g).bridges().to_df()
+    return found.select("from", "to", F.col("remaining_sizes")[0].alias("size_from"), F.col("remaining_sizes")[1].alias("size_to"))
+
+
+@_query
+def a_leiden_all(g: Graph) -> DataFrame:
+    return _parts(g).leiden(levels=2, iterations=3).to_df().select("p_partkey", "community_id")
+
+
+@_query
+def a_modopt_all(g: Graph) -> DataFrame:
+    return _parts(g).modularity_optimization(iterations=3).to_df().select("p_partkey", "community_id")
+
+
+@_query
+def a_maxkcut_all(g: Graph) -> DataFrame:
+    return _parts(g).max_k_cut(k=2, iterations=3).to_df().select("p_partkey", "community_id")
+
+
+@_query
+def a_sllpa_all(g: Graph) -> DataFrame:
+    found = _parts(g).sllpa(iterations=4).to_df()
+    return found.select("p_partkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("communities"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> Graph:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     model = ModelBuilder().node("Vector", ["vec_id", "label"], key="vec_id").build()

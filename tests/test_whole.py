@@ -26,3 +26,29 @@ def test_whole(spark, name):
     got = Counter(tuple(r) for r in workload.QUERIES[name](spark, DATA).collect())
     assert got == want
     assert not name.startswith("x_path") or len(got) == con.execute("SELECT count(*) FROM orders").fetchone()[0]
+
+
+def parts_reached(edges, start, without):
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        for e in edges.get(at, ()):
+            if e != without and (at, e) != without and (e, at) != without and e not in seen:
+                seen.add(e)
+                todo.append(e)
+    return seen
+
+
+def test_bridges_and_cut_nodes_of_the_whole_relation(spark):
+    """By taking away each edge and node of BOUGHT_WITH."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    edges, pairs = {}, [(a, b) for a, b, _ in con.execute(workload_sql.BOUGHT).fetchall()]
+    for a, b in pairs:
+        edges.setdefault(a, set()).add(b)
+        edges.setdefault(b, set()).add(a)
+    bridges = {(min(p), max(p)) for p in pairs if p[1] not in parts_reached(edges, p[0], p)}
+    cut = {n for n, own in edges.items() if len({frozenset(parts_reached(edges, x, n)) for x in own}) > 1}
+    got = {(min(r["from"], r["to"]), max(r["from"], r["to"])) for r in workload.QUERIES["a_bridges_all"](spark, DATA).collect()}
+    assert got == bridges
+    assert {r.p_partkey for r in workload.QUERIES["a_articulation_all"](spark, DATA).collect()} == cut
