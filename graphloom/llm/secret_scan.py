@@ -201,7 +201,7 @@ EXTRA_RULES = [
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,255}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,250}\.[A-Za-z0-9_-]{8,250}\.[A-Za-z0-9_-]{8,250}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,250}"),
 ]
 RULES = [*BASE_RULES, *EXTRA_RULES]

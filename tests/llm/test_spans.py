@@ -131,3 +131,12 @@ def test_pii_digests_and_redaction(spark):
     assert sorted((r.text or "", r.doc_id or 0) for r in clean.collect()) == [("", 2), ("", 4), ("call <PHONE>", 0), ("mail <EMAIL> now", 1), ("mail <EMAIL> now", 1)]
     assert sum(r.text is None for r in clean.collect()) == 1
     assert span_text([(0, 1, 3), (5, 0, 9)], ["a", "b"]) == "b:0:3,a:5:9"
+
+
+@pytest.mark.parametrize("sizes", [(20, 251, 43), (36, 900, 342), (260, 300, 400)])
+def test_long_web_tokens_are_whole(sizes):
+    parts = ["eyJ" + "a" * sizes[0], "b" * sizes[1], "c" * sizes[2]]
+    token = ".".join(parts)
+    kind = [r.kind for r in RULES].index("jwt")
+    found = scan_batch(pa.array([f"x {token} y"]), RULES)[0]
+    assert (2, kind, 2 + len(token)) in found
