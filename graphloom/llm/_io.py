@@ -14,6 +14,9 @@ from threading import Lock
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.plans.lineage import setting
 
 _SHIPPED: set[str] = set()
 _LOCK = Lock()
@@ -25,6 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of a batch that go to Python at once; Spark's default is made for short rows, not for texts.
 BATCH_ROWS = 1000
+#: Bytes of such a batch, where rows are large.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,6 +37,9 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := (setting(spark, size) or "").removesuffix("b")).isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     with _LOCK:
         if app in _SHIPPED:
@@ -45,6 +53,20 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` equals, case aside."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, T.StructType]:
+    """The columns under names c0, c1, ... that can't clash, and their types."""
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])
+    return df.toDF(*schema.names), schema
+
+
 def tidy(run):
     """A task's function that hands free memory back to the system at its end.
 

@@ -10,26 +10,30 @@ about one in a million.)
 
 Documents that share a key are a bucket.  Candidates are confirmed on the full
 shingle sets.  No bucket is expanded into its pairs: first every member is
-compared with the bucket's least member, which settles groups of copies; then
-only buckets whose members are still in different components are compared
-further, in tiles of bounded size, on signatures, and only the survivors of
+compared with the least member of its star, a bounded part of the bucket, and
+the stars' least members in stars of their own, which settles groups of copies.
+Then, in buckets whose members are still in different components, those outside
+the largest component are compared with all others, in tiles of bounded size
+and of sets whose sizes allow a link, on signatures, and only the survivors of
 that on full sets.  Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm._io import ship, tidy
+from graphloom.llm._io import fresh, ship, tidy
 from graphloom.llm._text import Words, mix, shingle_sets, slices, utf8
 from graphloom.operators.components import connected_components
-from graphloom.plans.lineage import written
+from graphloom.plans.lineage import scratch, written
 
 HASHES = 40
 BITS = 16
@@ -44,8 +48,13 @@ LOOSE = 24
 WIDTH = 5
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-#: Members of a bucket that one tile holds on a side.
-TILE = 1024
+#: Members of a bucket that are compared with one pivot, about; a power of two.
+STAR = 256
+#: Members of a bucket that one tile holds on a side, about.
+TILE = 512
+#: Sets are graded by the logarithm of their size to this base: linked ones differ by one
+#: grade at most, since it is more than 100 / SIMILARITY.
+GRADE = 1.34
 #: Bins of a one-permutation sketch, which tells similar from nearly similar
 #: documents in a tile: a shingle's bin is its hash's first bits.
 BINS = 256
@@ -160,14 +169,42 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
+    """key, node, grade: all keys of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = chunk_keys(_matrix(batch.column(1)))
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "node"])
+                size = batch.column(2).to_numpy(zero_copy_only=False)
+                grade = np.repeat(np.floor(np.log(np.maximum(size, 1)) / np.log(GRADE)).astype(np.int32), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(grade)], names=["key", "node", "grade"])
+
+    return nodes.select("node", "signature", "n_shingles").mapInArrow(tidy(run), "key bigint, node bigint, grade int")
+
 
-    return nodes.select("node", "signature").mapInArrow(tidy(run), "key bigint, node bigint")
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b): each member and the least member b of its star, then those least
+    members in stars of their own, and so on up to the bucket's least member.
+
+    A node falls into the same part of all buckets of about one size, so that
+    copies, which share many buckets, meet few different pivots.
+    """
+    most = buckets.agg(F.max("size")).first()[0] or 0
+    small = buckets.filter(F.col("size") <= STAR).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    out = [small]
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / F.lit(float(STAR))))).cast("long")
+    rows = buckets.filter(F.col("size") > STAR).select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    last = most <= STAR
+    while not last:
+        last = most <= STAR  # then every bucket is one part
+        least = F.min("node").over(Window.partitionBy("key", "part"))
+        out.append(rows.select(F.col("node").alias("a"), least.alias("b")))
+        fewer = F.greatest(F.lit(1).cast("long"), F.floor(F.col("parts") / STAR).cast("long"))
+        heads = rows.groupBy("key", "part").agg(F.min("node").alias("node"), F.min("parts").alias("parts"))
+        rows = heads.select("key", "node", fewer.alias("parts"), F.pmod("part", fewer).alias("part"))
+        most = -(-2 * most // STAR)  # rounded up to a power of two
+    return reduce(DataFrame.union, out).filter("a <> b").distinct()
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,34 +259,42 @@ def _texts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(there.astype(bool)))
 
     chosen = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    # A repeated id has one text here; rows of one id are one document.
-    found = chosen.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(1 << log))).mapInArrow(tidy(run), "node bigint, text string")
-    return found
+    return chosen.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(1 << log))).mapInArrow(tidy(run), "node bigint, text string")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link on full shingle sets."""
+def _confirmed(pairs: DataFrame, documents: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) that link on full shingle sets.
+
+    A pivot's text is sent once, to where its star's texts go; no pair carries
+    two texts.  An id with several texts links if one of them does.
+    """
     texts = _texts(documents, pairs)
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    if repeated:
+        texts = texts.distinct()  # a row that is repeated very often is compared once
+    needed = pairs.select(F.col("a").alias("node"), "b").union(pairs.select(F.col("b").alias("node"), "b").distinct())
+    rows = needed.join(texts, "node").select("b", "node", (F.col("node") != F.col("b")).alias("member"), "text")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held = None, []
         for batch in batches:
-            _, offsets = utf8(batch.column(2))
+            _, offsets = utf8(batch.column(3))
             for i, j in slices(offsets):
                 part = batch.slice(i, j - i)
-                yield part.select([0, 1]).filter(pa.array(_links(part)))
-
-    return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
-
-
-def _links(part: pa.RecordBatch) -> np.ndarray:
-    left, left_at = _sets(part.column(2))
-    ids, first, which = np.unique(part.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
-    right, right_at = _sets(part.column(3).take(pa.array(first)))
-    out = np.zeros(part.num_rows, dtype=bool)
-    for r in range(part.num_rows):
-        out[r] = _linked_sets(left[left_at[r] : left_at[r + 1]], right[right_at[which[r]] : right_at[which[r] + 1]])
-    return out
+                values, bounds = _sets(part.column(3))
+                linked = np.zeros(part.num_rows, dtype=bool)
+                b, member = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+                for r in range(part.num_rows):
+                    own = values[bounds[r] : bounds[r + 1]]
+                    if b[r] != pivot:
+                        pivot, held = b[r], []
+                    if member[r]:
+                        linked[r] = any(_linked_sets(own, x) for x in held)
+                    else:
+                        held.append(own.copy())
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0)], names=["a", "b"]).filter(pa.array(linked))
+
+    return rows.repartition(parts, "b").sortWithinPartitions("b", "member").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _linked_sets(a: np.ndarray, b: np.ndarray) -> bool:
@@ -277,31 +322,20 @@ def _tiles(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     """Rows of ``TILED``: members of a tile that are near a member of another component.
 
     Buckets of one component, and buckets of two members (already compared),
-    are left out.  A larger bucket is dealt into blocks of about ``TILE``
-    members, and each pair of blocks is a tile of its own.  Members are
-    returned, never pairs.
+    are left out.  In the others only members outside the bucket's largest
+    component, its minor members, look for others: a bucket with few of them
+    makes few rows, however large it is.  A bucket of more than ``TILE``
+    members is dealt into blocks by grade, minor or not, and a hash; a tile
+    is a block of minor members and another block of a grade that allows links.
+    Members are returned, never pairs.
     """
-    labelled = buckets.join(labels, buckets.node == labels.id, "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("size > 2 and low <> high")
-        .select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    )
-    rows = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "signature", "sketch"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = dealt.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-        "key",
-        (F.col("block") <= F.col("other")).alias("left"),
-        (F.col("block") >= F.col("other")).alias("right"),
-        "node",
-        "label",
-        "n_shingles",
-        "signature",
-        "sketch",
-    )
+    labelled = buckets.join(labels, buckets.node == labels.id, "left").select("key", "node", "grade", "size", F.coalesce("component", "node").alias("label"))
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("of")).filter("labels > 1 and of > 2")
+    rows = labelled.join(mixed.select("key", F.col("most.label").alias("major")), "key").withColumn("minor", F.col("label") != F.col("major"))
+    rows = written(rows.select("key", "node", "grade", "size", "label", "minor"), "mixed")
+    small = rows.filter(F.col("size") <= TILE).select(F.xxhash64("key").alias("tile"), "key", F.col("minor").alias("left"), F.lit(True).alias("right"), "node", "label")
+    tiled = small.union(_dealt(rows.filter(F.col("size") > TILE))).join(nodes.select("node", "n_shingles", "signature", "sketch"), "node")
 
     def near(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         members = np.zeros(rows.num_rows, dtype=bool)
@@ -311,7 +345,24 @@ def _tiles(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         if members.any():
             yield from rows.filter(pa.array(members)).combine_chunks().to_batches()
 
-    return _by_tile(tiled).mapInArrow(tidy(_each_tile(near)), TILED)
+    return _by_tile(tiled.select(*(c.split()[0] for c in TILED.split(", ")))).mapInArrow(tidy(_each_tile(near)), TILED)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """tile, key, left, right, node, label of large buckets: each member once for each tile of its block."""
+    kind = ["key", "grade", "minor"]
+    parts = rows.groupBy(*kind).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    blocks = parts.select(*kind, "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left = blocks.filter("minor").select("key", F.col("grade").alias("g"), F.col("part").alias("p"))
+    right = blocks.select("key", F.col("grade").alias("h"), F.col("minor").alias("m"), F.col("part").alias("q"))
+    # Pairs of blocks, not of members; two minor blocks meet once.
+    tiles = left.join(right, "key").filter("abs(g - h) <= 1 and (not m or h > g or (h = g and q >= p))")
+    tiles = tiles.withColumn("tile", F.xxhash64("key", "g", "p", "h", "m", "q")).withColumn("own", F.expr("m and h = g and p = q"))
+    sides = tiles.select("tile", "key", F.col("g").alias("grade"), F.lit(True).alias("minor"), F.col("p").alias("part"), F.lit(True).alias("left"), F.col("own").alias("right")).union(
+        tiles.filter("not own").select("tile", "key", F.col("h").alias("grade"), F.col("m").alias("minor"), F.col("q").alias("part"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    )
+    members = rows.join(parts, kind).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return members.join(sides, [*kind, "part"]).select("tile", "key", "left", "right", "node", "label")
 
 
 def _late_links(tiled: DataFrame, documents: DataFrame) -> DataFrame:
@@ -410,39 +461,56 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Null texts and texts without words have no shingles and link with nothing.
-    Rows of one id are one document.  Rows with a null id take no part: their
-    component is null and they are kept.  An empty input gives an empty result.
-    Other columns are not read.
+    Rows of one id are one document: if their texts differ, each row has its own
+    ``n_shingles``, and what links with one of the texts is in the component
+    of all.  Rows with a null id take no part: their component is null and
+    they are kept.  An empty input gives an empty result.  Other columns are
+    not read.
     """
-    spark = documents.sparkSession
-    every = written(signatures(documents), "signatures")
-    alike = every.filter("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    classes = written(alike, "classes")
-    nodes = _nodes(every, classes)
-    labels = _linked(spark, documents, nodes)
-    found = (
-        every.join(classes, ["set_a", "set_b"], "left")
-        .join(labels, F.col("node") == F.col("id"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
-    )
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with scratch(documents.sparkSession) as kept:
+        every = written(signatures(documents), "signatures")
+        known = every.filter("set_a is not null and doc_id is not null")
+        # A class of equal sets is named by its least id.  Two classes may have one name: that id has both texts.
+        classes = written(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "classes")
+        repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+        labels = _linked(documents, _nodes(every, classes), _own_links(known, classes) if repeated else None)
+        found = (
+            every.join(classes, ["set_a", "set_b"], "left")
+            .join(labels, F.col("node") == F.col("id"), "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
+        )
+        if repeated:
+            # An id with words in one row only, or with several texts, has one component.
+            whole = found.filter("doc_id is not null and component is not null").groupBy(F.col("doc_id").alias("of")).agg(F.min("component").alias("all"))
+            found = found.join(whole, F.col("doc_id") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component", "all").alias("component"))
+        out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        return kept(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_duplicates")
+
+
+def _own_links(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that an id's texts are in."""
+    named = known.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "node")
+    least = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("doc_id", "b")
+    return named.join(least, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _nodes(every: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, n_shingles, signature, sketch: one row for each distinct set."""
+    """node, n_shingles, signature, sketch: a row for each distinct set."""
     chosen = every.filter("set_a is not null").select(F.col("doc_id").alias("node"), "set_a", "set_b", "n_shingles", "signature", "sketch")
-    return written(chosen.join(classes, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "signature", "sketch"), "nodes")
+    one = chosen.join(classes, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node", "set_a", "set_b"])
+    return written(one.select("node", "n_shingles", "signature", "sketch"), "nodes")
 
 
-def _linked(spark: SparkSession, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component) of nodes with a link."""
+def _linked(documents: DataFrame, nodes: DataFrame, own: DataFrame | None) -> DataFrame:
+    """(id, component) of nodes with a link; ``own`` are links that are known already."""
     keys = _keys(nodes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    buckets = written(keys.join(shared.select("key", "pivot"), "key").distinct(), "buckets")
-    first = written(_near(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), nodes), "candidates")
-    links = written(_confirmed(first, documents), "links")
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size")).filter("pivot <> last")
+    buckets = written(keys.join(shared.select("key", "pivot", "size"), "key").distinct(), "buckets")
+    first = written(_near(_stars(buckets), nodes).distinct(), "candidates")
+    links = _confirmed(first, documents, own is not None)
+    links = written(links if own is None else links.union(own), "links")
     labels = written(connected_components(links, "a", "b"), "labels")
-    rest = written(_tiles(buckets.select("key", "node"), labels, nodes), "tiles")
+    rest = written(_tiles(buckets, labels, nodes), "tiles")
     if rest.isEmpty():
         return labels
     late = written(_late_links(rest, documents), "links")
@@ -462,13 +530,24 @@ def _linked(spark: SparkSession, documents: DataFrame, nodes: DataFrame) -> Data
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, all its columns.
+    """One document of each group of near-duplicates, all its columns, whatever their names.
 
-    The one of the least id stays; of repeated rows of an id, the first by
-    text.  Documents without words and rows with a null id stay.
+    The one of the least id stays; of repeated rows of an id, the first by text
+    (nulls first), then by the other columns that have an order.  Documents
+    without words and rows with a null id stay.  An empty input gives an empty result.
     """
     kept = near_duplicates(documents).filter("kept and doc_id is not null").select("doc_id").distinct()
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    others = [F.col(f"`{f.name}`") for f in documents.schema if f.name not in ("doc_id", "text") and _ordered(f.dataType)]
+    place = Window.partitionBy("doc_id").orderBy("text", *others)
+    name = fresh("place", documents.columns)
     known = documents.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = known.withColumn("__place", F.row_number().over(place)).filter("__place = 1").drop("__place")
+    one = known.withColumn(name, F.row_number().over(place)).filter(F.col(name) == 1).drop(name)
     return one.select(*documents.columns).union(documents.filter("doc_id is null"))
+
+
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))

@@ -47,9 +47,10 @@ def fixture(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
-def test_against_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "star"), [(512, 256), (4, 4)])
+def test_against_brute_force(spark, monkeypatch, tile, star):
     monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "STAR", star)
     rows = fixture()
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, node int")
     own, label = brute(rows)
@@ -85,6 +86,52 @@ def test_repeated_rows_and_nulls(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0 and near_dup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id(spark):
+    """An id with two texts joins what links with either; each row keeps its own size."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    near = a.replace("a39", "z")
+    rows = [(1, a), (2, b), (2, near), (3, b), (4, b + " more"), (5, None), (5, "lone word"), (6, "c " * 9)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 36, 1, True), (2, 36, 1, False), (2, 36, 1, False), (3, 36, 1, False), (4, 37, 1, False), (5, 0, 5, True), (5, 1, 5, True), (6, 1, 6, True)]
+
+
+def test_deduplicate_keeps_all_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2, text, 1, {"k": 1}, "x"), (1, text, 9, {"k": 2}, "y"), (1, text, 3, {"k": 3}, "z"), (1, "a" + text, 0, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int, `_place` map<string,int>, `__place` string")
+    got = near_dup.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "a" + text, 0, None, None), (None,) * 5], key=str)
+
+
+def test_one_stray_in_a_large_bucket(spark, monkeypatch):
+    """A bucket of one component and a stray makes about as many rows as it has members."""
+    monkeypatch.setattr(near_dup, "TILE", 64)
+    n = 100_000
+    rows = spark.range(n).selectExpr("7L as key", "id as node", "cast(id % 2 as int) as grade", f"{n}L as size", "if(id = 5, 5L, -1L) as label", "id = 5 as minor")
+    made = near_dup._dealt(rows)
+    blocks = made.filter("left").count()
+    assert made.filter("right").count() == n and blocks <= 2 * (n // 64)
+    assert made.groupBy("tile").count().agg({"count": "max"}).first()[0] < 150
+
+
+def test_stars_reach_every_member(spark, monkeypatch):
+    """From every member a chain of pairs leads to the bucket's least one, and no pivot has many members."""
+    monkeypatch.setattr(near_dup, "STAR", 8)
+    n = 3000
+    buckets = spark.range(n).selectExpr("3L as key", "id + 10 as node", "0 as grade", "10L as pivot", f"{n}L as size").union(spark.range(5).selectExpr("4L", "id", "0", "0L", "5L"))
+    pairs = [(r.a, r.b) for r in near_dup._stars(buckets).collect()]
+    up = {}
+    for a, b in pairs:
+        assert b < a
+        up.setdefault(a, b)
+    for x in [*range(1, 5), *range(11, n + 10)]:
+        while x in up:
+            x = up[x]
+        assert x in (0, 10)
+    assert max(np.unique([b for _, b in pairs], return_counts=True)[1]) < 60
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     draw = np.random.default_rng(2)
     a = draw.integers(0, 1 << near_dup.BITS, (400, near_dup.HASHES)).astype(np.uint16)
