@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import ship, tidy
+from graphloom.llm._io import numbered, ship, tidy
 from graphloom.llm._text import Words, mix, slices, utf8
 
 # The seeds.  1 is read, 0 is ignored.
@@ -40,6 +40,8 @@ LEAST_AGREEMENT = 0.8
 _GAIN = (1, -4)
 #: Tokens of the benchmark that are broadcast at once.
 BLOCK_TOKENS = 500_000
+#: Pairs of agreeing windows that are held at once, about: a text and an item that repeat one passage have the product of both.
+HITS = 500_000
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -102,18 +104,21 @@ class TestIndex:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``h``, place in the benchmark) of agreeing windows."""
-        mine, theirs = [], []
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ``h``, place in the benchmark) of agreeing windows, about ``HITS`` of them at a time."""
         for salt, mask in self.seeds:
             own = _seed_hashes(h, mask, salt)
             near = np.flatnonzero(self.maybe[(own >> np.uint64(44)).astype(np.int64)])
             low = np.searchsorted(self.key, own[near], side="left")
-            high = np.searchsorted(self.key, own[near], side="right")
-            count = high - low
-            mine.append(np.repeat(near, count))
-            theirs.append(self.place[np.repeat(low, count) + _ramp(count)])
-        return np.concatenate(mine), np.concatenate(theirs)
+            count = np.searchsorted(self.key, own[near], side="right") - low
+            there = count > 0
+            near, low, count = near[there], low[there], count[there]
+            total = np.cumsum(count)
+            i = 0
+            while i < len(near):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + HITS, side="right")))
+                yield np.repeat(near[i:j], count[i:j]), self.place[np.repeat(low[i:j], count[i:j]) + _ramp(count[i:j])]
+                i = j
 
 
 def _ramp(count: np.ndarray) -> np.ndarray:
@@ -140,7 +145,8 @@ def _trimmed(same: np.ndarray, start: int, end: int) -> tuple[int, int]:
 
 
 def verify(h: np.ndarray, index: TestIndex, mine: np.ndarray, theirs: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-    """item -> (overlap, agreements, start in the document, start in the item) of the longest overlap.
+    """item -> (overlap, agreements, start in the document, start in the item) of the longest overlap;
+    of equals, the one with most agreements, then the first diagonal.
 
     Each diagonal of a document and an item is compared once.
     """
@@ -159,11 +165,15 @@ def verify(h: np.ndarray, index: TestIndex, mine: np.ndarray, theirs: np.ndarray
             start, end = _trimmed(same, start, end)
             agree = int(same[start:end].sum())
             found = (end - start, agree, a + shift + start, a - low + start)
-            if i not in out or found[:2] > out[i][:2]:
+            if i not in out or _better(found, out[i]):
                 out[i] = found
     return out
 
 
+def _better(x: tuple[int, int, int, int], y: tuple[int, int, int, int]) -> bool:
+    return (*x[:2], x[3] - x[2]) > (*y[:2], y[3] - y[2])
+
+
 def _short_items(h: np.ndarray, index: TestIndex) -> dict[int, tuple[int, int, int, int]]:
     """Items with fewer than ``SHORT`` tokens: found only word by word."""
     out = {}
@@ -209,8 +219,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``LEAST_AGREEMENT`` of them agree, or if the document holds a whole item
     that is shorter.  Disagreements at an overlap's ends count in the decision;
     what is returned leaves them out down to ``LEAST_OVERLAP`` tokens.  Tokens are words in lower case without punctuation.
-    Null and empty texts and items share nothing; a null document id is kept;
-    repeated documents give repeated rows; repeated items count once.
+    Null and empty texts and items share nothing; a null document id is kept, an
+    item without an id is left out; repeated documents give repeated rows;
+    repeated items count once; two empty tables give an empty result.  Other
+    columns of either table are not read.
     """
     ship(documents.sparkSession)
     spark = documents.sparkSession
@@ -249,32 +261,33 @@ def _slice(batch: pa.RecordBatch, index: TestIndex) -> list[tuple]:
 def _found(texts: pa.Array, index: TestIndex) -> dict[int, dict[int, tuple]]:
     """For the texts that share an overlap with an item: place -> item -> overlap."""
     tokens, bounds = _tokens(texts)
-    mine, theirs = index.hits(tokens)
-    doc = np.searchsorted(bounds, mine, side="right") - 1
-    order = np.argsort(doc, kind="stable")
-    doc, mine, theirs = doc[order], mine[order], theirs[order]
-    out = {}
-    for d in range(len(texts)) if index.short else np.unique(doc).tolist():
-        low, high = int(bounds[d]), int(bounds[d + 1])
-        a, b = np.searchsorted(doc, (d, d + 1))
-        h = tokens[low:high]
-        found = verify(h, index, mine[a:b] - low, theirs[a:b])
-        if index.short:
-            found |= {i: x for i, x in _short_items(h, index).items() if i not in found}
-        if found:
-            out[d] = found
-    return out
+    out: dict[int, dict[int, tuple]] = {}
+    for mine, theirs in index.hits(tokens):
+        doc = np.searchsorted(bounds, mine, side="right") - 1  # rises
+        for d in np.unique(doc).tolist():
+            low, high = int(bounds[d]), int(bounds[d + 1])
+            a, b = np.searchsorted(doc, (d, d + 1))
+            own = out.setdefault(d, {})
+            for i, x in verify(tokens[low:high], index, mine[a:b] - low, theirs[a:b]).items():
+                if i not in own or _better(x, own[i]):
+                    own[i] = x
+    for d in range(len(texts)) if index.short else ():
+        for i, x in _short_items(tokens[int(bounds[d]) : int(bounds[d + 1])], index).items():
+            out.setdefault(d, {}).setdefault(i, x)
+    return {d: out[d] for d in sorted(out) if out[d]}
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that share no overlap with the benchmark, all rows and columns.
 
-    Rows are judged one by one where they are read; nothing is shuffled.
+    Rows are judged one by one where they are read; nothing is shuffled.  Null
+    and empty texts and null ids stay, and repeated rows too; an empty table
+    gives an empty result, an empty benchmark all documents.  Columns keep
+    their names, whatever they are.
     """
     ship(documents.sparkSession)
     names = documents.columns
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(documents.schema))
-    kept = documents.toDF(*(f"c{i}" for i in range(len(names))))
+    kept, schema = numbered(documents)
     for ids, texts in _blocks(benchmark):
         held = documents.sparkSession.sparkContext.broadcast(TestIndex(ids, *_tokens(texts)))
         kept = kept.mapInArrow(tidy(_sieve(held, names.index(text_col))), schema)

@@ -258,7 +258,9 @@ def make_plan(histogram: dict[int, int], limit: int = LIMIT, classes: int = CLAS
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
 
-    An empty input gives an empty result.
+    A null or empty text is one piece of the end alone; a null id is kept;
+    repeated rows are packed repeatedly; an empty input gives an empty result.
+    Other columns are not read.
     """
     spark = df.sparkSession
     cut = written(pieces(df, id_col, text_col, limit, tokenizer, with_ids), "pieces")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._io import sha256_text, ship, span_text, tidy
+from graphloom.llm._io import numbered, sha256_text, ship, span_text, tidy
 from graphloom.llm._text import slices, utf8
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -206,7 +206,8 @@ def _batches(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa
 def pii_digests(df: DataFrame) -> DataFrame:
     """The contract's columns, and ``scores`` in the order of ``spans``.
 
-    Null and empty texts have no spans; repeated rows give repeated rows.
+    Null and empty texts have no spans; a null id is kept; repeated rows give
+    repeated rows; an empty table gives an empty result.  Other columns are not read.
     """
     ship(df.sparkSession)
     base = range(len(BASE_KINDS))
@@ -243,8 +244,9 @@ def redact(text: str, spans: list[tuple[int, int, int, int]]) -> str:
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``df`` with personal data in the text replaced.
 
-    Null texts stay null.  The columns keep their order and types; ``text_col``
-    is a string.
+    Null texts stay null, and so do null ids; repeated rows stay; an empty table
+    gives an empty result.  The columns keep their order, names and types;
+    ``text_col`` is a string.
     """
     ship(df.sparkSession)
     names = df.columns
@@ -256,8 +258,7 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
             if any(found):
                 texts = columns[place]
                 columns[place] = pa.array([redact(texts[i].as_py(), x) if x else texts[i].as_py() for i, x in enumerate(found)], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
+    plain, schema = numbered(df)
     return plain.mapInArrow(tidy(run), schema).toDF(*names)

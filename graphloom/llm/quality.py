@@ -31,6 +31,8 @@ ROUNDS = 400
 RATE = 0.05
 DECAY = 1e-4
 SEED = 7
+#: Standard deviations beyond which a feature counts no more, in training and in scoring.
+FARTHEST = 8.0
 
 #: Bytes whose share of the text is a feature of its own.
 MARKS = [ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]_{|}~"]
@@ -94,7 +96,7 @@ class Ranker:
         self.w, self.centre, self.scale, self.knots, self.levels = w, centre, scale, knots, levels
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.centre) / self.scale) @ self.w
+        return np.clip((x - self.centre) / self.scale, -FARTHEST, FARTHEST) @ self.w
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.knots, self.levels)
@@ -119,7 +121,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Ranker:
         level = 1.0 if len(good) else 0.0 if len(bad) else THRESHOLD
         return Ranker(np.zeros(width), np.zeros(width), np.ones(width), np.array([-1.0, 1.0]), np.array([level, level]))
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - centre) / scale, -8, 8)
+    z = np.clip((x - centre) / scale, -FARTHEST, FARTHEST)
     draw = np.random.default_rng(SEED)
     j = np.repeat(bad, PAIRS_EACH)
     i = good[draw.integers(0, len(good), len(j))]
@@ -155,8 +157,10 @@ def _cut(raw: np.ndarray, y: np.ndarray, share: float) -> float:
 def quality(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Trained on labelled rows outside the held-out fold.  Null texts count as
-    empty; repeated rows give repeated rows.
+    Trained on labelled rows outside the held-out fold.  Without labels every
+    document scores the threshold.  Null texts count as empty; a null id is
+    kept, in the fold of the empty text; repeated rows give repeated rows; an
+    empty table gives an empty result.  Other columns of either table are not read.
     """
     ship(documents.sparkSession)
     texts, known = training_sample(documents, labels, "quality", folds, held, MAX_SAMPLE)

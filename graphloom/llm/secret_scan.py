@@ -316,7 +316,11 @@ def _scanned(batches: Iterator[pa.RecordBatch], rules: list[Rule]) -> Iterator[t
 
 
 def secret_digests(df: DataFrame, rules: list[Rule] | None = None, base: int = len(BASE_RULES)) -> DataFrame:
-    """The contract's columns: counts and digest of the first ``base`` rules, and all spans as text."""
+    """The contract's columns: counts and digest of the first ``base`` rules, and all spans as text.
+
+    Null and empty texts have no spans; a null id is kept; repeated rows give
+    repeated rows; an empty table gives an empty result.  Other columns are not read.
+    """
     ship(df.sparkSession)
     rules = RULES if rules is None else rules
     kinds = [r.kind for r in rules]

@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm._io import fold, ship, tidy
+from graphloom.llm._io import fold, fresh, numbered, ship, tidy
 from graphloom.llm._text import Words, slices, utf8
 
 #: Labelled documents the weights are fitted on, at most; taken by a hash of the id.
 MAX_SAMPLE = 8000
+#: Bytes of text of these documents, at most: one that doesn't fit any more is left out of the sample.
+MAX_SAMPLE_BYTES = 64 << 20
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 EPOCHS = 25
@@ -153,29 +156,45 @@ def _telling(groups: Iterable[tuple], share: float) -> np.ndarray:
     return (seen >= LEAST_DOCS) & (deviation >= LEAST_DEVIATIONS)
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int = MAX_SAMPLE) -> tuple[list, list]:
-    """(texts, labels) of at most ``most`` labelled documents outside the held-out fold.
+def training_sample(
+    documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int = MAX_SAMPLE, most_bytes: int = MAX_SAMPLE_BYTES
+) -> tuple[list, list]:
+    """(texts, labels) of at most ``most`` labelled documents outside the held-out fold, of ``most_bytes`` in all.
 
-    The sample is chosen on ids alone, by a hash of the id, before any text is
-    read.  Rows with a null id or label are left out.
+    The sample is chosen on ids, by a hash of the id, and on the texts' sizes,
+    before any text is fetched.  Rows with a null id or label are left out; of
+    several labels of an id the greatest counts; of several texts of an id, the
+    first in order.
     """
     ids = documents.select("doc_id").filter("doc_id is not null").distinct()
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.join(ids, "doc_id").filter(fold(F.col("doc_id"), folds) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = {r.doc_id: r.y for r in chosen.collect()}
+    rows = {int(r.doc_id): r.y for r in chosen.collect()}  # in the order of the hash
     if not rows:
         return [], []
-    spark = documents.sparkSession
-    picked = spark.createDataFrame([(i,) for i in rows], "doc_id long")
-    # At most MAX_SAMPLE ids: a bounded broadcast.
-    texts = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").collect()
-    texts.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return [r.text for r in texts], [rows[r.doc_id] for r in texts]
+
+    def of(wanted: list[int]) -> DataFrame:
+        picked = documents.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
+        own = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most ``most`` ids
+        return own
+
+    sizes = {r.doc_id: r.size or 0 for r in of(list(rows)).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).collect()}
+    kept, total = [], 0
+    for i in rows:
+        if total + sizes.get(i, 0) <= most_bytes:
+            kept.append(i)
+            total += sizes.get(i, 0)
+    if not kept:
+        return [], []
+    texts = {r.doc_id: r.text for r in of(kept).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    kept = sorted(i for i in kept if i in texts)
+    return [texts[i] for i in kept], [rows[i] for i in kept]
 
 
-def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` and a struct column ``toxicity``: score, n_offending,
+def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """All rows and columns of ``df`` and, as the last, a struct column: score, n_offending,
     worst_start, worst_end (bytes of the worst sentence in the UTF-8 text, null where there is none).
+    It is called ``name``, with underscores before it where ``df`` has that name already.
     ``text_col`` is a string.
 
     Texts that are null, empty or without words score the bias as one sentence.
@@ -184,9 +203,8 @@ def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text") -> D
     spark = df.sparkSession
     slots = spark.sparkContext.broadcast(weights.slots.astype(np.float32))  # 2 ** BITS values
     bias = weights.bias
-    names = df.columns
-    place = names.index(text_col)
-    kind = "struct<score:double,n_offending:bigint,worst_start:bigint,worst_end:bigint>"
+    place = df.columns.index(text_col)
+    plain, schema = numbered(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(bias, slots.value)
@@ -196,11 +214,10 @@ def score_toxicity(df: DataFrame, weights: Weights, text_col: str = "text") -> D
                 part = data[offsets[i] : offsets[j]]
                 result = _score_slice(part, offsets[i : j + 1] - offsets[i], model)
                 columns = [c.slice(i, j - i) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, result], names=[*(f"c{c}" for c in range(len(columns))), "toxicity"])
+                yield pa.RecordBatch.from_arrays([*columns, result], names=[*batch.schema.names, "found"])
 
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
-    return plain.mapInArrow(tidy(run), f"{schema}, toxicity {kind}").toDF(*names, "toxicity")
+    found = T.StructType([T.StructField("score", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("n_offending", "worst_start", "worst_end"))])
+    return plain.mapInArrow(tidy(run), T.StructType([*schema, T.StructField("found", found)])).toDF(*df.columns, fresh(name, df.columns))
 
 
 def _score_slice(data: np.ndarray, offsets: np.ndarray, model: Weights) -> pa.Array:
@@ -231,7 +248,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     Trained on labelled rows outside the held-out fold (crc32 of the id's text
     modulo ``folds`` equal to ``held``).  Without labels every document scores
-    the same.  Repeated rows give repeated rows.
+    the same.  Null and empty texts score the bias; a null id is kept, in the
+    fold of the empty text; repeated rows give repeated rows; an empty table
+    gives an empty result.  Other columns of either table are not read.
     """
     weights = fit(*training_sample(documents, labels, "toxic", folds, held))
     scored = score_toxicity(documents.select("doc_id", "text"), weights)

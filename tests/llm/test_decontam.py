@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import decontam
 
@@ -40,11 +41,10 @@ def exhaustive(docs, bench):
         for i, b in items:
             for shift in range(-len(b) + 1, len(h)):
                 same = np.array([b[k] == h[k + shift] for k in range(max(0, -shift), min(len(b), len(h) - shift))])
-                if not same.any():
+                if same.sum() < min(len(b), 10) * 0.8:
                     continue
-                s, e = decontam._best_run(same)
-                whole = e - s == len(b)
-                if (e - s >= decontam.LEAST_OVERLAP or whole) and same[s:e].sum() >= decontam.LEAST_AGREEMENT * (e - s):
+                whole = len(same) == len(b) and 5 * same.sum() >= 4 * len(b)
+                if whole or qualifies(same):
                     found.add((d, i))
     return found
 
@@ -65,6 +65,19 @@ def test_planted_and_exhaustive(spark, monkeypatch):
     assert decontam.decontaminate(d, b.limit(0)).count() == d.count()
 
 
+def test_repetitive_texts_in_bounded_steps(monkeypatch):
+    """One word over and over in a text and in items: all pairs of windows agree."""
+    monkeypatch.setattr(decontam, "HITS", 1000)
+    bench = pa.array(["la " * 300, "la " * 40, "x y " * 30])
+    index = decontam.TestIndex(np.array([4, 5, 6]), *decontam._tokens(bench))
+    texts = pa.array(["la " * 500, "no", "y x " * 100, None])
+    assert max(len(m) for m, _ in index.hits(decontam._tokens(texts)[0])) < 2000
+    got = decontam._found(texts, index)
+    assert {d: {i: x[:2] for i, x in own.items()} for d, own in got.items()} == {0: {0: (300, 300), 1: (40, 40)}, 2: {2: (60, 60)}}
+    monkeypatch.setattr(decontam, "HITS", 10**9)
+    assert decontam._found(texts, index) == got
+
+
 def test_seeds_tolerate_substitutions():
     """Any two substitutions within 24 tokens leave some window of some seed whole."""
     for i in range(24):

@@ -40,6 +40,27 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(seen["pii"])
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like those that operators make, in every table, and nulls in all."""
+    folder = f"file://{tmp_path}"
+    extra = "toxicity string, score int, place int, node string, bit int, member boolean, component long, kept int, item_id string, y int, found string, c0 int"
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f g", *["x", 1, 2, "n", 3, True, 4, 5, "i", 6, "f", 7]), (1, "a b c d e f g", *[None] * 12), (None, None, *[None] * 12), (2, "", *[None] * 12)],
+        f"doc_id long, text string, {extra}",
+    )
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0, "t", 5), (2, 0, 1, None, None), (None, None, None, None, None)], "doc_id long, quality int, toxic int, text string, y int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "k " * 20, 3), (None, None, None)], "item_id long, text string, doc_id int").write.parquet(f"{folder}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.dtypes == docs.dtypes, name
+        now.write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+    assert sorted(str(r.doc_id) for r in now.collect()) == ["1", "2", "None"]
+    assert corpus_pipeline.run(spark, folder).count() == 3
+
+
 def test_empty_documents(spark, tmp_path):
     folder = f"file://{tmp_path}"
     schema = "doc_id long, text string, lang string, source string, n_chars long"
