@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of a batch that go to Python at once; Spark's default is made for short rows, not for texts.
 BATCH_ROWS = 1000
 #: Bytes of such a batch, where rows are large.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,10 +14,14 @@ keep the class of their ending.  A text's probability is
 with class transitions interpolated with class frequencies, and in each class
 a share kept for unknown words, estimated from the words seen once.
 
-The corpus is encoded once into segments of a few million tokens, each with
-its own dictionary.  Word counts are summed over the segments' dictionaries,
-not over tokens, and come back to each segment for its own words, so neither
-the vocabulary nor a document's words are ever in one place.
+The corpus is encoded once into segments of about a million tokens, each with
+its own dictionary.  Words are dealt into buckets by their hash; a segment sends
+what it knows of a bucket's words in one row, so word counts are summed over
+dictionaries, not over tokens, and come back to each segment for its own words,
+and so do the classes that words choose.  The buckets grow in number with the
+corpus, so neither the vocabulary nor a document's words are ever in one place.
+A segment's row holds all that is known of its words, so that counting contexts
+and scoring read rows one by one, without a join.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm._io import fold, release, ship, tidy
 from graphloom.llm._text import LOWER, Words, mix, slices, utf8
-from graphloom.plans.lineage import drop_written, written
+from graphloom.plans.lineage import drop_written, scratch, written
 
 #: Words that are units by themselves.
 TOP_WORDS = 768
@@ -45,9 +49,15 @@ LEAST_COUNT = 5
 #: Rounds in which all such words move at once.
 ROUNDS = 2
 #: Tokens of a segment, about; a longer document is a segment of its own.
-SEGMENT = 2_500_000
+SEGMENT = 800_000
 #: Tokens of a segment that are scored at once, about.
 CHUNK = 250_000
+#: Entries of segments' dictionaries in a bucket, about.
+BUCKET = 100_000
+#: Entries that a bucket holds before it adds them up.
+PENDING = 1_000_000
+#: Bytes of a Parquet row group of segments: readers hold a whole one.
+GROUP_BYTES = 8 << 20
 #: Weight of class frequencies against transitions, in tokens.
 MIX = 50.0
 UNITS = TOP_WORDS + ENDINGS + 1
@@ -68,7 +78,7 @@ def _ending(words: Words) -> np.ndarray:
     return (mix(code) % np.uint64(ENDINGS)).astype(np.uint8)
 
 
-SEGMENT_SCHEMA = "segment bigint, docs binary, nulls binary, held binary, bounds binary, tokens binary, words binary, endings binary, counts binary"
+SEGMENT_SCHEMA = "segment bigint, size bigint, docs binary, nulls binary, held binary, bounds binary, tokens binary, words binary, endings binary, counts binary"
 
 
 class _Builder:
@@ -105,30 +115,31 @@ class _Builder:
         counts = np.bincount(tokens[train], minlength=len(words))
         endings = np.concatenate(self.endings)[first]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [
-            np.concatenate(self.docs).astype(np.int64),
-            np.concatenate(self.nulls),
-            held,
-            bounds.astype(np.int64),
-            None,
-            words,
-            endings,
-            counts.astype(np.uint32),
+        raw = [
+            _squeezed(np.concatenate(self.docs).astype(np.int64)),
+            np.concatenate(self.nulls).tobytes(),
+            held.tobytes(),
+            _squeezed(bounds.astype(np.int64)),
+            _squeezed(tokens),
+            words.tobytes(),
+            endings.tobytes(),
+            counts.astype(np.uint32).tobytes(),
         ]
-        raw = [_squeezed(tokens) if p is None else p.tobytes() for p in parts]
         names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
+        size = len(words)
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
 
 
-def _squeezed(tokens: np.ndarray) -> bytes:
-    """Compressed, the low bytes of all tokens first, then the next ones."""
-    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes, codec="zstd", asbytes=True)
+def _squeezed(values: np.ndarray) -> bytes:
+    """The number of values, then their bytes compressed: the low bytes of all values first, then the next ones."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unsqueezed(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    n, wide = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], decompressed_size=wide * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, n).T).view(kind).ravel()
 
 
 def segments(documents: DataFrame, folds: int, held: int) -> DataFrame:
@@ -136,7 +147,7 @@ def segments(documents: DataFrame, folds: int, held: int) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = TaskContext.get().partitionId() << 8
+        segment = TaskContext.get().partitionId() << 33  # more than a partition can have
         builder = _Builder()
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -156,27 +167,144 @@ def segments(documents: DataFrame, folds: int, held: int) -> DataFrame:
     return chosen.mapInArrow(tidy(run), SEGMENT_SCHEMA)
 
 
-def _vocabulary(corpus: DataFrame) -> DataFrame:
-    """word, place, n: each segment's dictionary as rows.
+# --- buckets of words -------------------------------------------------------------
 
-    ``place`` is the segment times 2**32 plus the place in its dictionary; ``n``
-    is the count times 256 plus the ending.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(segment: int, words: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """bucket, segment, words and the columns: one row for each bucket that has words of a segment."""
+    bucket = ((words.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    bounds = np.append(first, len(bucket))
+    packed = [_cut(x[order], bounds) for x in (words, *columns.values())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), segment, np.int64)), *packed], names=["bucket", "segment", "words", *columns])
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary value for each range of ``values``."""
+    raw = np.ascontiguousarray(values)
+    offsets = (bounds * raw.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """The rows of a bucket come together, one bucket after another."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """For each bucket, its rows; rows come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if held and held[-1].column(0)[0].as_py() != int(bucket[i]):
+                yield held
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield held
+
+
+class _Sums:
+    """Sums of rows of numbers by word; what waits to be added is bounded."""
+
+    def __init__(self, wide: int) -> None:
+        self.words = np.zeros(0, np.int64)
+        self.sums = np.zeros((0, wide), np.int64)
+        self.wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, words: np.ndarray, column: np.ndarray, value: np.ndarray) -> None:
+        self.wait.append((words, column, value))
+        self.n += len(words)
+        if self.n >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.wait:
+            return
+        words, column, value = (np.concatenate(x) for x in zip(*self.wait, strict=True))
+        every = np.union1d(self.words, words)
+        sums = np.zeros((len(every), self.sums.shape[1]), np.int64)
+        sums[np.searchsorted(every, self.words)] = self.sums
+        wide = sums.shape[1]
+        sums += np.bincount(np.searchsorted(every, words) * wide + column, weights=value, minlength=sums.size).astype(np.int64).reshape(sums.shape)  # exact below 2 ** 53
+        self.words, self.sums, self.wait, self.n = every, sums, [], 0
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.words, words)
+
+
+_COUNTED = "segment bigint, places binary, totals binary, word bigint, total bigint, ending smallint, known bigint, singles bigint"
+
+
+def _counted(encoded: DataFrame) -> DataFrame:
+    """Counts of words over the corpus, in three kinds of rows: (segment, places, totals) for
+    each bucket and segment; (word, total, ending) of a bucket's most frequent words; and
+    (ending, known, total, singles): a bucket's words of an ending that occur, their tokens
+    and how many of them occur once."""
+    entries = encoded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(1, -(-entries // BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                words = np.frombuffer(batch.column(1)[r].as_py(), np.int64)
-                endings = np.frombuffer(batch.column(2)[r].as_py(), np.uint8)
-                counts = np.frombuffer(batch.column(3)[r].as_py(), np.uint32)
-                segment = batch.column(0)[r].as_py() << 32
-                for i in range(0, len(words), 65_536):
-                    own = slice(i, i + 65_536)
-                    place = segment + np.arange(i, i + len(words[own]))
-                    n = counts[own].astype(np.int64) << 8 | endings[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(words[own]), pa.array(place), pa.array(n)], names=["word", "place", "n"])
+                s = _read(batch, r)
+                yield _dealt(batch.column(0)[r].as_py(), s["words"], buckets, places=np.arange(len(s["words"]), dtype=np.int32), endings=s["endings"], counts=s["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            yield from _bucket_counts(rows)
+
+    sent = encoded.select("segment", "words", "endings", "counts").mapInArrow(tidy(deal), "bucket int, segment bigint, words binary, places binary, endings binary, counts binary")
+    return _by_bucket(sent).mapInArrow(tidy(add), _COUNTED)
+
+
+def _bucket_counts(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _Sums(1)
+    for batch in rows:
+        for r in range(batch.num_rows):
+            s = _read(batch, r)
+            sums.add(s["words"], np.zeros(len(s["words"]), np.intp), s["counts"].astype(np.int64))
+    sums.settle()
+    total = sums.sums[:, 0]
+    ending = np.zeros(len(total), dtype=np.int16)
+    for batch in rows:
+        back = []
+        for r in range(batch.num_rows):
+            s = _read(batch, r)
+            at = sums.of(s["words"])
+            ending[at] = s["endings"]
+            back.append(total[at].tobytes())
+        yield _filled(_COUNTED, batch.num_rows, segment=batch.column("segment"), places=batch.column("places"), totals=pa.array(back, pa.binary()))
+    there = np.flatnonzero(total > 0)
+    most = there[np.lexsort((sums.words[there], -total[there]))][:TOP_WORDS]
+    yield _filled(_COUNTED, len(most), word=pa.array(sums.words[most]), total=pa.array(total[most]), ending=pa.array(ending[most]))
+    own = ending[there].astype(np.int64)
+    tokens = np.zeros(ENDINGS, np.int64)
+    np.add.at(tokens, own, total[there])
+    kinds = np.flatnonzero(tokens)
+    yield _filled(
+        _COUNTED,
+        len(kinds),
+        total=pa.array(tokens[kinds]),
+        ending=pa.array(kinds.astype(np.int16)),
+        known=pa.array(np.bincount(own, minlength=ENDINGS)[kinds]),
+        singles=pa.array(np.bincount(own[total[there] == 1], minlength=ENDINGS)[kinds]),
+    )
+
 
-    return corpus.select("segment", "words", "endings", "counts").mapInArrow(tidy(run), "word bigint, place bigint, n bigint")
+def _filled(ddl: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the schema with nulls in all other columns."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "binary": pa.binary()}
+    fields = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
 
 
 # --- classes --------------------------------------------------------------------
@@ -205,11 +333,18 @@ def _bigrams(corpus: DataFrame, top: np.ndarray) -> np.ndarray:
     return out.reshape(UNITS, UNITS)
 
 
-def _read(batch: pa.RecordBatch, r: int) -> dict[str, np.ndarray]:
-    kinds = {"docs": np.int64, "nulls": bool, "held": bool, "bounds": np.int64, "words": np.int64, "endings": np.uint8, "counts": np.uint32}
-    out = {k: np.frombuffer(batch.column(k)[r].as_py(), t) for k, t in kinds.items() if k in batch.schema.names}
-    out["tokens"] = _unsqueezed(batch.column("tokens")[r].as_py(), int(out["bounds"][-1]))
-    return out
+_KINDS = {
+    "nulls": bool, "held": bool, "words": np.int64, "endings": np.uint8, "counts": np.uint32, "labels": np.uint8, "before": np.uint8,
+    "bigrams": np.int64, "places": np.int32, "sizes": np.int32,
+}
+#: Columns that are kept compressed.
+_SQUEEZED = {"docs": np.int64, "bounds": np.int64, "tokens": np.uint32, "totals": np.int64}
+
+
+def _read(row: pa.RecordBatch | pa.Table, r: int) -> dict[str, np.ndarray]:
+    names = row.schema.names
+    out = {k: np.frombuffer(row.column(k)[r].as_py(), t) for k, t in _KINDS.items() if k in names}
+    return out | {k: _unsqueezed(row.column(k)[r].as_py(), t) for k, t in _SQUEEZED.items() if k in names}
 
 
 def _units(words: np.ndarray, endings: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -256,7 +391,8 @@ def _contexts(tokens: np.ndarray, chosen: np.ndarray, line: np.ndarray, train: n
     use[:-1] &= train
     at = np.flatnonzero(use)
     word = tokens[use[inner]]
-    key = np.empty(2 * len(at), dtype=np.int64)
+    narrow = len(chosen) * 2 * k < 2**31
+    key = np.empty(2 * len(at), dtype=np.int32 if narrow else np.int64)
     key[: len(at)] = word
     key[len(at) :] = word
     key *= 2 * k
@@ -265,7 +401,7 @@ def _contexts(tokens: np.ndarray, chosen: np.ndarray, line: np.ndarray, train: n
     del use, at, word
     key.sort()
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[first], np.diff(np.append(first, len(key)))
+    return key[first].astype(np.int64), np.diff(np.append(first, len(key)))
 
 
 def moved(context: np.ndarray, label: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -447,182 +583,216 @@ def score_documents(documents: DataFrame, folds: int = 7, held: int = 2, classes
     Learned from rows outside the held-out fold.  Null and empty texts are the
     end alone; a null id's fold is that of the empty text; repeated rows count
     repeatedly and give repeated rows.  Without training rows every word is
-    unknown.  An empty input gives an empty result.
+    unknown.  An empty input gives an empty result.  Other columns are not read.
     """
     spark = documents.sparkSession
-    corpus = written(segments(documents, folds, held), "segments")
-    # The hottest word has one row for each segment here, a small share of all rows.
-    own = Window.partitionBy("word")
-    total = F.sum(F.shiftright("n", 8)).over(own)
-    counted = written(
-        _vocabulary(corpus).select(
-            "place",
-            total.alias("total"),
-            F.when(F.min("place").over(own) == F.col("place"), F.col("word")).alias("lead"),
-            F.col("n").bitwiseAND(255).cast("short").alias("ending"),
-        ),
-        "counts",
-    )
-    # Each word once:
-    lead = counted.filter("lead is not null and total > 0").select(F.col("lead").alias("word"), "total", "ending")
-    sums = lead.agg(F.count("*").alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
-    ends = documents.filter(fold(F.col("doc_id"), folds) != held).count()
-    top = lead.orderBy(F.desc("total"), "word").select("word").limit(TOP_WORDS).toPandas().word.to_numpy(dtype=np.int64)
-    top = np.sort(top)
+    if classes > 256:
+        raise ValueError("a class is one byte")
+    with scratch(spark) as kept:
+        encoded = _stored(segments(documents, folds, held), "segments")
+        counted = written(_counted(encoded), "counts")
+        ends = documents.filter(fold(F.col("doc_id"), folds) != held).count()
+        sums = counted.filter("known is not null").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+        model = _first_model(encoded, counted, classes, ends)
+        tokens, distinct = int(sums.n) + ends, int(sums.v) + (1 if ends else 0)
+        corpus = _stored(_with_totals(encoded, counted, model), "corpus")
+        drop_written(encoded)
+        drop_written(counted)
+        corpus, labels = _reclassed(corpus, model)
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    s = _read(batch, r)
+                    yield _scores(s, s["totals"], s["labels"], shared.value, tokens, distinct, ends)
+
+        return kept(corpus.select("docs", "nulls", "held", "bounds", "tokens", "totals", F.col(labels).alias("labels")).mapInArrow(tidy(run), RESULT), "scores")
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of MBs that are compressed already.  Without the second option a writer holds a hundred of them before it looks at their size."""
+    return written(rows, name, **{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "none"})
+
+
+def _first_model(encoded: DataFrame, counted: DataFrame, classes: int, ends: int) -> Model:
+    """The model over units: frequent words by themselves, all others by their ending."""
+    most = counted.filter("word is not null").orderBy(F.desc("total"), "word").select("word", "total", "ending").limit(TOP_WORDS).toPandas()
+    most = most.sort_values("word")
+    top = most.word.to_numpy(dtype=np.int64)
     # Words seen once, by their unit; top words are among them only in a very small corpus.
-    held_top = spark.createDataFrame([(int(w),) for w in top], "word long")
-    singles = lead.filter("total = 1")
     once = np.zeros(UNITS)
-    for r in singles.join(F.broadcast(held_top), "word", "left_anti").groupBy("ending").count().collect():  # ENDINGS rows
-        once[TOP_WORDS + r.ending] = r["count"]
-    own_words = singles.join(F.broadcast(held_top), "word").select("word").toPandas().word.to_numpy(dtype=np.int64)
-    once[np.searchsorted(top, own_words)] = 1
-    bigrams = _bigrams(corpus, top)
-    model = Model(top, exchange(bigrams, classes), bigrams, once, ends)
-    tokens, distinct = int(sums.n) + ends, int(sums.v) + (1 if ends else 0)
-    back = counted.select(F.shiftright("place", 32).alias("segment"), "place", "total", F.lit(-1).cast("short").alias("label"))
-    own_class = _reclassed(corpus, back, model)
-    shared = spark.sparkContext.broadcast(model)
+    for r in counted.filter("known is not null").groupBy("ending").agg(F.sum("singles").alias("n")).collect():  # ENDINGS rows
+        once[TOP_WORDS + r.ending] = r.n
+    single = np.flatnonzero(most.total.to_numpy() == 1)
+    np.subtract.at(once, TOP_WORDS + most.ending.to_numpy(dtype=np.int64)[single], 1)
+    once[single] = 1
+    bigrams = _bigrams(encoded.select("held", "bounds", "tokens", "words", "endings"), top)
+    return Model(top, exchange(bigrams, classes), bigrams, once, ends)
+
+
+# --- segments with all that is known of their words -------------------------------------
+
+
+CORPUS = pa.schema([("segment", pa.int64()), *((c, pa.binary()) for c in ("docs", "nulls", "held", "bounds", "tokens", "words", "totals", "labels", "before", "bigrams"))])
+_CORPUS_DDL = ", ".join(f"{f.name} {'bigint' if f.name == 'segment' else 'binary'}" for f in CORPUS)
+
+
+def _joined(segments: DataFrame, rows: DataFrame, fill) -> DataFrame:
+    """Rows of ``CORPUS``: what ``fill`` makes of each segment (a row and its arrays) and of its rows."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([], schema=_EMPTY)
-        s = _read(left.combine_chunks().to_batches()[0], 0)
-        count, label = _known(s, right, shared.value)
-        found = pa.Table.from_batches([_scores(s, count, label, shared.value, tokens, distinct, ends)])
-        del s, count, label
+        if left.num_rows == 0:
+            return pa.Table.from_batches([], schema=CORPUS)
+        if left.num_rows > 1:
+            raise RuntimeError(f"{left.num_rows} segments have the number {key[0].as_py()}")
+        s = _read(left, 0)
+        new = {k: _squeezed(v) if k in _SQUEEZED else v.tobytes() for k, v in fill(s, right).items()}
+        there = [new[c] if c in new else left.column(c)[0].as_py() for c in CORPUS.names]
+        del s, new
         release()
-        return found
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(there, CORPUS, strict=True)], schema=CORPUS)
 
-    rows = back if own_class is None else back.unionByName(own_class)
-    return corpus.drop("counts").groupBy("segment").cogroup(rows.groupBy("segment")).applyInArrow(run, RESULT)
+    return segments.groupBy("segment").cogroup(rows.groupBy("segment")).applyInArrow(run, _CORPUS_DDL)
 
 
-def _known(s: dict[str, np.ndarray], right: pa.Table, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of each word of a segment, from rows with a count and rows with a class."""
-    place = right.column("place").to_numpy() & 0xFFFFFFFF
-    total, given = right.column("total").to_numpy(), right.column("label").to_numpy()
-    count = np.zeros(len(s["words"]), dtype=np.int64)
-    plain = given < 0
-    count[place[plain]] = total[plain]
-    label = model.label[_units(s["words"], s["endings"], model.top)]
-    label[place[~plain]] = given[~plain]
-    return count, label
+def _all(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    """The arrays of all rows."""
+    return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
 
 
-def _reclassed(corpus: DataFrame, back: DataFrame, model: Model) -> DataFrame | None:
-    """segment, place, total, label of the words that chose a class; ``model`` is estimated anew.
+def _with_totals(encoded: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
+    """Segments with the corpus's count of each of their words, its class by unit, and their class bigrams."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    k = len(model.table)
+
+    def fill(s: dict[str, np.ndarray], right: pa.Table) -> dict[str, np.ndarray]:
+        totals = np.zeros(len(s["words"]), dtype=np.int64)
+        totals[_all(right, "places", np.int32)] = _all(right, "totals", np.int64)
+        label = shared.value.label[_units(s["words"], s["endings"], shared.value.top)].astype(np.uint8)
+        line, train, _ = _class_line(s, label)
+        # From here on only words that choose their class are told apart by their hash.
+        return {"totals": totals, "words": s["words"][totals >= LEAST_COUNT], "labels": label, "before": label, "bigrams": _class_bigrams(line, train, k)}
+
+    return _joined(encoded.drop("counts", "size"), counted.filter("segment is not null").select("segment", "places", "totals"), fill)
+
+
+def _with_labels(corpus: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """Segments with the classes that words have chosen: rows of (segment, places, labels)."""
+
+    def fill(s: dict[str, np.ndarray], right: pa.Table) -> dict[str, np.ndarray]:
+        label = s["labels"].copy()
+        label[_all(right, "places", np.int32)] = _all(right, "labels", np.uint8)
+        line, train, _ = _class_line(s, label)
+        return {"labels": label, "before": s["labels"], "bigrams": _class_bigrams(line, train, k)}
+
+    return _joined(corpus, chosen, fill)
+
+
+def _table(corpus: DataFrame, k: int) -> np.ndarray:
+    """Class bigrams of all segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                total += np.frombuffer(batch.column(0)[r].as_py(), np.int64)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["pair", "n"])
+
+    out = np.zeros(k * k, dtype=np.int64)
+    for r in corpus.select("bigrams").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # k ** 2 rows
+        out[r.pair] = r.n
+    return out.reshape(k, k)
+
+
+def _reclassed(corpus: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """The corpus with the classes that words chose, and the column that holds them; ``model`` is estimated anew.
 
     A round counts, segment by segment, the classes beside each word of at
     least ``LEAST_COUNT`` tokens, sums them by word, and lets all words move.
     The class bigrams are counted again afterwards; a round that doesn't raise
-    their likelihood is dropped.
+    their likelihood is undone and is the last.
     """
-    spark = corpus.sparkSession
     k = len(model.table)
-    shared = spark.sparkContext.broadcast(model)
-
-    def beside(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """A segment's class bigrams (in a row without a word) and its words' contexts."""
-        if not left.num_rows:
-            return pa.Table.from_batches([], schema=_BESIDE)
-        s = _read(left.combine_chunks().to_batches()[0], 0)
-        count, label = _known(s, right, shared.value)
-        line, train, inner = _class_line(s, label)
-        table = _class_bigrams(line, train, k)
-        # After the last round only the class bigrams are of use.
-        code, n = _contexts(s["tokens"], (count >= LEAST_COUNT) & (turn < ROUNDS), line, train, inner, k)
-        of = code // (2 * k)
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        place = of[starts]
-        offsets = np.append(starts, len(code))
-        what = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((code % (2 * k)).astype(np.int16)))
-        often = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n.astype(np.int32)))
-        segment = int(left.column("segment")[0].as_py()) << 32
-        words = pa.Table.from_arrays([pa.array(s["words"][place]), pa.array(segment + place), pa.array(label[place].astype(np.int16)), what, often, pa.nulls(len(place), pa.list_(pa.int64()))], schema=_BESIDE)
-        own = pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int16()), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.list_(pa.int32())), pa.array([table], pa.list_(pa.int64()))], schema=_BESIDE)
-        del s, line, train, inner, code, of
-        release()
-        return pa.concat_tables([words, own])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word; a word's rows may be spread over batches."""
-        held = []
-        for batch in batches:
-            word = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(word, word[-1])) if len(word) else 0
-            if cut:
-                yield from _choices([*held, batch.slice(0, cut)], shared_table.value)
-                held = []
-            if len(word):
-                held.append(batch.slice(cut))
-        if held:
-            yield from _choices(held, shared_table.value)
-
-    own_class = before = None
-    lines = corpus.select("segment", "held", "bounds", "tokens", "words", "endings")
-    for turn in range(ROUNDS + 1):
-        rows = back if own_class is None else back.unionByName(own_class)
-        found = written(lines.groupBy("segment").cogroup(rows.groupBy("segment")).applyInArrow(beside, _BESIDE_DDL), "beside")
-        sums = found.filter("word is null").select(F.posexplode("bigrams").alias("pair", "n")).groupBy("pair").agg(F.sum("n").alias("n")).collect()  # k ** 2 rows
-        table = np.zeros(k * k, dtype=np.int64)
-        for r in sums:
-            table[r.pair] = r.n
-        table = table.reshape(k, k)
-        if turn and likelihood(table) <= likelihood(model.table):
-            drop_written(found)
-            return before
+    table = _table(corpus, k)
+    for _ in range(ROUNDS):
         model.estimate(table.astype(np.float64))
-        if before is not None:
-            drop_written(before)
-        if turn == ROUNDS:
-            drop_written(found)
-            return own_class
-        shared_table = spark.sparkContext.broadcast(table.astype(np.float64))
-        before = own_class
-        chosen = found.filter("word is not null").select("word", "place", "label", "what", "often").repartition("word").sortWithinPartitions("word")
-        own_class = written(chosen.mapInArrow(tidy(choose), "segment bigint, place bigint, total bigint, label smallint"), "classes")
-        drop_written(found)
-    return own_class
-
-
-def _choices(batches: list[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The class of whole words' rows."""
-    rows = pa.Table.from_batches(batches).combine_chunks()
-    word = rows.column("word").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        chosen = written(_chosen(corpus, table), "classes")
+        after = _stored(_with_labels(corpus, chosen, k), "corpus")
+        drop_written(corpus)
+        drop_written(chosen)
+        corpus, new = after, _table(after, k)
+        if likelihood(new) <= likelihood(table):
+            return corpus, "before"
+        table = new
+    model.estimate(table.astype(np.float64))
+    return corpus, "labels"
+
+
+def _chosen(corpus: DataFrame, table: np.ndarray) -> DataFrame:
+    """segment, places, labels of every word with ``LEAST_COUNT`` training tokens, wherever it occurs."""
     k = len(table)
-    what, often = rows.column("what").combine_chunks(), rows.column("often").combine_chunks()
-    owner = np.repeat(which, what.value_lengths().to_numpy())
-    code = owner * (2 * k) + what.flatten().to_numpy()
-    context = np.bincount(code, weights=often.flatten().to_numpy(), minlength=len(first) * 2 * k).reshape(-1, 2 * k)
-    best = moved(context, rows.column("label").to_numpy()[first].astype(np.int64), table)
-    place = rows.column("place").to_numpy()
-    yield pa.RecordBatch.from_arrays([pa.array(place >> 32), pa.array(place), pa.array(np.zeros(len(place), np.int64)), pa.array(best[which].astype(np.int16))], names=["segment", "place", "total", "label"])
-
-
-_BESIDE = pa.schema(
-    [
-        ("word", pa.int64()),
-        ("place", pa.int64()),
-        ("label", pa.int16()),
-        ("what", pa.list_(pa.int16())),
-        ("often", pa.list_(pa.int32())),
-        ("bigrams", pa.list_(pa.int64())),
-    ]
-)
-_BESIDE_DDL = "word bigint, place bigint, label smallint, what array<smallint>, often array<int>, bigrams array<bigint>"
-
-
-_EMPTY = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("held_out", pa.bool_()),
-        ("n_tokens", pa.int64()),
-        ("n_known", pa.int64()),
-        ("train_tokens", pa.int64()),
-        ("base_score", pa.float64()),
-        ("score", pa.float64()),
-    ]
-)
+    shared = corpus.sparkSession.sparkContext.broadcast(table.astype(np.float64))
+    entries = corpus.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 8
+    buckets = max(1, -(-entries // BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield _beside(_read(batch, r), batch.column("segment")[r].as_py(), k, buckets)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            yield from _choices(rows, shared.value)
+
+    lines = corpus.select("segment", "held", "bounds", "tokens", "words", "totals", "labels")
+    found = _by_bucket(lines.mapInArrow(tidy(deal), _BESIDE))
+    return found.mapInArrow(tidy(choose), "segment bigint, places binary, labels binary")
+
+
+_BESIDE = "bucket int, segment bigint, words binary, places binary, labels binary, sizes binary, what binary, often binary"
+
+
+def _beside(s: dict[str, np.ndarray], segment: int, k: int, buckets: int) -> pa.RecordBatch:
+    """A segment's words that may choose, with the classes beside them: ``sizes`` of each word's entries in ``what`` and ``often``.
+
+    A word that occurs in held-out documents of the segment only has no
+    entries: it learns its class from other segments.
+    """
+    able = s["totals"] >= LEAST_COUNT
+    line, train, inner = _class_line(s, s["labels"])
+    code, n = _contexts(s["tokens"], able, line, train, inner, k)
+    place = np.flatnonzero(able)
+    at = np.append(np.searchsorted(code, place * (2 * k)), len(code))
+    batch = _dealt(segment, s["words"], buckets, places=place.astype(np.int32), labels=s["labels"][place], sizes=np.diff(at).astype(np.int32), first=at[:-1])
+    # Entries go where their words went.
+    first, sizes = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("first", np.int64), ("sizes", np.int32)))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+    words_at = np.cumsum([0, *(len(x.as_py()) // 8 for x in batch.column("words"))])
+    bounds = np.concatenate([[0], ends])[words_at]
+    columns = [batch.column(c) for c in ("bucket", "segment", "words", "places", "labels", "sizes")]
+    what = (code[entry] % (2 * k)).astype(np.uint16)
+    return pa.RecordBatch.from_arrays([*columns, _cut(what, bounds), _cut(n[entry].astype(np.int32), bounds)], names=[c.split()[0] for c in _BESIDE.split(", ")])
+
+
+def _choices(rows: list[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class of the words of a bucket."""
+    sums = _Sums(2 * len(table))
+    for batch in rows:
+        for r in range(batch.num_rows):
+            s = _read(batch, r)
+            what = np.frombuffer(batch.column("what")[r].as_py(), np.uint16)
+            often = np.frombuffer(batch.column("often")[r].as_py(), np.int32)
+            sums.add(np.repeat(s["words"], s["sizes"]), what.astype(np.intp), often.astype(np.int64))
+    sums.settle()
+    label = np.zeros(len(sums.words), np.int64)
+    for batch in rows:
+        for r in range(batch.num_rows):
+            s = _read(batch, r)
+            label[sums.of(s["words"])] = s["labels"]
+    best = moved(sums.sums, label, table).astype(np.uint8)
+    for batch in rows:
+        back = [best[sums.of(np.frombuffer(x.as_py(), np.int64))].tobytes() for x in batch.column("words")]
+        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("places"), pa.array(back, pa.binary())], names=["segment", "places", "labels"])

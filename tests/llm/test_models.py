@@ -2,15 +2,17 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from graphloom.llm import brown_lm, quality, toxicity
-from graphloom.llm._text import utf8
+from graphloom.llm._text import Words, utf8
 
 WORDS = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "en", "or", "is", "ut", "emi", "ola")]
 
@@ -106,6 +108,76 @@ def test_queries_over_tables(spark, run):
     assert run(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Every text's score recomputed, sentence by sentence and word by word, from the fitted weights."""
+    docs, labels = tables(spark)
+    seen = []
+    true = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.append(true(*a)) or seen[-1])
+    got = toxicity.toxicity(docs, labels).collect()
+    bias, slots = seen[0].bias, seen[0].slots.astype(np.float32)
+
+    def slot(piece, size):
+        words = Words(np.frombuffer(piece + b" ", np.uint8), np.array([0, len(piece) + 1]), (size,) if size else ())
+        return int((words.prefix[0] if size else words.hash)[0] & np.uint64((1 << toxicity.BITS) - 1))
+
+    def score(text):
+        clean, any_words = 1.0, False
+        for part in re.split(r"[.!?\n]", text or ""):
+            words = re.sub(r"[!-/:-@\[-`{-~]", " ", part).lower().encode().split()
+            for i in range(0, len(words), toxicity.LONGEST):
+                own = {slot(w, 0) for w in words[i : i + toxicity.LONGEST]} | {slot(w, n) for w in words[i : i + toxicity.LONGEST] for n in toxicity.PREFIXES if len(w) > n}
+                clean *= 1 - 1 / (1 + math.exp(-(bias + sum(float(slots[k]) for k in own))))
+                any_words = True
+        return 1 - clean if any_words else 1 / (1 + math.exp(-bias))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-6)
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Every text's features counted in plain Python, and the score that the fitted ranking gives them."""
+    docs, labels = tables(spark)
+    seen = []
+    true = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(true(*a)) or seen[-1])
+    got = quality.quality(docs, labels).collect()
+    model = seen[0]
+
+    def features(text):
+        b = (text or "").encode()
+        n = len(b)
+        if not n:
+            return [0.0] * (len(quality.MARKS) + 13)
+        w = b.lower().split()
+        share = lambda test: math.log1p(100 * sum(map(test, b)) / n)
+        out = [math.log1p(1000 * b.count(m) / n) for m in quality.MARKS] + [math.log1p(len(w))]
+        out += [share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: 33 <= c < 127 and not chr(c).isalnum()), share(lambda c: c in b" \t\n\v\f\r")]
+        out.append(math.log1p(1000 * b.count(b"\n") / n))
+        if w:
+            pairs = list(zip(w, w[1:], strict=False))
+            out += [sum(x == y for x, y in pairs) / len(pairs) if pairs else 0, len(set(w)) / len(w), Counter(w).most_common(1)[0][1] / len(w)]
+            out += [1 - len(set(pairs)) / len(pairs) if pairs else 0, sum(map(len, w)) / len(w) / 10, max(map(len, w)) / 100, sum(len(x) == 1 for x in w) / len(w)]
+        return out + [0.0] * (len(quality.MARKS) + 13 - len(out))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        x = np.array(features(texts[r.doc_id]))
+        z = (np.concatenate([x, x * x]) - model.centre) / model.scale
+        raw = float(sum(max(-8.0, min(8.0, a)) * b for a, b in zip(z, model.w, strict=True)))
+        assert r.score == pytest.approx(float(np.interp(raw, model.knots, model.levels)), abs=1e-6)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * (400 if i == 3 else 10)) for i in range(20)] + [(5, "a"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(4, 1, 1)], "doc_id long, toxic int, text int")
+    texts, known = toxicity.training_sample(docs, labels, "toxic", 5, 0, most_bytes=150)
+    assert sum(len(t or "") for t in texts) <= 150 and 3 <= len(texts) == len(known) and not any(len(t) == 800 for t in texts)
+    assert toxicity.training_sample(docs, labels, "toxic", 5, 0, most_bytes=150) == (texts, known)
+    assert len(toxicity.training_sample(docs, labels, "toxic", 5, 0)[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+
+
 def test_held_out_labels_are_not_learned_from(spark):
     docs, labels = tables(spark, 60)
     flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
@@ -192,7 +264,29 @@ def test_gain_of_a_move_is_that_of_the_likelihood():
     assert after >= before
 
 
-def test_every_counted_word_chooses_its_class(spark, monkeypatch):
+def test_more_segments_than_a_byte_counts(spark, monkeypatch):
+    """Every document comes back, whatever the number of segments in a partition."""
+    monkeypatch.setattr(brown_lm, "SEGMENT", 1)
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 11}") for i in range(620)], "doc_id long, text string").coalesce(1).repartition(2)
+    with batches_of(spark, 1):
+        found = brown_lm.segments(df, 7, 2).select("segment").collect()
+        assert len({r.segment for r in found}) == 620
+        got = brown_lm.score_documents(df).collect()
+    assert sorted(r.doc_id for r in got) == list(range(620))
+    assert len({(r.n_tokens, r.train_tokens) for r in got}) == 1 and all(math.isfinite(r.score) for r in got)
+
+
+@contextmanager
+def batches_of(spark, rows):
+    """A segment ends with a batch at the earliest."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    yield
+    spark.conf.set(name, before)
+
+
+def class_texts():
     """Words of one ending, too rare for units of their own, part by what is beside them."""
     draw = random.Random(5)
     left, right = ([f"{side}{i}{side}" for i in range(500)] for side in ("a", "q"))
@@ -202,26 +296,67 @@ def test_every_counted_word_chooses_its_class(spark, monkeypatch):
         for _ in range(8):
             own = (left, right)[i % 2]
             docs.append(f"{draw.choice(own)} {w} {draw.choice(own)}")
+    return docs
+
+
+def test_score_against_brute_force(spark, monkeypatch):
+    """Every word chooses its class; scores follow from the classes alone, counted here anew."""
+    docs = class_texts()
     seen = {}
     true = brown_lm._reclassed
 
-    def spy(corpus, back, model):
+    def spy(corpus, model):
         first = brown_lm.likelihood(model.table)
-        own = true(corpus, back, model)
-        seen.update(rows=own.collect(), first=first, last=brown_lm.likelihood(model.table), table=model.table)
-        return own
+        own, column = true(corpus, model)
+        rows = own.select("words", "totals", column).collect()
+        able = [brown_lm._unsqueezed(r.totals, np.int64) >= brown_lm.LEAST_COUNT for r in rows]
+        chosen = [(np.frombuffer(r.words, np.uint64), np.frombuffer(r[column], np.uint8)[a]) for r, a in zip(rows, able, strict=True)]
+        seen.update(rows=chosen, first=first, last=brown_lm.likelihood(model.table), top=model.top, label=model.label)
+        return own, column
 
     monkeypatch.setattr(brown_lm, "_reclassed", spy)
     monkeypatch.setattr(brown_lm, "SEGMENT", 3000)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = brown_lm.score_documents(df).collect()
-    assert len(got) == len(docs) and all(math.isfinite(r.score) for r in got)
-    # More words than fixed units have a class, and the likelihood is higher.
-    train = Counter(w for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
-    counted = sum(n >= brown_lm.LEAST_COUNT for n in train.values())
-    assert counted > brown_lm.TOP_WORDS
-    assert seen["last"] > seen["first"]
-    assert seen["table"].sum() == sum(train.values()) + sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(docs)))
+    with batches_of(spark, 50):
+        got = {r.doc_id: r for r in brown_lm.score_documents(df).collect()}
+    assert len(got) == len(docs)
+    assert seen["last"] > seen["first"] and len(seen["rows"]) > 5
+    # A word has one class in all segments.
+    of_hash = {}
+    for words, labels in seen["rows"]:
+        for w, c in zip(words.tolist(), labels.tolist(), strict=True):
+            assert of_hash.setdefault(w, c) == c
+    vocabulary = sorted({w for t in docs for w in t.split()})
+    joined = "".join(vocabulary).encode()
+    at = np.concatenate([[0], np.cumsum([len(w) for w in vocabulary])])
+    words = Words(np.frombuffer(joined, np.uint8), at)
+    units = brown_lm._units(words.hash.view(np.int64), brown_lm._ending(words), seen["top"])
+    label = {w: of_hash.get(h, int(seen["label"][u])) for w, h, u in zip(vocabulary, words.hash.tolist(), units.tolist(), strict=True)}
+    train = [i for i in range(len(docs)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in docs[i].split())
+    assert sum(n >= brown_lm.LEAST_COUNT for n in count.values()) > brown_lm.TOP_WORDS
+    pairs, after = Counter(), Counter()
+    for i in train:
+        line = [0, *(label[w] for w in docs[i].split()), 0]
+        pairs.update(zip(line[:-1], line[1:], strict=True))
+        after.update(line[1:])
+    k, total = brown_lm.CLASSES, sum(after.values())
+    before = Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    once = Counter()
+    for w, n in count.items():
+        once[label[w]] += n == 1
+    for i, t in enumerate(docs):
+        line, want = [0, *(label[w] for w in t.split()), 0], 0.0
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            share = (after[b] + 0.5) / (total + 0.5 * k)
+            want += math.log10((pairs[a, b] + brown_lm.MIX * share) / (before[a] + brown_lm.MIX))
+        for w in t.split():
+            c = label[w]
+            unknown = (once[c] + 1) / (after[c] + 2)
+            want += math.log10((1 - unknown) * count[w] / after[c]) if count[w] else math.log10(unknown)
+        assert got[i].score == pytest.approx(want, abs=1e-9)
 
 
 def test_moved_words_follow_their_neighbours():
