@@ -9,39 +9,58 @@ the vectors as given, in double precision.
 
 Vectors are dealt to cells of a tree over the leading dimensions, and cells
 into blocks of bounded size.  Two unit vectors of cosine c are sqrt(2 - 2c)
-apart at most, so only tiles of cells whose boxes come that near are made.
-Equal vectors are one row with a multiplicity.  A tile returns counts and the
-edges of a spanning forest, never its pairs.
+apart at most, so only blocks of cells whose boxes come that near are compared.
+Blocks in the order of their cells make bands, and a tile is a pair of bands: a
+block is sent once for each band that is near, not for each block.  Equal
+vectors are one row with a multiplicity.  A tile returns counts and the edges
+of a spanning forest, never its pairs.
+
+Vectors travel in single precision if that is how they came.  Partial products
+are in single precision, with a margin for its rounding; what they leave open is
+decided in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm._io import ship, tidy
 from graphloom.llm._text import mix
 from graphloom.operators.components import connected_components
-from graphloom.plans.lineage import written
+from graphloom.plans.lineage import scratch, written
 
 THRESHOLD = 0.9
-#: Vectors that the turning and the tree are fitted on, at most; both only change the work, not the result.
+#: Vectors of a dimension that the turning and the tree are fitted on, about; both only change the work, not the result.
 SAMPLE = 20_000
+#: ... and their components, over all dimensions.
+SAMPLE_VALUES = 4_000_000
+#: Values of all turnings; dimensions beyond, and beyond this root, aren't turned.
+TURNING_VALUES = 4_000_000
+#: Cells of the trees, besides one for each dimension.
 MAX_CELLS = 1024
-#: Vectors in a block, about.
-BLOCK = 4096
+#: Vectors in a block, about, and their components.
+BLOCK = 1024
+BLOCK_VALUES = 1 << 18
+#: Blocks in a band, at most.
+MOST_BAND = 32
 #: Rows of a tile that are compared at once.
 ROWS = 256
 #: Dimensions after which the bound is tested.
 STEPS = (8, 16, 32)
 #: Share of pairs left above which a tile goes on with matrix products.
 DENSE = 0.05
-#: Room for rounding before the last decision.
+#: Room for rounding of boxes.
 MARGIN = 1e-6
+#: Room for rounding of a product of unit vectors in single precision, for each dimension, and at least.
+ROUNDING, LEAST_ROUNDING = 2.4e-7, 1e-5
 
 
 # --- vectors --------------------------------------------------------------------
@@ -70,9 +89,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def component_type(df: DataFrame, vector_col: str) -> type:
+    """What vectors travel as: single precision only if the table has no more."""
+    kind = df.schema[vector_col].dataType
+    return np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
+
+
 def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, dims, hash_a, hash_b, vector (doubles as binary); the last four are null for a vector that links with nothing."""
+    """vec_id, dims, hash_a, hash_b, vector (its components as binary); the last four are null for a vector that links with nothing."""
     ship(df.sparkSession)
+    kind = component_type(df, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +116,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 dims.append(len(own))
                 a.append(int(mix(bits ^ place).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix(mix(bits) + place).sum(dtype=np.uint64).view(np.int64)))
-                raw.append(own.tobytes())
+                raw.append(own.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(dims, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(raw, pa.binary())],
                 names=["vec_id", "dims", "hash_a", "hash_b", "vector"],
@@ -135,27 +161,30 @@ class Cells:
         return node - len(self.cuts)
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int, kind: type) -> np.ndarray:
+    """Rows in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(np.float64).reshape(-1, dims)
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(kind).reshape(-1, dims).astype(np.float64)
 
 
 # --- tiles ----------------------------------------------------------------------
 
 
 class Side:
-    """A block in a tile: unit vectors as given and turned, and the norms of what follows each step."""
+    """A block in a tile: unit vectors as given, and turned in single precision with the norms of what follows each step."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, axes: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, axes: np.ndarray | None) -> None:
         self.ids, self.weight = ids, weight
         self.unit = _unit(raw)
-        self.turned = self.unit @ axes
-        squares = np.cumsum(self.turned[:, ::-1] ** 2, axis=1)[:, ::-1]
+        turned = self.unit if axes is None else self.unit @ axes
+        squares = np.cumsum(turned[:, ::-1] ** 2, axis=1)[:, ::-1]
         self.steps = [s for s in STEPS if s < raw.shape[1]]
-        self.rest = [np.sqrt(squares[:, s]) for s in self.steps]
+        self.rest = [np.sqrt(squares[:, s]).astype(np.float32) for s in self.steps]
+        self.turned = turned.astype(np.float32)
+        self.margin = max(LEAST_ROUNDING, ROUNDING * raw.shape[1])
 
 
 def compare(a: Side, b: Side, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +222,8 @@ def compare(a: Side, b: Side, same: bool, threshold: float = THRESHOLD) -> tuple
 def _pairs(a: Side, b: Side, low: int, high: int, begin: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the linked pairs of a's rows low..high and b's from ``begin`` on."""
     x, y = a.turned[low:high], b.turned[begin:]
-    part = np.zeros((high - low, len(y)))
-    floor = threshold - MARGIN
+    part = np.zeros((high - low, len(y)), dtype=np.float32)
+    floor = np.float32(threshold - a.margin)
     done = 0
     for k, step in enumerate(a.steps):
         part += x[:, done:step] @ y[:, done:step].T
@@ -206,7 +235,7 @@ def _pairs(a: Side, b: Side, low: int, high: int, begin: int, threshold: float)
             return _decided(a, b, i + low, j + begin, threshold)
     part += x[:, done:] @ y[:, done:].T
     i, j = np.nonzero(part >= floor)
-    near = part[i, j] < threshold + MARGIN
+    near = part[i, j] < threshold + a.margin
     sure = ~near
     late = _decided(a, b, i[near] + low, j[near] + begin, threshold)
     return np.concatenate([i[sure] + low, late[0]]), np.concatenate([j[sure] + begin, late[1]])
@@ -248,16 +277,9 @@ def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label[:] = to[label]
 
 
-def _tile_rows(rows: pa.Table, dims: int, axes: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows of a tile: one block, or two of which the first is on the left."""
-    sides = []
-    for r in sorted(rows.to_pylist(), key=lambda x: x["place"]):
-        raw = np.frombuffer(r["vectors"], dtype=np.float64).reshape(-1, dims)
-        sides.append(Side(np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["weights"], dtype=np.int64), raw, axes))
-    same = len(sides) == 1
-    a, b = sides[0], sides[-1]
+def _linked_rows(a: Side, b: Side, same: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(src, dst, links) of two blocks: a row for each linked vector with its links here, and the edges."""
     na, nb, i, j = compare(a, b, same, threshold)
-    # One row for each linked vector: its links in this tile, and one edge; then the other edges.
     ids = [a.ids[na > 0]] if same else [a.ids[na > 0], b.ids[nb > 0]]
     links = [na[na > 0]] if same else [na[na > 0], nb[nb > 0]]
     ids, links = np.concatenate(ids), np.concatenate(links)
@@ -268,54 +290,108 @@ def _tile_rows(rows: pa.Table, dims: int, axes: np.ndarray, threshold: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(count)], names=["src", "dst", "links"])
 
 
-# --- the operator -----------------------------------------------------------------
-
-
-def _one_dimension(nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(src, dst, links) over the distinct vectors of ``dims`` dimensions."""
+# --- dimensions, cells and bands ---------------------------------------------------
+
+
+@dataclass
+class Layout:
+    """For each dimension: its turning and tree (none: one cell, not turned), its first cell and the vectors in a block."""
+
+    cells: dict[int, Cells | None]
+    first: dict[int, int]
+    block: dict[int, int]
+
+    def axes(self, dims: int) -> np.ndarray | None:
+        own = self.cells[dims]
+        return None if own is None else own.axes
+
+
+def _layout(nodes: DataFrame, kind: type) -> Layout:
+    """Fitted on a bounded sample, by a hash, of the dimensions with most vectors."""
+    counts = {r.dims: r.n for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    order = sorted(counts, key=lambda d: (-counts[d], d))
+    block = {d: max(1, min(BLOCK, BLOCK_VALUES // d)) for d in order}
+    fitted, values = {}, 0
+    total = sum(counts.values())
+    for d in order:
+        leaves = min(counts[d] // block[d], MAX_CELLS * counts[d] // total)
+        if leaves > 1 and values + d * d <= TURNING_VALUES:
+            values += d * d
+            fitted[d] = leaves
+    cells: dict[int, Cells | None] = dict.fromkeys(order)
+    if fitted:
+        share = {d: min(1.0, SAMPLE / counts[d], SAMPLE_VALUES / len(fitted) / d / counts[d]) for d in fitted}
+        chosen = F.lit(False)
+        for d, s in share.items():
+            chosen = chosen | ((F.col("dims") == d) & (F.pmod(F.xxhash64("hash_a", "hash_b"), F.lit(1 << 30)) < int(s * (1 << 30))))
+        sample = nodes.filter(chosen).select("dims", "hash_a", "hash_b", "vector").toPandas().sort_values(["dims", "hash_a", "hash_b"])
+        for d, leaves in fitted.items():
+            own = sample.vector[sample.dims == d]
+            if len(own):
+                cells[d] = Cells(_unit(np.stack([np.frombuffer(v, dtype=kind) for v in own]).astype(np.float64)), leaves)
+    first, at = {}, 0
+    for d in order:
+        first[d] = at
+        at += 1 if cells[d] is None else 1 << cells[d].depth
+    return Layout(cells, first, block)
+
+
+WIDE = STEPS[0]
+
+
+def _links(nodes: DataFrame, kind: type, threshold: float) -> DataFrame:
+    """(src, dst, links) over distinct vectors: each one's links, and edges that join what is linked."""
     spark = nodes.sparkSession
-    n = nodes.count()
-    sample = nodes.orderBy("hash_a", "hash_b").limit(SAMPLE).select("vector").toPandas()
-    points = _unit(np.stack([np.frombuffer(v, dtype=np.float64) for v in sample.vector]))
-    cells = Cells(points, min(MAX_CELLS, max(1, n // BLOCK)))
-    held = spark.sparkContext.broadcast(cells)  # dims x dims values and at most MAX_CELLS cuts
+    layout = _layout(nodes, kind)
+    held = spark.sparkContext.broadcast(layout)  # TURNING_VALUES, MAX_CELLS cuts, and numbers of dimensions
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            if batch.num_rows:
-                turned = _unit(_matrix(batch.column(2), dims)) @ own.axes
-                cell = pa.array(own.of(turned), pa.int64())
-                box = pa.array(turned[:, : STEPS[0]].ravel())
-                head = pa.FixedSizeListArray.from_arrays(box, min(dims, STEPS[0])).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell, head], names=["node", "weight", "vector", "cell", "head"])
-
-    dealt = written(nodes.select("node", "weight", "vector").mapInArrow(tidy(placed), "node bigint, weight bigint, vector binary, cell bigint, head array<double>"), "cells")
-    wide = min(dims, STEPS[0])
-    bounds = [f(F.col("head")[k]).alias(f"{n}{k}") for k in range(wide) for n, f in (("low", F.min), ("high", F.max))]
-    boxes = dealt.groupBy("cell").agg(F.count("*").alias("n"), *bounds).orderBy("cell").collect()  # MAX_CELLS rows at most
-    near = _near_cells(boxes, wide, threshold)
-    sizes = spark.createDataFrame([(r.cell, -(-r.n // BLOCK)) for r in boxes], "cell long, blocks long")
-    blocks = written(_blocks(dealt, sizes, dims), "blocks")
-    return _tiles(blocks, near, sizes, dims, cells.axes, threshold)
-
-
-def _near_cells(boxes: list, wide: int, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of cells whose boxes are within the distance of a link."""
-    low = np.array([[r[f"low{k}"] for k in range(wide)] for r in boxes])
-    high = np.array([[r[f"high{k}"] for k in range(wide)] for r in boxes])
+            every = batch.column(0).to_numpy()
+            for d in np.unique(every).tolist():
+                rows = batch.filter(pa.array(every == d))
+                tree = own.cells[d]
+                head = np.zeros((rows.num_rows, WIDE))
+                cell = np.full(rows.num_rows, own.first[d])
+                if tree is not None:
+                    turned = _unit(_matrix(rows.column(3), d, kind)) @ tree.axes
+                    cell += tree.of(turned)
+                    head[:, : min(d, WIDE)] = turned[:, :WIDE]
+                heads = pa.FixedSizeListArray.from_arrays(pa.array(head.ravel()), WIDE).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell, pa.int64()), heads], names=["dims", "node", "weight", "vector", "cell", "head"])
+
+    dealt = written(
+        nodes.select("dims", "node", "weight", "vector").mapInArrow(tidy(placed), "dims int, node bigint, weight bigint, vector binary, cell bigint, head array<double>"), "cells"
+    )
+    bounds = [f(F.col("head")[k]).alias(f"{n}{k}") for k in range(WIDE) for n, f in (("low", F.min), ("high", F.max))]
+    # MAX_CELLS rows at most, and one for each dimension without a tree.
+    boxes = dealt.groupBy("dims", "cell").agg(F.count("*").alias("n"), *bounds).orderBy("cell").collect()
+    parts = [-(-r.n // layout.block[r.dims]) for r in boxes]
+    band = int(min(MOST_BAND, max(1, np.ceil(np.sqrt(sum(parts))))))
+    starts = np.cumsum([0, *parts])
+    sizes = spark.createDataFrame([(r.cell, p, int(s)) for r, p, s in zip(boxes, parts, starts, strict=False)], "cell long, parts long, start long")
+    blocks = written(_blocks(dealt, sizes, band), "blocks")
+    return _compared(spark, blocks, sizes, _near_cells(boxes, threshold), held, band, kind, threshold)
+
+
+def _near_cells(boxes: list, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of cells of one dimension whose boxes are within the distance of a link."""
+    low = np.array([[r[f"low{k}"] for k in range(WIDE)] for r in boxes])
+    high = np.array([[r[f"high{k}"] for k in range(WIDE)] for r in boxes])
+    dims = np.array([r.dims for r in boxes])
     reach = 2 - 2 * threshold + MARGIN
     out = []
     for i, r in enumerate(boxes):
         gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
-        out += [(r.cell, boxes[i + int(k)].cell) for k in np.flatnonzero((gap**2).sum(axis=1) <= reach)]
+        out += [(r.cell, boxes[i + int(k)].cell) for k in np.flatnonzero(((gap**2).sum(axis=1) <= reach) & (dims[i:] == r.dims))]
     return out
 
 
-def _blocks(dealt: DataFrame, sizes: DataFrame, dims: int) -> DataFrame:
-    """cell, block, ids, weights, vectors: one row for each block."""
-    own = dealt.join(F.broadcast(sizes), "cell")  # MAX_CELLS rows at most
-    keyed = own.select("cell", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "weight", "vector")
+def _blocks(dealt: DataFrame, sizes: DataFrame, band: int) -> DataFrame:
+    """band, block, cell, dims, ids, weights, vectors: one row for each block; blocks are numbered in the order of cells."""
+    own = dealt.join(F.broadcast(sizes), "cell")  # a row for each cell
+    keyed = own.select("cell", "dims", (F.col("start") + F.pmod(F.xxhash64("node"), "parts")).alias("block"), "node", "weight", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -324,99 +400,109 @@ def _blocks(dealt: DataFrame, sizes: DataFrame, dims: int) -> DataFrame:
             rest = rows if rest is None else pa.concat_tables([rest, rows])
             *whole, rest = _groups(rest)
             for group in whole:
-                yield _packed(group, dims)
+                yield _packed(group, band)
         if rest is not None and rest.num_rows:
             for group in _groups(rest):
-                yield _packed(group, dims)
+                yield _packed(group, band)
 
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "node")
-    return ordered.mapInArrow(tidy(run), "cell bigint, block bigint, ids binary, weights binary, vectors binary")
+    ordered = keyed.repartition(parts, "block").sortWithinPartitions("block", "node")
+    return ordered.mapInArrow(tidy(run), "band bigint, block bigint, cell bigint, dims int, ids binary, weights binary, vectors binary")
 
 
 def _groups(rows: pa.Table) -> list[pa.Table]:
-    cell, block = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    if not len(cell):
+    block = rows.column("block").to_numpy()
+    if not len(block):
         return [rows]
-    new = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
-    at = [0, *new.tolist(), len(cell)]
+    new = np.flatnonzero(block[1:] != block[:-1]) + 1
+    at = [0, *new.tolist(), len(block)]
     return [rows.slice(i, j - i) for i, j in zip(at, at[1:], strict=False)]
 
 
-def _packed(group: pa.Table, dims: int) -> pa.RecordBatch:
+def _packed(group: pa.Table, band: int) -> pa.RecordBatch:
     group = group.combine_chunks()
+    block, cell, dims = (group.column(n)[0].as_py() for n in ("block", "cell", "dims"))
     raw = [group.column(n).to_numpy().astype(np.int64).tobytes() for n in ("node", "weight")]
-    data = _matrix(group.column("vector"), dims).tobytes()
-    cell, block = (pa.array([group.column(n)[0].as_py()], pa.int64()) for n in ("cell", "block"))
-    return pa.RecordBatch.from_arrays([cell, block, *(pa.array([x], pa.binary()) for x in (*raw, data))], names=["cell", "block", "ids", "weights", "vectors"])
-
-
-def _tiles(blocks: DataFrame, near: list[tuple[int, int]], sizes: DataFrame, dims: int, axes: np.ndarray, threshold: float) -> DataFrame:
-    """Each pair of blocks of near cells is a tile; a tile gets its one or two blocks."""
-    spark = blocks.sparkSession
-    # Pairs of cells: MAX_CELLS ** 2 / 2 at most.  Blocks' keys carry no vectors.
-    pairs = F.broadcast(spark.createDataFrame(near, "left long, right long"))
-    keys = blocks.select("cell", "block")
-    left = keys.toDF("left", "lb").join(pairs, "left")
-    tiles = left.join(keys.toDF("right", "rb"), "right").filter("left < right or lb <= rb")
-    named = tiles.select(F.xxhash64("left", "lb", "right", "rb").alias("tile"), "left", "lb", "right", "rb")
-    wanted = named.select("tile", F.col("left").alias("cell"), F.col("lb").alias("block"), F.lit(0).alias("place")).union(
-        named.filter("not (left = right and lb = rb)").select("tile", "right", "rb", F.lit(1))
-    )
-    count = max(1, named.count())
-    sent = wanted.join(blocks, ["cell", "block"]).select("tile", "place", "ids", "weights", "vectors")
-    basis = spark.sparkContext.broadcast(axes)
+    data = b"".join(group.column("vector").to_pylist())
+    numbers = [pa.array([x], t) for x, t in ((block // band, pa.int64()), (block, pa.int64()), (cell, pa.int64()), (dims, pa.int32()))]
+    return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x], pa.binary()) for x in (*raw, data))], names=["band", "block", "cell", "dims", "ids", "weights", "vectors"])
+
+
+def _compared(spark: SparkSession, blocks: DataFrame, sizes: DataFrame, near: list[tuple[int, int]], held, band: int, kind: type, threshold: float) -> DataFrame:
+    """Each pair of bands that hold near cells is a tile; a tile gets its one or two bands."""
+    most = 1 + max(b for _, b in near)
+    close = spark.sparkContext.broadcast(np.sort(np.array(near, dtype=np.int64) @ np.array([most, 1])))  # MAX_CELLS ** 2 / 2 pairs at most, and one for each other cell
+    pairs = spark.createDataFrame(near, "left long, right long")
+    # A cell lies in neighbouring bands.
+    spans = sizes.select("cell", F.explode(F.sequence(F.floor(F.col("start") / band), F.floor((F.col("start") + F.col("parts") - 1) / band))).alias("band"))
+    left = spans.toDF("left", "a").join(F.broadcast(pairs), "left")
+    met = left.join(spans.toDF("right", "b"), "right").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tiles = written(met.select(F.xxhash64("a", "b").alias("tile"), "a", "b"), "tiles")
+    count = max(1, tiles.count())
+    # Places: 0 on the left of two bands, 1 on the right, 2 in a band that meets itself.
+    wanted = tiles.select("tile", F.col("a").alias("band"), F.expr("if(a = b, 2, 0)").alias("place")).union(tiles.filter("a <> b").select("tile", "b", F.lit(1)))
+    sent = wanted.join(blocks, "band").select("tile", "place", "block", "cell", "dims", "ids", "weights", "vectors")
+
+    def side(row: dict) -> Side:
+        raw = np.frombuffer(row["vectors"], dtype=kind).reshape(-1, row["dims"]).astype(np.float64)
+        return Side(np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["weights"], dtype=np.int64), raw, held.value.axes(row["dims"]))
+
+    def is_near(x: int, y: int) -> bool:
+        code = min(x, y) * most + max(x, y)
+        at = int(np.searchsorted(close.value, code))
+        return at < len(close.value) and int(close.value[at]) == code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        """The left band's blocks come first and are held; then each block of the right one meets them."""
+        tile, first = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(r, 1)])
-                if rest is None:
-                    rest = row
-                elif rest.column(0)[0] == row.column(0)[0]:
-                    rest = pa.concat_tables([rest, row])
-                else:
-                    yield from _tile_rows(rest, dims, basis.value, threshold)
-                    rest = row
-        if rest is not None:
-            yield from _tile_rows(rest, dims, basis.value, threshold)
+                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
+                if row["tile"] != tile:
+                    tile, first = row["tile"], []
+                own = (row["block"], row["cell"], side(row))
+                if row["place"] != 1:
+                    first.append(own)
+                for block, cell, other in first if row["place"] else ():
+                    if is_near(cell, own[1]):
+                        yield from _linked_rows(other, own[2], block == own[0], threshold)
 
     parts = min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
-    ordered = sent.repartition(parts, "tile").sortWithinPartitions("tile", "place")
+    ordered = sent.repartition(parts, "tile").sortWithinPartitions("tile", "place", "block")
     return ordered.mapInArrow(tidy(run), "src bigint, dst bigint, links bigint")
 
 
+# --- the operator -----------------------------------------------------------------
+
+
 def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different dimension.  Repeated rows
     of an id count as copies of its vector.  Rows with a null id take no part:
-    they have no links, a null component, and are kept.  Other columns are
-    not read.  ``threshold`` lies above 0.
+    they have no links, a null component, and are kept.  An empty table gives an
+    empty result.  Other columns are not read.  ``threshold`` lies above 0.
     """
     spark = df.sparkSession
-    every = written(vectors(df, id_col, vector_col), "vectors")
-    able = every.filter("vector is not null and vec_id is not null")
-    nodes = written(
-        able.groupBy("dims", "hash_a", "hash_b").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector")),
-        "distinct",
-    )
-    kinds = [r.dims for r in nodes.select("dims").distinct().orderBy("dims").collect()]
-    found = None
-    for dims in kinds:
-        own = written(_one_dimension(nodes.filter(F.col("dims") == dims), dims, threshold), "links")
-        found = own if found is None else found.union(own)
-    if found is None:
-        found = spark.createDataFrame([], "src long, dst long, links long")
-    counted = found.filter("links > 0").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
-    labels = connected_components(found.filter("src <> dst"), "src", "dst")
-    classes = nodes.select("dims", "hash_a", "hash_b", "node", "weight").join(counted, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    joined = every.drop("vector").join(classes, ["dims", "hash_a", "hash_b"], "left")
-    out = joined.select(
-        "vec_id",
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "node", "vec_id")).alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    with scratch(spark) as kept:
+        every = written(vectors(df, id_col, vector_col), "vectors")
+        able = every.filter("vector is not null and vec_id is not null")
+        nodes = written(
+            able.groupBy("dims", "hash_a", "hash_b").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector")),
+            "distinct",
+        )
+        if nodes.isEmpty():
+            found = spark.createDataFrame([], "src long, dst long, links long")
+        else:
+            found = written(_links(nodes, component_type(df, vector_col), threshold), "links")
+        counted = found.filter("links > 0").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+        labels = connected_components(found.filter("src <> dst"), "src", "dst")
+        classes = nodes.select("dims", "hash_a", "hash_b", "node", "weight").join(counted, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+        joined = every.drop("vector").join(classes, ["dims", "hash_a", "hash_b"], "left")
+        out = joined.select(
+            "vec_id",
+            F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+            F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "node", "vec_id")).alias("component_id"),
+        )
+        return kept(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "embedding_duplicates")

@@ -25,10 +25,11 @@ def brute(rows, threshold):
     return count, component
 
 
-@pytest.mark.parametrize(("block", "cells"), [(4096, 1024), (8, 16)])
-def test_against_brute_force(spark, monkeypatch, block, cells):
+@pytest.mark.parametrize(("block", "cells", "band"), [(1024, 1024, 32), (8, 16, 2)])
+def test_against_brute_force(spark, monkeypatch, block, cells, band):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
     monkeypatch.setattr(embed_dedup, "MAX_CELLS", cells)
+    monkeypatch.setattr(embed_dedup, "MOST_BAND", band)
     draw = np.random.default_rng(3)
     base = draw.normal(size=(12, 16))
     vectors = [base[draw.integers(12)] + draw.normal(size=16) * draw.choice([0.02, 0.3, 0.6]) for _ in range(90)]
@@ -53,6 +54,25 @@ def test_hot_group_and_edges(spark):
     assert embed_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_dimensions_and_single_precision(spark, monkeypatch):
+    """Vectors of many lengths in one pass, in single precision and near the threshold."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    draw = np.random.default_rng(7)
+    rows = []
+    for dims, n in ((3, 60), (8, 40), (9, 130), (40, 120), (1, 4), (700, 3)):
+        base = draw.normal(size=(4, dims))
+        for _ in range(n):
+            x = base[draw.integers(4)]
+            y = draw.normal(size=dims) * np.linalg.norm(x) / np.sqrt(dims)
+            rows.append((len(rows), [float(v) for v in (x + y * draw.choice([0.1, 0.33, 0.34, 0.48])).astype(np.float32)]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    count, component = brute(rows, 0.9)
+    got = {r.vec_id: r for r in embed_dedup.embedding_duplicates(df).collect()}
+    for i in count:
+        assert (got[i].n_links, got[i].component_id) == (count[i], component[i]), i
+    assert embed_dedup.component_type(df, "embedding") is np.float32
+
+
 def test_spanning_edges_join_what_the_links_join():
     draw = np.random.default_rng(1)
     for _ in range(200):
