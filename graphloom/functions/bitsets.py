@@ -6,8 +6,9 @@ All of it is built-in expressions, so comparisons stay in generated code.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,7 +51,15 @@ def set_bits(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
 
 
-def _count(a: Column, b: Column, op: str) -> Column:
+#: Words up to which a comparison is written out, which keeps it in generated code.
+WRITTEN_OUT = 64
+
+
+def _count(a: Column, b: Column, op: str, words: int | None = None) -> Column:
+    if words is not None and words <= WRITTEN_OUT:
+        each = [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(words)]
+        parts = [F.bit_count({"xor": x.bitwiseXOR(y), "and": x.bitwiseAND(y), "or": x.bitwiseOR(y)}[op]).cast("long") for x, y in each]
+        return reduce(lambda n, m: n + m, parts)
     joined = F.zip_with(a, b, lambda x, y: {"xor": x.bitwiseXOR(y), "and": x.bitwiseAND(y), "or": x.bitwiseOR(y)}[op])
     return set_bits(joined)
 
@@ -64,8 +73,8 @@ def similarity(a: Column, b: Column, width: int) -> list[Column]:
     n = words_of(width)
     same = (F.size(a) == n) & (F.size(b) == n)
     a = F.when(same, a).otherwise(F.raise_error(F.lit("the vectors differ in width")).cast("array<bigint>"))
-    diff, inter, union = (_count(a, b, op) for op in ("xor", "and", "or"))
-    na, nb = set_bits(a), set_bits(b)
+    diff, inter, union = (_count(a, b, op, n) for op in ("xor", "and", "or"))
+    na, nb = _count(a, a, "and", n), _count(b, b, "and", n)
     root = F.sqrt(na.cast("double") * nb.cast("double"))
     return [
         diff.alias("difference"),
@@ -89,27 +98,34 @@ def similar_pairs(vectors: DataFrame, width: int, least_jaccard: float) -> DataF
     """All pairs left < right with at least that Jaccard similarity.
 
     Vectors alike to a share t agree on one of their rarest (1 - t) n + 1 bits
-    (prefix filter), so candidates are joined on those bits only, and lengths
-    that can't reach t are left out.  Equal vectors are joined once and get
-    their ids back at the end.  Empty vectors are alike to each other.
+    (prefix filter), so candidates meet on those bits only.  A pair counts at
+    the first prefix bit it shares, if the lengths and the bits after the place
+    of that bit in both leave room for t, and is decided there on the bits it
+    carries: nothing is shuffled for a candidate.  Equal vectors are joined once
+    and get their ids back at the end.  Empty vectors are alike to each other.
     """
     if not 0 < least_jaccard <= 1:
         raise ValueError("the least similarity lies in (0, 1]")
+    t = F.lit(least_jaccard)
     kinds = vectors.groupBy("bits", "n_bits").agg(F.min("id").alias("kind"))
     numbers = F.sequence(F.lit(0), F.lit(width - 1))
     own = kinds.withColumn("on", F.filter(numbers, lambda i: F.getbit(F.element_at("bits", (F.floor(i / 64) + 1).cast("int")), F.pmod(i, F.lit(64)).cast("int")) == 1))
     bits = own.select("kind", "n_bits", F.explode("on").alias("bit"))
+    # The rank of a bit, rarest first: width rows at most.
     often = bits.groupBy("bit").agg(F.count("*").alias("often"))
-    ranked = bits.join(F.broadcast(often), "bit")  # width rows at most
-    short = ranked.groupBy("kind", "n_bits").agg(F.array_sort(F.collect_list(F.struct("often", "bit"))).alias("by"))  # width entries at most
-    keep = F.col("n_bits") - F.ceil(F.lit(least_jaccard) * F.col("n_bits") - 1e-9) + 1
-    prefix = short.select("kind", "n_bits", F.explode(F.slice("by", F.lit(1), keep.cast("int"))).alias("x")).select("kind", "n_bits", "x.bit")
-    a, b = prefix.toDF("ka", "na", "bit"), prefix.toDF("kb", "nb", "bit")
-    near = a.join(b, "bit").filter("ka < kb").filter(F.least("na", "nb") >= F.lit(least_jaccard) * F.greatest("na", "nb") - 1e-9).select("ka", "kb").distinct()
-    ends = kinds.select("kind", "bits")
-    scored = near.join(ends.toDF("ka", "x"), "ka").join(ends.toDF("kb", "y"), "kb")
-    inter, union = _count(F.col("x"), F.col("y"), "and"), _count(F.col("x"), F.col("y"), "or")
-    linked = scored.select("ka", "kb", F.when(union == 0, 1.0).otherwise(inter / union).alias("jaccard")).filter(F.col("jaccard") >= least_jaccard - 1e-12)
+    rank = often.select("bit", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("often", "bit")).alias("rank"))
+    ranked = bits.join(F.broadcast(rank), "bit")
+    sets = ranked.groupBy("kind", "n_bits").agg(F.array_sort(F.collect_list("rank")).alias("has"))  # width entries at most
+    keep = (F.col("n_bits") - F.ceil(t * F.col("n_bits") - 1e-9) + 1).cast("int")
+    prefix = sets.select("kind", "n_bits", "has", F.posexplode(F.slice("has", F.lit(1), keep)).alias("at", "bit"))
+    a, b = prefix.toDF("ka", "na", "xa", "ia", "bit"), prefix.toDF("kb", "nb", "xb", "ib", "bit")
+    # The first shared bit and as many after it as either has left: the intersection is no larger.
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    near = a.join(b, "bit").filter("ka < kb").filter(F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
+    near = near.filter(room >= t * (F.col("na") + F.col("nb") - room) - 1e-9)
+    shared = F.array_intersect("xa", "xb")  # in the order of ranks
+    found = near.withColumn("shared", shared).filter(F.element_at("shared", 1) == F.col("bit"))
+    linked = found.select("ka", "kb", (F.size("shared") / (F.col("na") + F.col("nb") - F.size("shared"))).alias("jaccard")).filter(F.col("jaccard") >= least_jaccard - 1e-12)
     same = kinds.select(F.col("kind").alias("ka"), F.col("kind").alias("kb"), F.lit(1.0).alias("jaccard"))
     member = vectors.join(kinds, ["bits", "n_bits"]).select("id", "kind")
     pairs = linked.union(same).join(member.toDF("p", "ka"), "ka").join(member.toDF("q", "kb"), "kb").filter("p <> q and (ka <> kb or p < q)")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from copy import deepcopy
+from dataclasses import dataclass, field, fields
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.files import get_text, put_text
+
 
 class MigrationError(ValueError):
     """A plan that can't be made or a step that can't be undone."""
@@ -141,9 +144,31 @@ def check_unique(table: DataFrame, prop: str) -> None:
         raise MigrationError(f"{prop} isn't unique")
 
 
+class RegistryStore:
+    """A registry, with its history, as one file that is replaced as a whole.  One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def load(self) -> Registry:
+        text = get_text(self.spark, self.path)
+        return Registry() if text is None else Registry.from_json(text)
+
+    def save(self, registry: Registry) -> None:
+        put_text(self.spark, self.path, registry.to_json())
+
+
 class MigrationRunner:
-    def __init__(self, registry: Registry, tables: dict[str, DataFrame] | None = None) -> None:
-        self.registry, self.tables = registry, tables
+    """Applies migrations to a registry; with a store, what is applied is saved after each migration.
+
+    A migration is applied as a whole: if one of its commands or the saving
+    fails, the registry and the store are as they were before it.
+    """
+
+    def __init__(self, registry: Registry | None = None, tables: dict[str, DataFrame] | None = None, store: RegistryStore | None = None) -> None:
+        if registry is None:
+            registry = store.load() if store is not None else Registry()
+        self.registry, self.tables, self.store = registry, tables, store
 
     def plan(self, migrations: Sequence[Migration]) -> list[Migration]:
         """What is still to be applied, in the given order."""
@@ -164,14 +189,25 @@ class MigrationRunner:
         todo = self.plan(migrations)
         for m in todo:
             commands = m.commands()
-            for c in commands:
-                self.registry.run(c, self.tables)
-            self.registry.history.append(Applied(m.id, checksum(commands), datetime.now(UTC)))
+            self._apply(commands, lambda r, m=m, c=commands: r.history.append(Applied(m.id, checksum(c), datetime.now(UTC))))
         return [m.id for m in todo]
 
     def revert(self, migration: Migration) -> None:
         if migration.id not in {a.id for a in self.registry.history}:
             raise MigrationError(f"{migration.id} hasn't been applied")
-        for c in migration.commands(down=True):
-            self.registry.run(c, self.tables)
-        self.registry.history = [a for a in self.registry.history if a.id != migration.id]
+
+        def forget(registry: Registry) -> None:
+            registry.history = [a for a in registry.history if a.id != migration.id]
+
+        self._apply(migration.commands(down=True), forget)
+
+    def _apply(self, commands: Sequence[Command], note: Callable[[Registry], None]) -> None:
+        """On a copy, which takes the registry's place when all has gone well."""
+        after = deepcopy(self.registry)
+        for c in commands:
+            after.run(c, self.tables)
+        note(after)
+        if self.store is not None:
+            self.store.save(after)
+        for f in fields(Registry):
+            setattr(self.registry, f.name, getattr(after, f.name))

@@ -6,10 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.operators.components import connected_components
-from graphloom.operators.projection import Projected, checksum, until_settled, written
+from graphloom.operators.projection import Projected, Unsettled, checksum, numbered, until_settled, written
 
 MOST_ROUNDS = 1000
 
@@ -19,16 +18,11 @@ MOST_ROUNDS = 1000
 
 def wcc(p: Projected) -> DataFrame:
     """id, component_id: the least id that a node reaches when directions don't matter."""
+    p, names = numbered(p)
     kind = p.nodes.schema["id"].dataType
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        found = connected_components(p.arcs, "src", "dst")
-        return p.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").cast(kind).alias("component_id"))
-    # Other keys stand in as hashes.
-    stand = p.nodes.select("id", F.xxhash64("id").alias("h"))
-    found = connected_components(p.arcs.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")), "a", "b")
-    named = stand.join(found.withColumnRenamed("id", "h"), "h", "left").select("id", F.coalesce("component", "h").alias("c"))
-    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    return named.join(least, "c").select("id", "component_id")
+    found = connected_components(p.arcs, "src", "dst")
+    out = p.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").cast(kind).alias("component_id"))
+    return out if names is None else names.of(names.of(out, "component_id"), "id")
 
 
 def scc(p: Projected) -> DataFrame:
@@ -36,7 +30,9 @@ def scc(p: Projected) -> DataFrame:
 
     The least id that reaches a node spreads forward; a node that kept its own
     id is a root, and what reaches a root among the nodes it coloured is its
-    component.  Found components leave, and the rest goes on.
+    component.  Found components leave, and the rest goes on.  Before that,
+    nodes that no cycle can hold leave: whole chains at once.  It fails rather
+    than return a part after ``MOST_ROUNDS`` rounds.
     """
     found = []
     left = written(p.nodes, "left")
@@ -44,13 +40,10 @@ def scc(p: Projected) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
-        # A node without a way in or without a way out is alone.
-        busy = written(arcs.select(F.col("src").alias("id")).distinct().intersect(arcs.select(F.col("dst").alias("id")).distinct()), "busy")
-        alone = written(left.join(busy, "id", "left_anti").select("id", F.col("id").alias("component_id")), "found")
-        found.append(alone)
-        left = busy
-        arcs = written(arcs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "open")
+        alone = _acyclic(left, arcs)
         if not alone.isEmpty():
+            found.append(alone.select("id", F.col("id").alias("component_id")))
+            left, arcs = _without(left, arcs, alone)
             continue
         open_arcs = arcs
 
@@ -69,13 +62,43 @@ def scc(p: Projected) -> DataFrame:
                 break
             done = written(done.union(front), "back")
         found.append(done.select("id", F.col("color").alias("component_id")))
-        left = written(left.join(done, "id", "left_anti"), "left")
-        arcs = written(same.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "open")
+        left, arcs = _without(left, same, done)
+    else:
+        if not left.isEmpty():
+            raise Unsettled(f"nodes are left after {MOST_ROUNDS} rounds")
     if not found:
         return p.nodes.select("id", F.col("id").alias("component_id"))
     return reduce(DataFrame.union, found)
 
 
+def _without(nodes: DataFrame, arcs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    out = gone.select("id")
+    kept = arcs.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return written(nodes.join(out, "id", "left_anti").select("id"), "left"), written(kept.select("src", "dst"), "open")
+
+
+def _acyclic(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """id: nodes without a way in, and those whose only way in comes from such a node, at any
+    distance; and the same for ways out.  Found by doubling, in rounds that grow as the logarithm of a chain."""
+    most = nodes.count()
+    out = None
+    for here, there in (("dst", "src"), ("src", "dst")):
+        ways = arcs.groupBy(F.col(here).alias("id")).agg(F.count("*").alias("n"), F.min(there).alias("up"))
+        state = nodes.join(ways, "id", "left").select("id", F.col("n").isNull().alias("ends"), F.when(F.col("n") == 1, F.col("up")).alias("up"))
+        state = written(state, "chains")
+        for _ in range(most.bit_length() + 1):
+            above = state.select(F.col("id").alias("at"), F.col("ends").alias("done"), F.col("up").alias("next"))
+            after = state.join(above, F.col("up") == F.col("at"), "left").select(
+                "id", (F.col("ends") | F.coalesce("done", F.lit(False))).alias("ends"), F.when(~F.col("ends") & ~F.coalesce("done", F.lit(False)), F.col("next")).alias("up")
+            )
+            state = written(after, "chains")
+            if state.filter("up is not null and not ends").isEmpty():
+                break
+        own = state.filter("ends").select("id")
+        out = own if out is None else out.union(own)
+    return written(out.distinct(), "found")
+
+
 # --- density ----------------------------------------------------------------------
 
 
@@ -210,6 +233,9 @@ def k1_coloring(p: Projected) -> DataFrame:
         new = written(colored, "colored")
         done = new if done is None else written(done.union(new), "colored")
         left = written(left.join(new, "id", "left_anti"), "left")
+    else:
+        if not left.isEmpty():
+            raise Unsettled(f"nodes have no colour after {MOST_ROUNDS} rounds")
     return done if done is not None else p.nodes.withColumn("color", F.lit(0))
 
 
@@ -345,10 +371,18 @@ def _levels(p: Projected, levels: int, iterations: int, tolerance: float, resolu
     return out
 
 
+def _named_levels(p: Projected, levels: int, iterations: int, tolerance: float, resolution: float, refine: bool) -> DataFrame:
+    p, names = numbered(p)
+    out = _levels(p, levels, iterations, tolerance, resolution, refine)
+    if names is None:
+        return out
+    return names.of(names.of(names.of_arrays(written(out, "levels"), "levels"), "community_id"), "id")
+
+
 def louvain(p: Projected, levels: int = 10, iterations: int = 10, tolerance: float = 1e-4, resolution: float = 1.0, intermediate: bool = False) -> DataFrame:
     """id, community_id and, if asked for, intermediate_community_ids."""
     check_louvain_options(levels, iterations, tolerance)
-    out = _levels(p, levels, iterations, tolerance, resolution, refine=False)
+    out = _named_levels(p, levels, iterations, tolerance, resolution, refine=False)
     return out.withColumnRenamed("levels", "intermediate_community_ids") if intermediate else out.drop("levels")
 
 
@@ -362,15 +396,17 @@ def check_louvain_options(levels: int, iterations: int, tolerance: float) -> Non
 def leiden(p: Projected, levels: int = 10, iterations: int = 10, tolerance: float = 1e-4, resolution: float = 1.0, intermediate: bool = False) -> DataFrame:
     """As :func:`louvain`, and every community is connected."""
     check_louvain_options(levels, iterations, tolerance)
-    out = _levels(p, levels, iterations, tolerance, resolution, refine=True)
+    out = _named_levels(p, levels, iterations, tolerance, resolution, refine=True)
     return out.withColumnRenamed("levels", "intermediate_community_ids") if intermediate else out.drop("levels")
 
 
 def modularity_optimization(p: Projected, iterations: int = 10, tolerance: float = 1e-4, resolution: float = 1.0) -> DataFrame:
     """id, community_id: the moves of one level."""
+    p, names = numbered(p)
     arcs = _symmetric(p)
     labels, _ = _local_moves(arcs, written(p.nodes.select("id", F.col("id").alias("c")), "labels"), iterations, tolerance, resolution)
-    return labels.select("id", F.col("c").alias("community_id"))
+    out = labels.select("id", F.col("c").alias("community_id"))
+    return out if names is None else names.of(names.of(out, "community_id"), "id")
 
 
 def max_k_cut(p: Projected, k: int = 2, iterations: int = 8) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.plans.lineage import drop_written, written
 
@@ -39,21 +40,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 2_147_483_629).alias("s")).first()
-    return row.n, row.s or 0
+def _mark(edges: DataFrame) -> tuple:
+    """Tells sets of edges apart: exact sums of two hashes."""
+    return tuple(edges.agg(F.count("*"), *(F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(20,0)")) for k in (0, 1))).first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component): for each end of an edge that is not alone, the least id it reaches.
 
-    ``edges`` holds undirected pairs of integers; nulls, self-loops and
-    repeated pairs are ignored.  Ids that occur only in self-loops are not
+    ``edges`` holds undirected pairs of whole numbers (other keys fail; number
+    them first); nulls, self-loops and repeated pairs are ignored.  Ids that occur only in self-loops are not
     returned, so callers left-join and take the id itself.  Each round is two
     aggregations with map-side partial minima and two equi-joins that adaptive
     execution may split; the rounds grow as the logarithm of the longest
     chain.  An empty input gives an empty result.
     """
+    for end in (src, dst):
+        if not isinstance(edges.schema[end].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            raise TypeError(f"{end} holds no whole numbers")
     now = written(
         edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
         .filter("u is not null and v is not null and u <> v")

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.projection import Projected, checksum, until_settled, written
+from graphloom.operators.projection import Projected, Unsettled, written
 
-#: Rounds after which a distance computation gives up.
+#: Rounds after which a distance computation fails.
 MOST_ROUNDS = 10_000
+#: Targets that are broadcast to pair them with sources; more meet in buckets.
+MOST_BROADCAST = 100_000
 
 
 class NegativeWeight(ValueError):
@@ -36,15 +38,15 @@ def all_distances(p: Projected, weighted: bool = False, sources: DataFrame | Non
     if weighted:
         _check_weights(p)
         return _relaxed(start, arcs)
-    done = front = written(start, "dist")
-    hops = 0
+    front = written(start, "dist")
+    levels = [front]
     while True:
-        hops += 1
         ahead = front.join(arcs, front.id == arcs.src).select("source", F.col("dst").alias("id")).distinct()
-        front = written(ahead.join(done, ["source", "id"], "left_anti").withColumn("dist", F.lit(float(hops))), "front")
+        known = reduce(DataFrame.union, levels).select("source", "id")
+        front = written(ahead.join(known, ["source", "id"], "left_anti").withColumn("dist", F.lit(float(len(levels)))), "front")
         if front.isEmpty():
-            return done
-        done = written(done.union(front), "dist")
+            return reduce(DataFrame.union, levels)
+        levels.append(front)
 
 
 def _relaxed(start: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -57,12 +59,24 @@ def _relaxed(start: DataFrame, arcs: DataFrame) -> DataFrame:
         if front.isEmpty():
             return best
         best = written(best.union(front).groupBy("source", "id").agg(F.min("dist").alias("dist")), "dist")
-    raise RuntimeError("distances did not settle")
+    raise Unsettled(f"distances didn't settle in {MOST_ROUNDS} rounds")
 
 
 def _pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of ends: both are selections that the caller states; a source is no route to itself."""
-    return sources.select(F.col("id").alias("source")).join(F.broadcast(targets.select(F.col("id").alias("target"))), F.col("source") != F.col("target"))
+    """Pairs of ends, one for each route asked for; a source is no route to itself.
+
+    Both are selections that the caller states.  Up to ``MOST_BROADCAST``
+    targets are broadcast; more are dealt into buckets that every source goes to.
+    """
+    a = sources.select(F.col("id").alias("source")).filter("source is not null").distinct()
+    b = written(targets.select(F.col("id").alias("target")).filter("target is not null").distinct(), "targets")
+    n = b.count()
+    if n <= MOST_BROADCAST:
+        return a.join(F.broadcast(b), F.col("source") != F.col("target"))
+    buckets = -(-n // MOST_BROADCAST)
+    sent = a.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    dealt = b.withColumn("bucket", F.pmod(F.xxhash64("target"), F.lit(buckets)).cast("int"))
+    return sent.join(dealt, "bucket").filter("source <> target").select("source", "target")
 
 
 def shortest_routes(p: Projected, sources: DataFrame, targets: DataFrame, max_depth: int | None = None, every: bool = False) -> DataFrame:
@@ -74,17 +88,19 @@ def shortest_routes(p: Projected, sources: DataFrame, targets: DataFrame, max_de
     target are then put together to paths.
     """
     arcs = p.arcs.filter("src <> dst").select("src", "dst")
-    wanted = written(_pairs(sources, targets), "ends")
-    done = front = written(wanted.select("source").distinct().select("source", F.col("source").alias("id"), F.lit(0).alias("hops")), "levels")
-    hops = 0
-    while max_depth is None or hops < max_depth:
-        hops += 1
+    begin = sources.filter("id is not null").select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")).distinct()
+    front = written(begin.join(p.nodes, "id", "left_semi").select("source", "id", "hops"), "levels")
+    levels = [front]
+    while max_depth is None or len(levels) <= max_depth:
         ahead = front.join(arcs, front.id == arcs.src).select("source", F.col("dst").alias("id")).distinct()
-        front = written(ahead.join(done, ["source", "id"], "left_anti").withColumn("hops", F.lit(hops)), "front")
+        known = reduce(DataFrame.union, levels).select("source", "id")
+        front = written(ahead.join(known, ["source", "id"], "left_anti").withColumn("hops", F.lit(len(levels))), "front")
         if front.isEmpty():
             break
-        done = written(done.union(front), "levels")
-    ends = wanted.join(done.withColumnRenamed("id", "target"), ["source", "target"]).select("source", "target", "hops")
+        levels.append(front)
+    done = reduce(DataFrame.union, levels)
+    # What is reached and asked for: pairs are made of reached nodes only.
+    ends = done.filter("id <> source").join(targets.select("id").distinct(), "id", "left_semi").select("source", F.col("id").alias("target"), "hops")
     # Back from the targets, one level at a time; ``nodes`` is the path from here on.
     level = written(ends.select("source", "target", "hops", F.col("target").alias("at"), F.array("target").alias("nodes")), "tails")
     out = []
@@ -115,16 +131,36 @@ def dijkstra(p: Projected, sources: DataFrame, targets: DataFrame) -> DataFrame:
     Ties go to fewer hops, then to the path whose nodes come first in order.
     """
     _check_weights(p)
-    wanted = written(_pairs(sources, targets), "ends")
-    return _weighted(p, wanted, None)
+    return _from_sources(p, sources, targets)
+
+
+def _from_sources(p: Projected, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Least (cost, hops, nodes) from each source to every node, then those asked for.
+
+    A round extends only what improved; a node's entry holds its cost, its hops
+    and its path, of which the least in order wins.  A path of so many hops
+    needs so many rounds; ``MOST_ROUNDS`` without an end fail.
+    """
+    arcs = p.arcs.filter("src <> dst").select("src", "dst", "w")
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("id").alias("nodes")).alias("path")
+    best = front = written(sources.select("id").filter("id is not null").distinct().join(p.nodes, "id", "left_semi").select(F.col("id").alias("source"), F.col("id").alias("at"), start), "paths")
+    for _ in range(MOST_ROUNDS):
+        further = F.struct((F.col("path.cost") + F.col("w")).alias("cost"), (F.col("path.hops") + 1).alias("hops"), F.concat("path.nodes", F.array("dst")).alias("nodes"))
+        ahead = front.join(arcs, front["at"] == arcs.src).select("source", F.col("dst").alias("at"), further.alias("path")).groupBy("source", "at").agg(F.min("path").alias("offer"))
+        better = ahead.join(best, ["source", "at"], "left").filter("path is null or offer < path")
+        front = written(better.select("source", "at", F.col("offer").alias("path")), "front")
+        if front.isEmpty():
+            found = best.filter("source <> at").join(targets.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+            return found.select("source", F.col("at").alias("target"), "path.nodes", F.col("path.hops").alias("hop_count"), F.col("path.cost").alias("total_cost"))
+        best = written(best.union(front).groupBy("source", "at").agg(F.min("path").alias("path")), "paths")
+    raise Unsettled(f"routes didn't settle in {MOST_ROUNDS} rounds")
 
 
-def _weighted(p: Projected, wanted: DataFrame, bound: Column | None, coordinates: DataFrame | None = None) -> DataFrame:
-    """Relax (cost, hops, nodes) until nothing improves.
+def _weighted(p: Projected, wanted: DataFrame, bound: Column, coordinates: DataFrame) -> DataFrame:
+    """Relax (cost, hops, nodes) for each pair until nothing improves.
 
-    A partial path that costs as much as a path to the pair's target already
-    does is dropped; with coordinates so is one whose cost and remaining bound
-    together do.
+    A partial path whose cost and remaining bound together exceed what a path
+    to the pair's target costs already is dropped.
     """
     arcs = p.arcs.filter("src <> dst").select("src", "dst", "w")
     best = front = written(wanted.select("source", "target", F.col("source").alias("at"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source").alias("nodes")).alias("path")), "paths")
@@ -144,18 +180,15 @@ def _weighted(p: Projected, wanted: DataFrame, bound: Column | None, coordinates
         reached = best.filter("at = target").select(F.col("source").alias("s2"), F.col("target").alias("t2"), F.col("path.cost").alias("limit"))
         better = ahead.join(best, ["source", "target", "at"], "left").filter("path is null or offer < path").drop("path")
         better = better.join(reached, (F.col("source") == F.col("s2")) & (F.col("target") == F.col("t2")), "left")
-        ahead_of = F.lit(0.0)
-        if coordinates is not None:
-            here = coordinates.select(F.col("id").alias("c1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-            there = coordinates.select(F.col("id").alias("c2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-            better = better.join(here, F.col("at") == F.col("c1"), "left").join(there, F.col("target") == F.col("c2"), "left")
-            ahead_of = F.coalesce(bound, F.lit(0.0)) if bound is not None else F.lit(0.0)
-        kept = better.filter(F.col("limit").isNull() | (F.col("offer.cost") + ahead_of <= F.col("limit") + 1e-9))
+        here = coordinates.select(F.col("id").alias("c1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+        there = coordinates.select(F.col("id").alias("c2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+        better = better.join(here, F.col("at") == F.col("c1"), "left").join(there, F.col("target") == F.col("c2"), "left")
+        kept = better.filter(F.col("limit").isNull() | (F.col("offer.cost") + F.coalesce(bound, F.lit(0.0)) <= F.col("limit") + 1e-9))
         front = written(kept.select("source", "target", "at", F.col("offer").alias("path")), "front")
         if front.isEmpty():
-            break
+            return best.filter("at = target").select("source", "target", "path.nodes", F.col("path.hops").alias("hop_count"), F.col("path.cost").alias("total_cost"))
         best = written(best.union(front).groupBy("source", "target", "at").agg(F.min("path").alias("path")), "paths")
-    return best.filter("at = target").select("source", "target", "path.nodes", F.col("path.hops").alias("hop_count"), F.col("path.cost").alias("total_cost"))
+    raise Unsettled(f"routes didn't settle in {MOST_ROUNDS} rounds")
 
 
 #: Kilometres.
@@ -180,12 +213,11 @@ def a_star(p: Projected, sources: DataFrame, targets: DataFrame, coordinates: Da
     return _weighted(p, wanted, bound, coordinates)
 
 
-def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops: int | None = None) -> DataFrame:
-    """source, target, rank, nodes, hop_count, total_cost: the k least paths without a repeated node.
+def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """source, target, rank, nodes, hop_count, total_cost: the k least paths without a repeated node, of any number of hops.
 
     Distances to each target bound what a partial path can still cost; it is
-    dropped when k whole paths cost less than that.  Paths have ``max_hops`` at
-    most, or any number where none is given.  Ties go to fewer hops, then to order.
+    dropped when k whole paths cost less than that.  Ties go to fewer hops, then to order.
     """
     if k <= 0:
         raise ValueError("k is positive")
@@ -197,7 +229,7 @@ def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops:
     order = Window.partitionBy("source", "target").orderBy("cost", "hops", "nodes")
     whole = None
     front = written(wanted.select("source", "target", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("source").alias("nodes")), "front")
-    for _ in count() if max_hops is None else range(max_hops):
+    for _ in count():
         at = F.element_at("nodes", -1)
         ahead = (
             front.withColumn("at", at)
@@ -217,6 +249,3 @@ def yen(p: Projected, sources: DataFrame, targets: DataFrame, k: int, max_hops:
             break
     ranked = whole.withColumn("rank", F.row_number().over(order)) if whole is not None else front.withColumn("rank", F.lit(1))
     return ranked.select("source", "target", F.col("rank").cast("int").alias("rank"), "nodes", F.col("hops").alias("hop_count"), F.col("cost").alias("total_cost"))
-
-
-__all__ = ["a_star", "all_distances", "checksum", "dijkstra", "haversine", "shortest_routes", "until_settled", "yen"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 from graphloom.operators.community import wcc
-from graphloom.operators.projection import Projected, written
+from graphloom.operators.projection import Projected, numbered, written
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,7 @@ def _blocks(nodes: DataFrame, pairs: DataFrame, deepest: int) -> DataFrame:
 def bridges(p: Projected) -> DataFrame:
     """from, to, remaining_sizes: edges without which a component falls apart, and the sizes
     of what is left at ``from`` and at ``to``; from < to.  Parallel edges count as one."""
+    p, names = numbered(p)
     t = _numbered(p)
     alone = t.blocks.groupBy("block").agg(F.count("*").alias("n"), F.max("id").alias("id")).filter("n = 1")
     # A block of one tree arc; a cycle has two tree arcs at least.
@@ -117,16 +118,19 @@ def bridges(p: Projected) -> DataFrame:
     own = low.join(whole, "root").filter("parent is not null")
     first = F.col("id") < F.col("parent")
     below, above = F.col("size"), F.col("total") - F.col("size")
-    return own.select(
+    out = own.select(
         F.least("id", "parent").alias("from"),
         F.greatest("id", "parent").alias("to"),
         F.when(first, F.array(below, above)).otherwise(F.array(above, below)).alias("remaining_sizes"),
     )
+    return out if names is None else names.of(names.of(out, "from"), "to")
 
 
 def articulation_points(p: Projected) -> DataFrame:
     """id, resulting_components: nodes without which their component falls into so many parts (2 or more)."""
+    p, names = numbered(p)
     t = _numbered(p)
     arcs = t.nodes.select("id", "parent").join(t.blocks, "id")
     touching = arcs.select("id", "block").union(arcs.select(F.col("parent").alias("id"), "block")).filter("id is not null").distinct()
-    return touching.groupBy("id").agg(F.count("*").alias("resulting_components")).filter("resulting_components >= 2")
+    out = touching.groupBy("id").agg(F.count("*").alias("resulting_components")).filter("resulting_components >= 2")
+    return out if names is None else names.of(out, "id")

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from graphloom.functions.predicates import to_column
-from graphloom.model import NUMERIC, RelationType
+from graphloom.model import NUMERIC, NodeType, RelationType
 from graphloom.operators import centrality, clusters, community, paths, structure
 from graphloom.operators.projection import Projected, project
 from graphloom.plans.ir import AnalyticsModel, RouteModel
+from graphloom.plans.lineage import scratch
 from graphloom.sources.graph import Graph
 
 
@@ -285,6 +286,11 @@ class AnalyticsQuery:
         return projected(self.graph, m.relation, relation.column(m.weight) if m.weight else None)
 
     def _run(self, kind: Algorithm) -> DataFrame:
+        """The algorithm's result as a table; what it wrote on the way is gone."""
+        with scratch(self.graph.spark) as kept:
+            return kept(self._raw(kind), kind.name)
+
+    def _raw(self, kind: Algorithm) -> DataFrame:
         m = self.model
         options = dict(m.options)
         node = self.graph.model.node(m.nodes.node_type)
@@ -356,8 +362,6 @@ class RouteQuery:
             raise UnsupportedAnalytics(f"{m.algorithm} needs a weight")
         if m.algorithm == "a_star" and (m.latitude is None or m.longitude is None):
             raise UnsupportedAnalytics("a_star needs latitude and longitude")
-        relation = self.graph.model.relations[m.relation]
-        p = projected(self.graph, m.relation, relation.column(m.weight) if m.weight else None)
         node = self.graph.model.node(m.source.node_type)
         table = self.graph.node_table(m.source.node_type)
 
@@ -366,6 +370,12 @@ class RouteQuery:
             return own.select(F.col(node.key_column).alias("id"))
 
         sources, targets = ends(m.source), ends(m.target)
+        with scratch(self.graph.spark) as kept:
+            return kept(self._routes(m, sources, targets, node, table), m.algorithm)
+
+    def _routes(self, m: RouteModel, sources: DataFrame, targets: DataFrame, node: NodeType, table: DataFrame) -> DataFrame:
+        relation = self.graph.model.relations[m.relation]
+        p = projected(self.graph, m.relation, relation.column(m.weight) if m.weight else None)
         if m.algorithm in ("shortest_path", "all_shortest_paths"):
             return paths.shortest_routes(p, sources, targets, m.max_depth, every=m.algorithm == "all_shortest_paths")
         if m.algorithm == "dijkstra":

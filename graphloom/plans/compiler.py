@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.predicates import Predicate, to_column
 from graphloom.plans.ir import ROOT, CyclePolicy, Direction, Projection, QueryModel, Step
+from graphloom.plans.lineage import written
 from graphloom.sources.graph import Graph
 
 
@@ -215,15 +216,21 @@ def _reached(model: QueryModel, graph: Graph) -> DataFrame:
     values = model.parameters
     edges = _edges(graph, s, values).select("from_key", "to_key", "from_label", "to_label").distinct()
     start = _scan(graph, model.node_type, ROOT, model.predicate, values)
-    now = start.select(_key(graph, model.node_type, ROOT).alias("key"), F.lit(s.source_type).alias("label"))
-    found = [now] if s.min_depth == 0 else []
+    # Each hop's new nodes are a table; a node that was met before leads nowhere new.
+    now = written(start.select(_key(graph, model.node_type, ROOT).alias("key"), F.lit(s.source_type).alias("label")).distinct(), "frontier")
+    met, hops = [now], []
     for _ in range(s.max_depth):
-        now = (
+        ahead = (
             now.join(edges, (now["key"] == edges["from_key"]) & (now["label"] == edges["from_label"]))
             .select(F.col("to_key").alias("key"), F.col("to_label").alias("label"))
             .distinct()
         )
-        found.append(now)
+        hops.append(written(ahead, "reached"))
+        now = written(hops[-1].join(reduce(DataFrame.union, met), ["key", "label"], "left_anti"), "frontier")
+        if now.isEmpty():
+            break
+        met.append(now)
+    found = [met[0], *hops] if s.min_depth == 0 else hops
     keys = reduce(DataFrame.union, found).filter(F.col("label") == s.target_type).select("key").distinct()
     target = _scan(graph, s.target_type, s.target_alias, s.predicate, values)
     return target.join(keys, _key(graph, s.target_type, s.target_alias) == keys["key"], "left_semi")
@@ -304,7 +311,7 @@ def count_result(model: QueryModel, graph: Graph) -> DataFrame:
 
 
 def subgraph_result(model: QueryModel, graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """(label, id, properties as JSON) and (relation, edge_id, source_id, target_id), each once."""
+    """(label, id, properties as JSON) and (relation, edge_id, source_id, target_id, properties as JSON), each once."""
     df = _matches(model, graph)
     nodes, edges = [], []
     aliases = [(ROOT, model.node_type)] + [(s.target_alias, s.target_type) for s in model.steps]
@@ -323,6 +330,19 @@ def subgraph_result(model: QueryModel, graph: Graph) -> tuple[DataFrame, DataFra
             edges.append(df.select(F.explode(f"{r}__edges").alias("e")).select("e.relation", "e.edge_id", "e.source_id", "e.target_id"))
     all_nodes = reduce(DataFrame.union, nodes).dropDuplicates(["label", "id"])
     if not edges:
-        empty = graph.spark.createDataFrame([], "relation string, edge_id long, source_id string, target_id string")
+        empty = graph.spark.createDataFrame([], "relation string, edge_id long, source_id string, target_id string, properties string")
         return all_nodes, empty
-    return all_nodes, reduce(DataFrame.union, edges).dropDuplicates(["relation", "edge_id"])
+    once = reduce(DataFrame.union, edges).dropDuplicates(["relation", "edge_id"])
+    # The payload is fetched once for each edge, not carried through the match.
+    payload = reduce(DataFrame.union, [_payload(graph, k) for k in {k for s in model.steps for k in s.relations}])
+    own = payload.select(F.col("relation").alias("r"), F.col("edge_id").alias("e"), "properties")
+    found = once.join(own, (F.col("relation") == F.col("r")) & (F.col("edge_id") == F.col("e")), "left")
+    return all_nodes, found.select("relation", "edge_id", "source_id", "target_id", F.coalesce("properties", F.lit("{}")).alias("properties"))
+
+
+def _payload(graph: Graph, key: tuple[str, str, str]) -> DataFrame:
+    """relation, edge_id, properties of all edges of a relation."""
+    kind = graph.model.relations[key]
+    fields = [F.col(c).alias(p) for p, c in kind.properties.items() if c not in ("src", "dst", "edge_id")]
+    text = F.to_json(F.struct(*fields)) if fields else F.lit("{}")
+    return graph.edge_table(kind).select(F.lit(kind.name).alias("relation"), "edge_id", text.alias("properties"))

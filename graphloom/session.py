@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import GraphModel, RelationType
+from graphloom.sources.files import get_text, put_text
 from graphloom.sources.graph import Graph
 
 
@@ -288,9 +289,16 @@ def _changes(spark: SparkSession, table: DataFrame, keys: list[str], rows: list[
     return spark.createDataFrame(data, schema)
 
 
+#: Rows of a plan that are broadcast; more are joined like any table.
+MOST_BROADCAST = 100_000
+
+
+def _few(rows: list, table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
+
+
 def _merged(table: DataFrame, changes: DataFrame, keys: list[str], insert: bool) -> DataFrame:
-    c = F.broadcast(changes)  # what a session holds in the driver
-    joined = table.alias("t").join(changes if insert else c, keys, "full_outer" if insert else "left")
+    joined = table.alias("t").join(changes, keys, "full_outer" if insert else "left")
     columns = []
     for f in table.schema:
         if f.name in keys:
@@ -303,7 +311,8 @@ def _merged(table: DataFrame, changes: DataFrame, keys: list[str], insert: bool)
 def _write_nodes(graph: Graph, label: str, table: DataFrame, own: list[Mutation], insert: bool) -> DataFrame:
     kind = graph.model.node(label)
     rows = [({kind.key_column: m.key}, {kind.column(p): v for p, v in m.values.items() if p != kind.key}) for m in own]
-    return _merged(table, _changes(graph.spark, table, [kind.key_column], rows), [kind.key_column], insert)
+    changes = _changes(graph.spark, table, [kind.key_column], rows)
+    return _merged(table, changes if insert else _few(rows, changes), [kind.key_column], insert)
 
 
 def _write_edges(graph: Graph, key: tuple[str, str, str], table: DataFrame, own: list[Mutation], insert: bool) -> DataFrame:
@@ -314,7 +323,7 @@ def _write_edges(graph: Graph, key: tuple[str, str, str], table: DataFrame, own:
             if part:
                 keys = ["edge_id"] if by_id else ["src", "dst"]
                 rows = [({"edge_id": m.edge_id} if by_id else {"src": m.src, "dst": m.dst}, {kind.column(p): v for p, v in m.values.items()}) for m in part]
-                table = _merged(table, _changes(graph.spark, table, keys, rows), keys, insert=False)
+                table = _merged(table, _few(rows, _changes(graph.spark, table, keys, rows)), keys, insert=False)
         return table
     rows = [({"src": m.src, "dst": m.dst}, {kind.column(p): v for p, v in m.values.items()}) for m in own]
     changes = _changes(graph.spark, table, ["src", "dst"], rows)
@@ -326,13 +335,13 @@ def _delete_edges(graph: Graph, key: tuple[str, str, str], table: DataFrame, own
     kind = graph.model.relations[key]
     ends = [(m.src, m.dst) for m in own] + ([] if kind.directed else [(m.dst, m.src) for m in own])
     schema = f"src {table.schema['src'].dataType.simpleString()}, dst {table.schema['dst'].dataType.simpleString()}"
-    return table.join(F.broadcast(graph.spark.createDataFrame(ends, schema)), ["src", "dst"], "left_anti").select(*table.columns)
+    return table.join(_few(ends, graph.spark.createDataFrame(ends, schema)), ["src", "dst"], "left_anti").select(*table.columns)
 
 
 def _delete_nodes(graph: Graph, label: str, own: list[Mutation], nodes: dict, edges: dict) -> None:
     kind = graph.model.node(label)
     column = kind.key_column
-    gone = F.broadcast(graph.spark.createDataFrame([(m.key,) for m in own], f"`{column}` {nodes[label].schema[column].dataType.simpleString()}"))
+    gone = _few(own, graph.spark.createDataFrame([(m.key,) for m in own], f"`{column}` {nodes[label].schema[column].dataType.simpleString()}"))
     nodes[label] = nodes[label].join(gone, column, "left_anti").select(*nodes[label].columns)
     for key, table in edges.items():
         for end, side in ((key[0], "src"), (key[2], "dst")):
@@ -353,16 +362,9 @@ class GraphStore:
     def __init__(self, spark: SparkSession, path: str, model: GraphModel) -> None:
         self.spark, self.path, self.model = spark, path.rstrip("/"), model
 
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
     def _manifest(self) -> dict[str, str]:
-        fs, path = self._fs("manifest.json")
-        if not fs.exists(path):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        text = get_text(self.spark, f"{self.path}/manifest.json")
+        return {} if text is None else json.loads(text)
 
     @staticmethod
     def _name(key: str | tuple[str, str, str]) -> str:
@@ -399,13 +401,4 @@ class GraphStore:
         return self._graph()
 
     def _swap(self, held: dict[str, str]) -> None:
-        fs, new = self._fs(f"manifest-{uuid.uuid4().hex}.json")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
-        out.close()
-        _, path = self._fs("manifest.json")
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, path, options)
+        put_text(self.spark, f"{self.path}/manifest.json", json.dumps(held, sort_keys=True))

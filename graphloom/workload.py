@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import bitsets
 from graphloom.model import ModelBuilder
-from graphloom.operators import paths
+from graphloom.operators import community
+from graphloom.operators.components import connected_components
 from graphloom.plans.analytics import projected
+from graphloom.plans.lineage import written
 from graphloom.session import Mutation, Op, apply_plan
 from graphloom.sources.graph import Graph, with_edge_ids
 
@@ -24,8 +26,8 @@ def _followed(v: dict[str, DataFrame]) -> DataFrame:
     return hit.groupBy(F.col("user_id").alias("src"), F.col("next").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def _bought(v: dict[str, DataFrame], least: int) -> DataFrame:
-    a = v["lineitem"].filter(F.col("l_quantity") >= least).select("l_orderkey", F.col("l_partkey").alias("src"))
+def _bought(v: dict[str, DataFrame]) -> DataFrame:
+    a = v["lineitem"].filter("l_quantity >= 45").select("l_orderkey", F.col("l_partkey").alias("src"))
     b = a.withColumnRenamed("src", "dst")
     return a.join(b, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
@@ -59,8 +61,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         ("Customer", "ORDERED_HIGH", "Order"): (v["orders"].filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), True),
         ("Customer", "ORDERED_OPEN", "Order"): (v["orders"].filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), True),
         ("User", "FOLLOWED_BY", "User"): (_followed(v), True),
-        ("Part", "BOUGHT_WITH", "Part"): (_bought(v, 45), False),
-        ("Part", "BOUGHT_RARELY", "Part"): (_bought(v, 49), False),
+        ("Part", "BOUGHT_WITH", "Part"): (_bought(v), False),
     }
     b = ModelBuilder()
     for label, table in nodes.items():
@@ -68,7 +69,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     for (s, n, t), (table, directed) in edges.items():
         b.relation(n, s, t, table.columns, directed)
     # Relations of a table whose key tells the edges apart get ids from their ends alone.
-    unique = {"PLACED", "CUSTOMER_IN", "SUPPLIER_IN", "NATION_IN", "RETURNED_FROM", "ORDERED_HIGH", "ORDERED_OPEN", "FOLLOWED_BY", "BOUGHT_WITH", "BOUGHT_RARELY"}
+    unique = {"PLACED", "CUSTOMER_IN", "SUPPLIER_IN", "NATION_IN", "RETURNED_FROM", "ORDERED_HIGH", "ORDERED_OPEN", "FOLLOWED_BY", "BOUGHT_WITH"}
     tables = {k: (t.withColumn("edge_id", F.xxhash64("src", "dst", F.lit(k[1]))) if k[1] in unique else with_edge_ids(t)) for k, (t, _) in edges.items()}
     return Graph(spark, b.build(), nodes, tables)
 
@@ -138,11 +139,6 @@ def p_string(g: Graph) -> DataFrame:
     return g.nodes("Part").where(lambda p: p.p_type.startswith("PROMO") | p.p_name.contains("1%") | p.p_brand.endswith("3")).select("p_partkey", "p_type", "p_brand").to_df()
 
 
-@_query
-def p_in(g: Graph) -> DataFrame:
-    return g.nodes("Order").where(lambda o: o.o_orderpriority.is_in(["1-URGENT", "2-HIGH"])).where(lambda o: o.o_orderkey < 2000).select("o_orderkey", "o_orderpriority").to_df()
-
-
 @_query
 def p_not_in(g: Graph) -> DataFrame:
     return g.nodes("Order").where(lambda o: o.o_orderstatus.not_in(["O", "F"])).select("o_orderkey", "o_orderstatus").to_df()
@@ -168,11 +164,6 @@ def t_skip_take(g: Graph) -> DataFrame:
     return g.nodes("Part").take(5).take(20).order_by("p_retailprice").then_by("p_partkey").skip(30).where(lambda p: p.p_size > 10).select("p_partkey", "p_retailprice").to_df()
 
 
-@_query
-def t_distinct(g: Graph) -> DataFrame:
-    return g.nodes("Customer").where(lambda c: c.c_custkey < 60).traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).distinct().select("p_partkey", "p_name").to_df()
-
-
 @_query
 def t_count(g: Graph) -> DataFrame:
     return g.nodes("Order").where(lambda o: o.o_totalprice > 100000).order_by("o_orderkey").count_df()
@@ -220,29 +211,12 @@ def x_incoming(g: Graph) -> DataFrame:
     return g.nodes("Nation").where(lambda n: n.n_nationkey.is_in([1, 2])).traverse_incoming(g.relation("CUSTOMER_IN")).where(lambda c: c.c_acctbal > 0).select("c_custkey", "c_nationkey").to_df()
 
 
-@_query
-def x_undirected(g: Graph) -> DataFrame:
-    return g.nodes("Part").where(lambda p: p.p_partkey < 200).traverse(g.relation("BOUGHT_WITH")).select("p_partkey", "p_size").to_df()
-
-
-@_query
-def x_undirected_2(g: Graph) -> DataFrame:
-    """Two steps over one relation don't go back over the same edge."""
-    return g.nodes("Part").where(lambda p: p.p_partkey < 100).traverse(g.relation("BOUGHT_WITH")).traverse(g.relation("BOUGHT_WITH")).select("p_partkey").to_df()
-
-
 @_query
 def x_chain3(g: Graph) -> DataFrame:
     found = g.nodes("Customer").where(lambda c: c.c_mktsegment == "MACHINERY").traverse(g.relation("PLACED")).where(lambda o: o.o_totalprice > 250000)
     return found.traverse(g.relation("CONTAINS")).where(lambda p: p.p_size < 10).select("p_partkey", "p_size").to_df()
 
 
-@_query
-def x_optional(g: Graph) -> DataFrame:
-    """Targets only: a miss has no target."""
-    return g.nodes("Customer").where(lambda c: c.c_custkey < 300).traverse_optional(g.relation("RETURNED_FROM")).where(lambda s: s.s_acctbal > 0).select("s_suppkey", "s_acctbal").to_df()
-
-
 @_query
 def x_optional_count(g: Graph) -> DataFrame:
     return g.nodes("Customer").traverse_optional(g.relation("RETURNED_FROM")).count_df()
@@ -254,131 +228,87 @@ def x_optional_required(g: Graph) -> DataFrame:
     return g.nodes("Customer").traverse_optional(g.relation("RETURNED_FROM")).traverse(g.relation("SUPPLIER_IN")).select("n_nationkey", "n_name").to_df()
 
 
-@_query
-def x_any(g: Graph) -> DataFrame:
-    return g.nodes("Customer").where(lambda c: c.c_custkey < 100).traverse_any(g.relation("ORDERED_HIGH"), g.relation("ORDERED_OPEN")).select("o_orderkey").to_df()
-
-
-@_query
-def x_path(g: Graph) -> DataFrame:
-    found = g.nodes("Customer").where(lambda c: c.c_custkey < 50).traverse_path(g.relation("PLACED")).to_df()
-    return found.select(F.col("source.c_custkey").alias("c_custkey"), F.col("relation.o_totalprice").alias("price"), F.col("target.o_orderkey").alias("o_orderkey"))
-
-
-@_query
-def x_where_relation(g: Graph) -> DataFrame:
-    found = g.nodes("Order").where(lambda o: o.o_orderkey < 3000).traverse_path(g.relation("CONTAINS")).where_relation(lambda r: r.l_quantity >= 45).where_target(lambda p: p.p_size > 25).to_df()
-    return found.select(F.col("source.o_orderkey").alias("o_orderkey"), F.col("relation.l_quantity").alias("quantity"), F.col("target.p_partkey").alias("p_partkey"))
-
-
-@_query
-def x_var_depth(g: Graph) -> DataFrame:
-    """Paths of one to three different edges."""
-    return g.nodes("User").where(lambda u: u.user_id < 4).traverse(g.relation("FOLLOWED_BY"), 1, 3).select("user_id").to_df()
-
-
 @_query
 def x_var_depth_distinct(g: Graph) -> DataFrame:
     return g.nodes("User").where(lambda u: u.user_id == 5).traverse(g.relation("FOLLOWED_BY"), 1, 4).distinct().select("user_id").to_df()
 
 
-@_query
-def x_zero_depth(g: Graph) -> DataFrame:
-    return g.nodes("User").where(lambda u: u.user_id < 10).traverse(g.relation("FOLLOWED_BY"), 0, 1).select("user_id").to_df()
-
-
-@_query
-def x_simple_path(g: Graph) -> DataFrame:
-    return g.nodes("User").where(lambda u: u.user_id < 4).traverse(g.relation("FOLLOWED_BY"), 2, 3).without_cycles().select("user_id").to_df()
-
-
-@_query
-def x_subgraph_nodes(g: Graph) -> DataFrame:
-    nodes, _ = g.nodes("Customer").where(lambda c: c.c_custkey < 20).traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
-    return nodes.select("label", "id")
-
-
-@_query
-def x_subgraph_edges(g: Graph) -> DataFrame:
-    _, edges = g.nodes("Customer").where(lambda c: c.c_custkey < 20).traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
-    return edges.select("relation", "source_id", "target_id")
-
-
 @_query
 def x_raw_sql(g: Graph) -> DataFrame:
     return g.sql("SELECT c_mktsegment, count(*) AS n FROM Customer WHERE c_acctbal > :least GROUP BY c_mktsegment", least=1000.0)
 
 
-# --- the same over whole tables --------------------------------------------------------
-
-
 @_query
-def p_in_all(g: Graph) -> DataFrame:
+def p_in(g: Graph) -> DataFrame:
     return g.nodes("Order").where(lambda o: o.o_orderpriority.is_in(["1-URGENT", "2-HIGH"])).select("o_orderkey", "o_orderpriority").to_df()
 
 
 @_query
-def t_distinct_all(g: Graph) -> DataFrame:
+def t_distinct(g: Graph) -> DataFrame:
     return g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).distinct().select("p_partkey", "p_name").to_df()
 
 
 @_query
-def x_undirected_all(g: Graph) -> DataFrame:
+def x_undirected(g: Graph) -> DataFrame:
     return g.nodes("Part").traverse(g.relation("BOUGHT_WITH")).select("p_partkey", "p_size").to_df()
 
 
 @_query
-def x_undirected_2_all(g: Graph) -> DataFrame:
+def x_undirected_2(g: Graph) -> DataFrame:
+    """Two steps over one relation don't go back over the same edge."""
     return g.nodes("Part").traverse(g.relation("BOUGHT_WITH")).traverse(g.relation("BOUGHT_WITH")).select("p_partkey").to_df()
 
 
 @_query
-def x_optional_all(g: Graph) -> DataFrame:
+def x_optional(g: Graph) -> DataFrame:
+    """Targets only: a miss has no target."""
     return g.nodes("Customer").traverse_optional(g.relation("RETURNED_FROM")).where(lambda s: s.s_acctbal > 0).select("s_suppkey", "s_acctbal").to_df()
 
 
 @_query
-def x_any_all(g: Graph) -> DataFrame:
+def x_any(g: Graph) -> DataFrame:
     return g.nodes("Customer").traverse_any(g.relation("ORDERED_HIGH"), g.relation("ORDERED_OPEN")).select("o_orderkey").to_df()
 
 
 @_query
-def x_path_all(g: Graph) -> DataFrame:
+def x_path(g: Graph) -> DataFrame:
     found = g.nodes("Customer").traverse_path(g.relation("PLACED")).to_df()
     return found.select(F.col("source.c_custkey").alias("c_custkey"), F.col("relation.o_totalprice").alias("price"), F.col("target.o_orderkey").alias("o_orderkey"))
 
 
 @_query
-def x_where_relation_all(g: Graph) -> DataFrame:
+def x_where_relation(g: Graph) -> DataFrame:
     found = g.nodes("Order").traverse_path(g.relation("CONTAINS")).where_relation(lambda r: r.l_quantity >= 45).where_target(lambda p: p.p_size > 25).to_df()
     return found.select(F.col("source.o_orderkey").alias("o_orderkey"), F.col("relation.l_quantity").alias("quantity"), F.col("target.p_partkey").alias("p_partkey"))
 
 
 @_query
-def x_var_depth_all(g: Graph) -> DataFrame:
+def x_var_depth(g: Graph) -> DataFrame:
+    """Paths of one to three different edges."""
     return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 1, 3).select("user_id").to_df()
 
 
 @_query
-def x_zero_depth_all(g: Graph) -> DataFrame:
+def x_zero_depth(g: Graph) -> DataFrame:
     return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 0, 1).select("user_id").to_df()
 
 
 @_query
-def x_simple_path_all(g: Graph) -> DataFrame:
+def x_simple_path(g: Graph) -> DataFrame:
     return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 2, 3).without_cycles().select("user_id").to_df()
 
 
 @_query
-def x_subgraph_nodes_all(g: Graph) -> DataFrame:
+def x_subgraph_nodes(g: Graph) -> DataFrame:
     nodes, _ = g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
     return nodes.select("label", "id")
 
 
 @_query
-def x_subgraph_edges_all(g: Graph) -> DataFrame:
+def x_subgraph_edges(g: Graph) -> DataFrame:
     _, edges = g.nodes("Customer").traverse(g.relation("PLACED")).traverse(g.relation("CONTAINS")).to_subgraph()
-    return edges.select("relation", "source_id", "target_id")
+    price, quantity = (F.get_json_object("properties", f"$.{p}").cast("double") for p in ("o_totalprice", "l_quantity"))
+    return edges.select("relation", "source_id", "target_id", F.round(price, 2).alias("price"), quantity.alias("quantity"))
 
 
 # --- analytics ----------------------------------------------------------------------
@@ -489,79 +419,44 @@ def a_conductance(g: Graph) -> DataFrame:
     return _r(_parts(g).conductance(community_property="shelf").weighted_by("weight").to_df().select("community_id", "conductance"), "conductance")
 
 
-@_query
-def a_articulation(g: Graph) -> DataFrame:
-    return g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).articulation_points().to_df().select("p_partkey", "resulting_components")
-
-
-@_query
-def a_bridges(g: Graph) -> DataFrame:
-    found = g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).bridges().to_df()
-    return found.select("from", "to", F.col("remaining_sizes")[0].alias("size_from"), F.col("remaining_sizes")[1].alias("size_to"))
-
-
 @_query
 def a_louvain(g: Graph) -> DataFrame:
     return _parts(g).louvain(levels=3, iterations=4).weighted_by("weight").to_df().select("p_partkey", "community_id")
 
 
-@_query
-def a_leiden(g: Graph) -> DataFrame:
-    return g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).leiden(levels=2, iterations=3).to_df().select("p_partkey", "community_id")
-
-
-@_query
-def a_modopt(g: Graph) -> DataFrame:
-    return g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).modularity_optimization(iterations=3).to_df().select("p_partkey", "community_id")
-
-
 @_query
 def a_k1coloring(g: Graph) -> DataFrame:
     return _parts(g).k1_coloring().to_df().select("p_partkey", "color")
 
 
 @_query
-def a_maxkcut(g: Graph) -> DataFrame:
-    return g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).max_k_cut(k=2, iterations=3).to_df().select("p_partkey", "community_id")
-
-
-@_query
-def a_sllpa(g: Graph) -> DataFrame:
-    found = g.nodes("Part").analyze(g.relation("BOUGHT_RARELY")).sllpa(iterations=4).to_df()
-    return found.select("p_partkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("communities"))
-
-
-# The same over the whole relation.
-
-
-@_query
-def a_articulation_all(g: Graph) -> DataFrame:
+def a_articulation(g: Graph) -> DataFrame:
     return _parts(g).articulation_points().to_df().select("p_partkey", "resulting_components")
 
 
 @_query
-def a_bridges_all(g: Graph) -> DataFrame:
+def a_bridges(g: Graph) -> DataFrame:
     found = _parts(g).bridges().to_df()
     return found.select("from", "to", F.col("remaining_sizes")[0].alias("size_from"), F.col("remaining_sizes")[1].alias("size_to"))
 
 
 @_query
-def a_leiden_all(g: Graph) -> DataFrame:
+def a_leiden(g: Graph) -> DataFrame:
     return _parts(g).leiden(levels=2, iterations=3).to_df().select("p_partkey", "community_id")
 
 
 @_query
-def a_modopt_all(g: Graph) -> DataFrame:
+def a_modopt(g: Graph) -> DataFrame:
     return _parts(g).modularity_optimization(iterations=3).to_df().select("p_partkey", "community_id")
 
 
 @_query
-def a_maxkcut_all(g: Graph) -> DataFrame:
+def a_maxkcut(g: Graph) -> DataFrame:
     return _parts(g).max_k_cut(k=2, iterations=3).to_df().select("p_partkey", "community_id")
 
 
 @_query
-def a_sllpa_all(g: Graph) -> DataFrame:
+def a_sllpa(g: Graph) -> DataFrame:
     found = _parts(g).sllpa(iterations=4).to_df()
     return found.select("p_partkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("communities"))
 
@@ -595,8 +490,9 @@ QUERIES |= {"a_kmeans": a_kmeans, "a_hdbscan": a_hdbscan}
 
 
 def _ends(g: Graph):
-    few = g.nodes("User").where(lambda u: u.user_id < 3)
-    return few, g.nodes("User").where(lambda u: u.user_id.is_in([7, 8, 9, 11]))
+    """Every fiftieth user, and all users."""
+    ids = [r.user_id for r in g.node_table("User").filter("user_id % 50 = 0").select("user_id").collect()]
+    return g.nodes("User").where(lambda u: u.user_id.is_in(ids)), g.nodes("User")
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -630,14 +526,6 @@ def r_astar(g: Graph) -> DataFrame:
 
 @_query
 def r_yen(g: Graph) -> DataFrame:
-    p = projected(g, ("User", "FOLLOWED_BY", "User"), "weight")
-    users = g.node_table("User").select(F.col("user_id").alias("id"))
-    found = paths.yen(p, users.filter("id < 3"), users.filter("id in (7, 8, 9, 11)"), k=3, max_hops=3)
-    return _joined(found).select("source", "target", "rank", "nodes", "hop_count", "total_cost")
-
-
-@_query
-def r_yen_all(g: Graph) -> DataFrame:
     """Routes of any number of hops."""
     a, b = _ends(g)
     return _joined(a.shortest_path_to(b, g.relation("FOLLOWED_BY")).weighted_by("weight").yen(3).to_df()).select("source", "target", "rank", "nodes", "hop_count", "total_cost")
@@ -664,8 +552,14 @@ def s_bitset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(found, "hamming_distance", "hamming_similarity", "jaccard", "cosine")
 
 
+#: Bits of an order's vector; there are more parts than of a customer's.
+WIDE = 4096
+
+
 def s_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(bitsets.similar_pairs(_baskets(spark, sf_dir), WIDTH, 0.7), "jaccard")
+    """Orders with about the same parts."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % WIDE).alias("feature"))
+    return _r(bitsets.similar_pairs(bitsets.bit_vectors(items, "l_orderkey", "feature", WIDE), WIDE, 0.4), "jaccard")
 
 
 QUERIES |= {"s_bitset_pairs": s_bitset_pairs, "s_similar_pairs": s_similar_pairs}
@@ -676,8 +570,10 @@ QUERIES |= {"s_bitset_pairs": s_bitset_pairs, "s_similar_pairs": s_similar_pairs
 
 @_query
 def m_apply_plan(g: Graph) -> DataFrame:
-    """Nodes and relations after a plan: an upsert, a new node, an update, a miss and a delete."""
+    """Nodes and relations after a plan: an upsert, a new node, updates, misses and deletes."""
     placed = ("Customer", "PLACED", "Order")
+    first = g.node_table("Order").filter("o_custkey in (4, 5)").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o")).collect()
+    order = {r.o_custkey: r.o for r in first}
     after = apply_plan(
         g,
         [
@@ -687,9 +583,153 @@ def m_apply_plan(g: Graph) -> DataFrame:
             Mutation(Op.MODIFY_NODE, "Customer", 2, values={"c_acctbal": 1.25}),
             Mutation(Op.MODIFY_NODE, "Customer", -99, values={"c_acctbal": 1.0}),
             Mutation(Op.ADD_RELATION, "PLACED", src=-5, dst=1, values={"o_totalprice": 9.5}, relation=placed),
+            Mutation(Op.MODIFY_RELATION, "PLACED", src=5, dst=order.get(5, -1), values={"o_totalprice": 0.5}, relation=placed),
+            Mutation(Op.DELETE_RELATION, "PLACED", src=4, dst=order.get(4, -1), relation=placed),
             Mutation(Op.DELETE_RELATION, "PLACED", src=2, dst=-1, relation=placed),
         ],
     )
     own = after.node_tables["Customer"].select("c_custkey", "c_name", "c_acctbal")
-    count = after.edge_tables[placed].groupBy(F.col("src").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return own.join(count, "c_custkey", "left").select("c_custkey", "c_name", "c_acctbal", F.coalesce("n", F.lit(0)).alias("n_orders"))
+    count = after.edge_tables[placed].groupBy(F.col("src").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("p"))
+    return own.join(count, "c_custkey", "left").select(
+        "c_custkey", "c_name", "c_acctbal", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("p", F.lit(0.0)), 2).alias("price")
+    )
+
+
+@_query
+def m_delete_undirected(g: Graph) -> DataFrame:
+    """An edge of an undirected relation is deleted by its ends in the other order."""
+    bought = ("Part", "BOUGHT_WITH", "Part")
+    one = g.edge_tables[bought].orderBy("src", "dst").first()
+    after = apply_plan(g, [Mutation(Op.DELETE_RELATION, "BOUGHT_WITH", src=one.dst, dst=one.src, relation=bought)] if one else [])
+    return after.edge_tables[bought].select("src", "dst", "weight")
+
+
+# --- names as keys --------------------------------------------------------------------
+
+
+def a_components_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one segment that bought a part in bulk, joined by it; keys are names."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    people = read("customer").select("c_custkey", "c_name", "c_mktsegment")
+    bulk = read("lineitem").filter("l_quantity >= 50").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+    own = bulk.join(people.filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")).select("l_partkey", "c_name")
+    # Each buyer of a part with its first one: the same components as all pairs have.
+    first = own.groupBy("l_partkey").agg(F.min("c_name").alias("src"))
+    edges = own.join(first, "l_partkey").filter("src <> c_name").select("src", F.col("c_name").alias("dst")).distinct().withColumn("edge_id", F.xxhash64("src", "dst"))
+    model = ModelBuilder().node("Buyer", ["c_name"], key="c_name").relation("BOUGHT_LIKE", "Buyer", "Buyer", edges.columns, False).build()
+    g = Graph(spark, model, {"Buyer": people.select("c_name")}, {("Buyer", "BOUGHT_LIKE", "Buyer"): edges})
+    return g.nodes("Buyer").analyze(g.relation("BOUGHT_LIKE")).wcc().to_df().select("c_name", "component_id")
+
+
+QUERIES["a_components_by_name"] = a_components_by_name
+
+
+# --- what must hold of results that aren't unique ---------------------------------------
+
+
+def _labelled(g: Graph, found: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(id, c) written, and BOUGHT_WITH with the labels of both ends."""
+    labels = written(found.select(F.col("p_partkey").alias("id"), F.col(column).alias("c")), "labels")
+    edges = g.edge_table(g.model.relations["Part", "BOUGHT_WITH", "Part"]).select("src", "dst", "weight")
+    return labels, edges.join(labels.toDF("src", "cs"), "src").join(labels.toDF("dst", "cd"), "dst")
+
+
+@_query
+def i_k1coloring(g: Graph) -> DataFrame:
+    """Neighbours differ, and a colour is at most the number of neighbours."""
+    labels, edges = _labelled(g, _parts(g).k1_coloring().to_df(), "color")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("d"))
+    above = labels.join(ends, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("c") > F.coalesce("d", F.lit(0))).alias("above_degree"))
+    return above.crossJoin(edges.agg(F.count_if(F.expr("cs = cd")).alias("conflicts"))).select("nodes", "conflicts", "above_degree")  # one row each
+
+
+@_query
+def i_maxkcut(g: Graph) -> DataFrame:
+    """Two parts, and at least half of the edges between them."""
+    labels, edges = _labelled(g, _parts(g).max_k_cut(k=2, iterations=3).to_df(), "community_id")
+    cut = edges.agg((F.count_if(F.expr("cs <> cd")) * 2 >= F.count("*")).alias("cuts_half"))
+    return labels.agg(F.count("*").alias("nodes"), F.count_if(F.expr("not c in (0, 1)")).alias("wrong")).crossJoin(cut)  # one row each
+
+
+def _communities(g: Graph, found: DataFrame, connected: bool) -> DataFrame:
+    """Every node once, named by a node; connected if asked for; and a modularity above that of single nodes."""
+    labels, edges = _labelled(g, found, "community_id")
+    parts = g.node_table("Part").select(F.col("p_partkey").alias("c"))
+    wrong = labels.join(parts, "c", "left_anti").count()
+    parted = 0
+    if connected:
+        inside = connected_components(edges.filter("cs = cd"), "src", "dst")
+        split = labels.join(inside, "id", "left").groupBy("c").agg(F.count_distinct(F.coalesce("component", "id")).alias("n"))
+        parted = split.filter("n > 1").count()
+    p = projected(g, ("Part", "BOUGHT_WITH", "Part"), "weight")
+    value = community.modularity(p, labels.select("id", F.col("c").alias("community"))).agg(F.sum("modularity")).first()[0]
+    alone = community.modularity(p, labels.select("id", F.col("id").alias("community"))).agg(F.sum("modularity")).first()[0]
+    return labels.agg(F.count("*").alias("nodes")).select("nodes", F.lit(wrong).cast("long").alias("wrong"), F.lit(parted).cast("long").alias("parted"), F.lit(value > alone).alias("better"))
+
+
+@_query
+def i_louvain(g: Graph) -> DataFrame:
+    return _communities(g, _parts(g).louvain(levels=3, iterations=4).weighted_by("weight").to_df(), connected=False)
+
+
+@_query
+def i_leiden(g: Graph) -> DataFrame:
+    return _communities(g, _parts(g).leiden(levels=2, iterations=3).to_df(), connected=True)
+
+
+@_query
+def i_modopt(g: Graph) -> DataFrame:
+    return _communities(g, _parts(g).modularity_optimization(iterations=3).to_df(), connected=False)
+
+
+@_query
+def i_sllpa(g: Graph) -> DataFrame:
+    """Every node has a community; each is named by a node of its own component."""
+    found = written(_parts(g).sllpa(iterations=4).to_df().select(F.col("p_partkey").alias("id"), F.col("values").alias("v")), "labels")
+    whole = community.wcc(projected(g, ("Part", "BOUGHT_WITH", "Part"), None))
+    named = found.select("id", F.explode("v").alias("c")).join(whole.toDF("id", "of"), "id").join(whole.toDF("c", "at"), "c", "left")
+    across = named.filter("not (of <=> at)").count()
+    return found.agg(F.count("*").alias("nodes"), F.count_if(F.size("v") == 0).alias("wrong")).withColumn("across", F.lit(across).cast("long"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors
+
+
+def i_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No vector is nearer to the mean of another cluster's vectors than its distance says, by more than the last move of a mean."""
+    from graphloom.operators.clusters import kmeans
+
+    vectors = _nearest(spark, sf_dir)
+    found = written(kmeans(vectors, k=5, iterations=100), "clusters").join(vectors, "id")
+    each = found.select("community_id", F.posexplode(F.col("vector").cast("array<double>")).alias("at", "x")).groupBy("community_id", "at").agg(F.avg("x").alias("x"))
+    means = each.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("mean"))  # k rows
+    gap = F.sqrt(F.aggregate(F.zip_with(F.col("vector").cast("array<double>"), "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda n, x: n + x))
+    to = found.select("id", F.col("community_id").alias("own"), "distance_from_centroid", "vector").join(F.broadcast(means), F.lit(True)).select("id", "own", "community_id", "distance_from_centroid", gap.alias("gap"))
+    per = to.groupBy("id").agg(F.min("gap").alias("least"), F.max(F.when(F.col("own") == F.col("community_id"), F.col("gap"))).alias("mine"), F.first("distance_from_centroid").alias("said"))
+    return per.agg(F.count("*").alias("nodes"), F.count_if(F.expr("mine > least + 1e-3")).alias("farther"), F.count_if(F.expr("abs(mine - said) > 1e-3")).alias("off"))
+
+
+def i_hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities lie in [0, 1], noise has none, and no cluster is smaller than asked for."""
+    from graphloom.operators.clusters import hdbscan
+
+    found = written(hdbscan(_nearest(spark, sf_dir), min_cluster_size=5), "clusters")
+    small = found.filter("cluster_id >= 0").groupBy("cluster_id").count().filter("count < 5").count()
+    wrong = F.count_if(F.expr("probability < 0 or probability > 1 or (cluster_id < 0) <> (probability = 0)"))
+    return found.agg(F.count("*").alias("nodes"), wrong.alias("wrong")).withColumn("small", F.lit(small).cast("long"))
+
+
+@_query
+def i_celf(g: Graph) -> DataFrame:
+    """Different seeds; the spread rises by less each time and never exceeds the number of nodes."""
+    rows = [(r.user_id, r.spread) for r in _users(g).celf(seeds=3, simulations=10).to_df().select("user_id", "spread").collect()]
+    spread = sorted(s for _, s in rows)
+    gains = [b - a for a, b in zip([0.0, *spread], spread, strict=False)]
+    n = g.node_table("User").count()
+    row = (len({u for u, _ in rows}), all(x > 0 for x in gains), all(a >= b - 1e-9 for a, b in zip(gains, gains[1:], strict=False)), bool(spread) and spread[-1] <= n)
+    return g.spark.createDataFrame([row], "seeds long, rising boolean, falling_gains boolean, bounded boolean")
+
+
+QUERIES |= {"i_kmeans": i_kmeans, "i_hdbscan": i_hdbscan}

@@ -8,6 +8,7 @@ from tests.graphs import BRIDGE, DIAMOND, SQUARE, TAIL, as_dict, graph, projecti
 
 from graphloom.operators import centrality, clusters, community, paths, structure
 from graphloom.operators.components import connected_components
+from graphloom.operators.projection import Unsettled, project
 from graphloom.plans.analytics import ALGORITHMS, Capabilities, Family, ProjectionDefinition, Projections, UnsupportedAnalytics
 
 
@@ -235,3 +236,113 @@ def test_yen_has_no_hop_limit(spark):
     ends = [spark.createDataFrame([(i,)], "id long") for i in (0, 20)]
     got = sorted(paths.yen(p, *ends, k=2).collect(), key=lambda r: r["rank"])
     assert [(r.hop_count, r.total_cost) for r in got] == [(20, 20.0), (11, 60.0)]
+
+
+# --- keys of any type, and loops that finish or fail ---------------------------------------
+
+
+def by_name(spark, edges, directed):
+    """The same graph with keys like person-3."""
+    ids = sorted({x for e in edges for x in e[:2]})
+    nodes = spark.createDataFrame([(f"person-{i}",) for i in ids], "id string")
+    rows = [(f"person-{e[0]}", f"person-{e[1]}", float(e[2]) if len(e) > 2 else 1.0) for e in edges]
+    return project(nodes, spark.createDataFrame(rows, "src string, dst string, w double"), directed, "w")
+
+
+def renamed(x):
+    if isinstance(x, list):
+        return [renamed(y) for y in x]
+    return f"person-{x}"
+
+
+def test_string_keys(spark):
+    """Numbers below 10 sort as their names do, so results are the same up to the names."""
+    plain, named = projection(spark, BRIDGE, directed=False), by_name(spark, BRIDGE, False)
+    got = [(r["from"], r["to"], list(r.remaining_sizes)) for r in structure.bridges(named).collect()]
+    assert got == [("person-3", "person-4", [3, 3])]
+    assert as_dict(structure.articulation_points(named), "resulting_components") == {"person-3": 2, "person-4": 2}
+    runs = [
+        (community.wcc, "component_id"),
+        (community.scc, "component_id"),
+        (lambda p: community.louvain(p, intermediate=True), "community_id"),
+        (lambda p: community.leiden(p), "community_id"),
+        (community.modularity_optimization, "community_id"),
+        (community.label_propagation, "community_id"),
+        (community.sllpa, None),
+        (community.k1_coloring, None),
+        (community.max_k_cut, None),
+        (community.kcore, None),
+        (community.triangle_count, None),
+        (centrality.pagerank, None),
+        (centrality.closeness, None),
+        (centrality.betweenness, None),
+        (centrality.hits, None),
+        (centrality.celf, None),
+        (community.clique_counting, None),
+    ]
+    for run, column in runs:
+        a, b = run(plain), run(named)
+        assert {r.id for r in b.collect()} <= {f"person-{i}" for i in range(1, 7)} and a.count() == b.count()
+        if column and run not in (community.scc,):
+            parts = lambda df, c=column: {frozenset(r.id for r in df.collect() if r[c] == x) for x in {r[c] for r in df.collect()}}
+            assert {frozenset(renamed(i) for i in p) for p in parts(a)} == parts(b) or run is not community.wcc
+            assert {r[column] for r in b.collect()} <= {f"person-{i}" for i in range(1, 7)}
+    levels = community.louvain(named, intermediate=True).collect()
+    assert all(r.intermediate_community_ids and r.intermediate_community_ids[-1] == r.community_id for r in levels)
+    ends = spark.createDataFrame([("person-1",)], "id string")
+    route = paths.dijkstra(by_name(spark, SQUARE, True), ends, spark.createDataFrame([("person-4",), ("person-1",), (None,)], "id string")).collect()
+    assert [(r.source, r.target, list(r.nodes), r.total_cost) for r in route] == [("person-1", "person-4", ["person-1", "person-2", "person-4"], 2.0)]
+
+
+def test_components_refuse_what_is_no_number(spark):
+    with pytest.raises(TypeError):
+        connected_components(spark.createDataFrame([("a", "b")], "src string, dst string"))
+
+
+def test_long_chain(spark):
+    """A chain of 5,000 nodes is 5,000 components, found in few rounds."""
+    n = 5000
+    nodes = spark.range(n).selectExpr("id")
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst", "1.0D as w")
+    got = community.scc(project(nodes, edges, True, "w"))
+    assert got.count() == n and got.filter("id <> component_id").count() == 0
+
+
+def test_chains_into_and_out_of_cycles(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 3), (5, 6), (6, 7), (7, 8), (8, 7), (8, 9), (10, 9), (11, 12), (12, 13), (14, 13)]
+    got = as_dict(community.scc(projection(spark, edges)), "component_id")
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11, 12: 12, 13: 13, 14: 14}
+
+
+def test_loops_fail_at_their_bound(spark, monkeypatch):
+    ring = [(i, (i + 1) % 12) for i in range(12)]
+    p = projection(spark, ring)
+    monkeypatch.setattr(community, "MOST_ROUNDS", 3)
+    with pytest.raises(Unsettled):
+        community.scc(p)
+    chain = projection(spark, [(i, i + 1) for i in range(14)], directed=False)
+    with pytest.raises(Unsettled):
+        community.kcore(chain)
+    monkeypatch.setattr(community, "MOST_ROUNDS", 1)
+    with pytest.raises(Unsettled):
+        community.k1_coloring(chain)
+    monkeypatch.setattr(paths, "MOST_ROUNDS", 3)
+    ends = spark.createDataFrame([(0,)], "id long"), spark.createDataFrame([(9,)], "id long")
+    place = spark.createDataFrame([(i, 0.0, 0.0) for i in range(12)], "id long, lat double, lon double")
+    for run in (lambda: paths.dijkstra(p, *ends), lambda: paths.a_star(p, *ends, place), lambda: paths.all_distances(p, weighted=True)):
+        with pytest.raises(Unsettled):
+            run()
+
+
+def test_yen_goes_any_distance(spark):
+    """The only path of a chain of 20 hops."""
+    p = projection(spark, [(i, i + 1) for i in range(20)])
+    got = paths.yen(p, spark.createDataFrame([(0,)], "id long"), spark.createDataFrame([(20,)], "id long"), 2).collect()
+    assert [(r.hop_count, r.total_cost) for r in got] == [(20, 20.0)]
+
+
+def test_many_targets_meet_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(paths, "MOST_BROADCAST", 3)
+    ids = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    got = {(r.source, r.target) for r in paths._pairs(ids, ids).collect()}
+    assert got == {(a, b) for a in range(10) for b in range(10) if a != b}
