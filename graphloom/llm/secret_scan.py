@@ -15,8 +15,7 @@ holds a bounded number of bytes, and a lost task rebuilds only its own.
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as sre_parser
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +28,14 @@ from pyspark.sql import functions as F
 from graphloom.llm._io import sha256_text, ship, span_text, tidy
 from graphloom.llm._text import LOWER, slices, utf8
 
+# The standard library's own parser of expressions; a test holds its trees.
+if sys.version_info >= (3, 11):
+    import re._constants as sre
+    import re._parser as sre_parser
+else:
+    import sre_constants as sre
+    import sre_parse as sre_parser
+
 # --- queries -----------------------------------------------------------------
 
 ALL = ("all",)
