@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, near_dup, packing, pii, toxicity
 from graphloom.llm._io import table
-from graphloom.plans.lineage import written
+from graphloom.plans.lineage import drop_written, written
 
 #: Documents whose toxicity score is at least this go.
 REJECT_FROM = 0.5
@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  A stage's table goes when the next one is written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            drop_written(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
