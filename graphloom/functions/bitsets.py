@@ -108,9 +108,10 @@ def similar_pairs(vectors: DataFrame, width: int, least_jaccard: float) -> DataF
         raise ValueError("the least similarity lies in (0, 1]")
     t = F.lit(least_jaccard)
     kinds = vectors.groupBy("bits", "n_bits").agg(F.min("id").alias("kind"))
-    numbers = F.sequence(F.lit(0), F.lit(width - 1))
-    own = kinds.withColumn("on", F.filter(numbers, lambda i: F.getbit(F.element_at("bits", (F.floor(i / 64) + 1).cast("int")), F.pmod(i, F.lit(64)).cast("int")) == 1))
-    bits = own.select("kind", "n_bits", F.explode("on").alias("bit"))
+    # Only words with a bit are looked into.
+    words = kinds.select("kind", "n_bits", F.posexplode("bits").alias("place", "word")).filter("word <> 0")
+    inside = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("word", i.cast("int")) == 1)
+    bits = words.select("kind", "n_bits", "place", F.explode(inside).alias("bit")).select("kind", "n_bits", (F.col("place") * 64 + F.col("bit")).alias("bit"))
     # The rank of a bit, rarest first: width rows at most.
     often = bits.groupBy("bit").agg(F.count("*").alias("often"))
     rank = often.select("bit", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("often", "bit")).alias("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.paths import all_distances
 from graphloom.operators.projection import Projected, loop, written
+from graphloom.plans.lineage import scratch
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 20, 1e-7
 
@@ -112,18 +114,43 @@ def hits(p: Projected, iterations: int = ITERATIONS) -> DataFrame:
     return scores.withColumn("values", F.create_map(F.lit("auth"), "auth", F.lit("hub"), "hub"))
 
 
+#: Sources whose distances to all nodes are held at once, about.
+SOURCES = 20_000
+
+
+def _batches(p: Projected, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``run`` for all nodes as sources, so many at a time: distances are a row for each source and node."""
+    parts = -(-p.nodes.count() // SOURCES)
+    if parts <= 1:
+        return run(p.nodes)
+    out = []
+    for k in range(parts):
+        own = p.nodes.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
+        with scratch(p.spark) as kept:
+            out.append(kept(run(own), "batch"))
+    return reduce(DataFrame.union, out)
+
+
 def closeness(p: Projected, weighted: bool = False) -> DataFrame:
     """id, score: nodes reached / sum of the distances to them; 0 if none is."""
-    far = all_distances(p, weighted=weighted).filter("id <> source")
-    own = far.groupBy(F.col("source").alias("id")).agg((F.count("*") / F.sum("dist")).alias("score"))
+
+    def run(sources: DataFrame) -> DataFrame:
+        far = all_distances(p, weighted=weighted, sources=sources).filter("id <> source")
+        return far.groupBy(F.col("source").alias("id")).agg((F.count("*") / F.sum("dist")).alias("score"))
+
+    own = _batches(p, run)
     return p.nodes.join(own, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def harmonic(p: Projected) -> DataFrame:
     """id, score: sum of 1 / distance to every node reached, over the number of other nodes."""
     n = p.nodes.count()
-    far = all_distances(p).filter("id <> source")
-    own = far.groupBy(F.col("source").alias("id")).agg(F.sum(1.0 / F.col("dist")).alias("total"))
+
+    def run(sources: DataFrame) -> DataFrame:
+        far = all_distances(p, sources=sources).filter("id <> source")
+        return far.groupBy(F.col("source").alias("id")).agg(F.sum(1.0 / F.col("dist")).alias("total"))
+
+    own = _batches(p, run)
     return p.nodes.join(own, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) / max(n - 1, 1)).alias("score"))
 
 
@@ -134,6 +161,16 @@ def betweenness(p: Projected, weighted: bool = False, sources: DataFrame | None
     forward and dependencies back along these arcs, by number of hops, until
     none is left.  Undirected pairs are counted once.
     """
+    if sources is None:
+        own = _batches(p, lambda some: _dependencies(p, weighted, some)).groupBy("id").agg(F.sum("score").alias("score"))
+    else:
+        own = _dependencies(p, weighted, sources)
+    half = 1.0 if p.directed else 0.5
+    return p.nodes.join(own, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * half).alias("score"))
+
+
+def _dependencies(p: Projected, weighted: bool, sources: DataFrame) -> DataFrame:
+    """id, score: what sources depend on a node for, summed."""
     dist = written(all_distances(p, weighted=weighted, sources=sources), "dist")
     arcs = p.arcs.filter("src <> dst")
     step = F.col("w") if weighted else F.lit(1.0)
@@ -171,9 +208,7 @@ def betweenness(p: Projected, weighted: bool = False, sources: DataFrame | None
 
     first = shares.groupBy("source", F.col("u").alias("id")).agg(F.sum("share").alias("x"))
     depends = spread(written(first, "layer"), backward)
-    own = depends.filter("id <> source").groupBy("id").agg(F.sum("x").alias("score"))
-    half = 1.0 if p.directed else 0.5
-    return p.nodes.join(own, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * half).alias("score"))
+    return depends.filter("id <> source").groupBy("id").agg(F.sum("x").alias("score"))
 
 
 def celf(p: Projected, seeds: int = 3, probability: float = 0.1, simulations: int = 20, seed: int = 42, weighted: bool = False) -> DataFrame:

@@ -1,11 +1,11 @@
 """Bridges and articulation points by joins alone.
 
 A breadth-first tree is grown from the least node of each component.  With
-preorder numbers and subtree sizes - both found level by level - two tree arcs
-lie on a common cycle exactly if they are joined by the rules of Tarjan and
-Vishkin, so the blocks of the graph are the components of a graph over tree
-arcs.  No component is ever in one task; the number of rounds is the depth of
-the trees.
+preorder numbers and subtree sizes - found by doubling along a tour of the
+tree - two tree arcs lie on a common cycle exactly if they are joined by the
+rules of Tarjan and Vishkin, so the blocks of the graph are the components of a
+graph over tree arcs.  No component is ever in one task; the trees take as many
+rounds as they are deep, all else the logarithm of their size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from graphloom.operators.projection import Projected, numbered, written
 
 @dataclass(frozen=True)
 class _Tree:
-    """nodes: id, parent (null at a root), root, depth, pre, size.  blocks: id of a tree
+    """nodes: id, parent (null at a root), root, pre, size.  blocks: id of a tree
     arc's lower end, block.  pairs: src < dst."""
 
     nodes: DataFrame
@@ -32,60 +32,80 @@ class _Tree:
 
 
 def _tree(p: Projected) -> DataFrame:
+    """id, parent (null at a root), root: breadth-first trees from the least node of each component."""
     arcs = written(p.both_ways().select("src", "dst"), "arcs")
-    roots = wcc(p).filter("id = component_id").select("id", F.lit(None).cast("bigint").alias("parent"), F.col("id").alias("root"), F.lit(0).alias("depth"))
-    done = front = written(roots, "tree")
-    depth = 0
+    roots = wcc(p).filter("id = component_id").select("id", F.lit(None).cast("bigint").alias("parent"), F.col("id").alias("root"))
+    front = written(roots, "front")
+    levels = [front]
     while True:
-        depth += 1
         ahead = front.join(arcs, front.id == arcs.src).groupBy(F.col("dst").alias("id"), "root").agg(F.min("src").alias("parent"))
-        front = written(ahead.join(done.select("id"), "id", "left_anti").select("id", "parent", "root", F.lit(depth).alias("depth")), "front")
+        # A neighbour of a level is in it, in the one before or in the next.
+        known = reduce(DataFrame.union, levels[-2:]).select("id")
+        front = written(ahead.join(known, "id", "left_anti").select("id", "parent", "root"), "front")
         if front.isEmpty():
-            return done
-        done = written(done.union(front), "tree")
+            return written(reduce(DataFrame.union, levels), "tree")
+        levels.append(front)
 
 
-def _up(tree: DataFrame, own: DataFrame, deepest: int, merge) -> DataFrame:
-    """Values of subtrees: a node's own value merged with its children's, from the leaves up.
+def _ranked(tree: DataFrame) -> DataFrame:
+    """id, parent, root, pre, size: numbers in preorder from 0 in each tree, and sizes of subtrees.
 
-    ``own`` has id and value columns; ``merge`` gives the aggregates of those.
+    A tour goes down to a node and up from it again.  How many nodes it still
+    goes down to is found by doubling, in rounds that grow as the logarithm of
+    the tour's length, however deep the tree.
     """
-    columns = [c for c in own.columns if c != "id"]
-    out = []
-    below = None
-    for d in range(deepest, -1, -1):
-        here = tree.filter(F.col("depth") == d).join(own, "id").select("id", "parent", *columns)
-        if below is not None:
-            sent = below.select(F.col("parent").alias("id"), F.lit(None).cast("bigint").alias("parent"), *columns).filter("id is not null")
-            here = here.union(sent).groupBy("id").agg(F.max("parent").alias("parent"), *merge)
-        below = written(here, "up")
-        out.append(below.select("id", *columns))
-    return written(reduce(DataFrame.union, out), "subtrees")
+    beside = Window.partitionBy("parent").orderBy("id")
+    sibling = tree.filter("parent is not null").select("id", F.lead("id").over(beside).alias("sibling"))
+    child = tree.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.min("id").alias("child"))
+    node = tree.select("id", "parent").join(sibling, "id", "left").join(child, "id", "left")
+    # (id, up) is a step of the tour; (next, then_up) the step after it.
+    down = node.select("id", F.lit(False).alias("up"), F.coalesce("child", "id").alias("next"), F.col("child").isNull().alias("then_up"), F.lit(1).cast("long").alias("left"))
+    up = node.select("id", F.lit(True).alias("up"), F.coalesce("sibling", "parent").alias("next"), F.col("sibling").isNull().alias("then_up"), F.lit(0).cast("long").alias("left"))
+    tour = written(down.union(up), "tour")
+    while not tour.filter("next is not null").isEmpty():
+        after = tour.select(F.col("id").alias("at"), F.col("up").alias("at_up"), F.col("next").alias("further"), F.col("then_up").alias("further_up"), F.col("left").alias("more"))
+        doubled = tour.join(after, (F.col("next") == F.col("at")) & (F.col("then_up") == F.col("at_up")), "left")
+        tour = written(
+            doubled.select("id", "up", F.col("further").alias("next"), F.col("further_up").alias("then_up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "tour"
+        )
+    both = tour.groupBy("id").agg(F.max(F.when(~F.col("up"), F.col("left"))).alias("down"), F.max(F.when(F.col("up"), F.col("left"))).alias("up"))
+    own = tree.join(both, "id")
+    total = own.filter("parent is null").select("root", F.col("down").alias("total"))
+    return written(own.join(total, "root").select("id", "parent", "root", (F.col("total") - F.col("down")).alias("pre"), (F.col("down") - F.col("up")).alias("size")), "numbered")
+
+
+def _spans(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """id, low, high: the least and greatest of a value pair over a node's subtree, which is a run of preorder numbers.
+
+    Runs of 1, 2, 4, ... numbers are found by doubling; a subtree is two of them that may overlap.
+    """
+    k = F.floor(F.log2("size") + 1e-9).cast("int")
+    asked = written(nodes.select("id", "root", "pre", k.alias("k"), "size"), "asked")
+    most = asked.agg(F.max("k")).first()[0]
+    runs = written(nodes.join(own, "id").select("root", "pre", "low", "high"), "runs")
+    found = []
+    for level in range((most or 0) + 1):
+        wide = 1 << level
+        here = asked.filter(F.col("k") == level).select("id", "root", "pre", (F.col("pre") + F.col("size") - wide).alias("last"))
+        first = runs.select(F.col("root").alias("r1"), F.col("pre").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+        second = runs.select(F.col("root").alias("r2"), F.col("pre").alias("p2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+        both = here.join(first, (F.col("root") == F.col("r1")) & (F.col("pre") == F.col("p1"))).join(second, (F.col("root") == F.col("r2")) & (F.col("last") == F.col("p2")))
+        found.append(both.select("id", F.least("l1", "l2").alias("low"), F.greatest("h1", "h2").alias("high")))
+        if level < (most or 0):
+            after = runs.select(F.col("root").alias("r"), (F.col("pre") - wide).alias("q"), F.col("low").alias("l"), F.col("high").alias("h"))
+            runs = written(
+                runs.join(after, (F.col("root") == F.col("r")) & (F.col("pre") == F.col("q"))).select("root", "pre", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")), "runs"
+            )
+    return written(reduce(DataFrame.union, found), "spans")
 
 
 def _numbered(p: Projected) -> _Tree:
-    tree = _tree(p)
-    deepest = tree.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        empty = p.spark.createDataFrame([], "id long, block long")
-        return _Tree(tree.withColumn("pre", F.lit(0)).withColumn("size", F.lit(0)), empty, p.pairs())
-    sizes = _up(tree, tree.select("id", F.lit(1).cast("long").alias("size")), deepest, [F.sum("size").alias("size")])
-    sized = written(tree.join(sizes, "id"), "sized")
-    # A child's number: its parent's, one, and the sizes of the children before it.
-    before = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    shift = written(sized.filter("parent is not null").withColumn("shift", F.coalesce(F.sum("size").over(before), F.lit(0)) + 1), "shift")
-    level = written(sized.filter("depth = 0").select("id", F.lit(0).cast("long").alias("pre")), "pre")
-    out = [level]
-    for d in range(1, deepest + 1):
-        own = shift.filter(F.col("depth") == d)
-        level = written(own.join(level.toDF("parent", "at"), "parent").select("id", (F.col("at") + F.col("shift")).alias("pre")), "pre")
-        out.append(level)
-    nodes = written(sized.join(reduce(DataFrame.union, out), "id"), "numbered")
+    nodes = _ranked(_tree(p))
     pairs = written(p.pairs().select("src", "dst"), "pairs")
-    return _Tree(nodes, _blocks(nodes, pairs, deepest), pairs)
+    return _Tree(nodes, _blocks(nodes, pairs), pairs)
 
 
-def _blocks(nodes: DataFrame, pairs: DataFrame, deepest: int) -> DataFrame:
+def _blocks(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     n = nodes.select("id", "parent", "pre", "size")
     ends = pairs.join(n.toDF("src", "ps", "pre_s", "size_s"), "src").join(n.toDF("dst", "pd", "pre_d", "size_d"), "dst")
     extra = written(ends.filter("not (ps <=> dst or pd <=> src)"), "extra")
@@ -94,7 +114,7 @@ def _blocks(nodes: DataFrame, pairs: DataFrame, deepest: int) -> DataFrame:
     own = nodes.join(reach.groupBy("id").agg(F.min("far").alias("a"), F.max("far").alias("b")), "id", "left").select(
         "id", F.least("pre", F.coalesce("a", "pre")).alias("low"), F.greatest("pre", F.coalesce("b", "pre")).alias("high")
     )
-    span = _up(nodes.select("id", "parent", "depth"), own, deepest, [F.min("low").alias("low"), F.max("high").alias("high")])
+    span = _spans(nodes, own)
     # Ends of an extra edge in different branches.
     apart = extra.filter("not (pre_d >= pre_s and pre_d < pre_s + size_s) and not (pre_s >= pre_d and pre_s < pre_d + size_d)").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     # A tree arc and the one above it, if something below leaves the upper end's subtree.

@@ -346,3 +346,14 @@ def test_many_targets_meet_in_buckets(spark, monkeypatch):
     ids = spark.createDataFrame([(i,) for i in range(10)], "id long")
     got = {(r.source, r.target) for r in paths._pairs(ids, ids).collect()}
     assert got == {(a, b) for a in range(10) for b in range(10) if a != b}
+
+
+def test_sources_in_batches(spark, monkeypatch):
+    draw = random.Random(11)
+    edges = [(draw.randrange(12), draw.randrange(12), float(draw.randint(1, 4))) for _ in range(30)]
+    p = projection(spark, edges)
+    runs = [centrality.closeness, centrality.harmonic, centrality.betweenness, lambda q: centrality.closeness(q, weighted=True)]
+    whole = [as_dict(run(p), "score") for run in runs]
+    monkeypatch.setattr(centrality, "SOURCES", 5)
+    for run, want in zip(runs, whole, strict=True):
+        assert as_dict(run(p), "score") == pytest.approx(want)
