@@ -230,7 +230,7 @@ def x_optional_required(g: Graph) -> DataFrame:
 
 @_query
 def x_var_depth_distinct(g: Graph) -> DataFrame:
-    return g.nodes("User").where(lambda u: u.user_id == 5).traverse(g.relation("FOLLOWED_BY"), 1, 4).distinct().select("user_id").to_df()
+    return g.nodes("User").traverse(g.relation("FOLLOWED_BY"), 1, 4).distinct().select("user_id").to_df()
 
 
 @_query
@@ -335,7 +335,7 @@ def a_pagerank(g: Graph) -> DataFrame:
 @_query
 def a_pagerank_top(g: Graph) -> DataFrame:
     """The predicate filters afterwards, then the ten best are taken."""
-    found = g.nodes("User").where(lambda u: u.user_id >= 50).analyze(g.relation("FOLLOWED_BY")).pagerank(tolerance=None, iterations=10).weighted_by("weight").top(10)
+    found = g.nodes("User").where(lambda u: u.lat > -70).analyze(g.relation("FOLLOWED_BY")).pagerank(tolerance=None, iterations=10).weighted_by("weight").top(10)
     return _r(found.to_df().select("user_id", "score"), "score")
 
 
