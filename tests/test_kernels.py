@@ -56,6 +56,14 @@ def test_closeness_makes_no_row_for_a_pair(spark, monkeypatch):
     assert as_dict(centrality.closeness(p), "score") == pytest.approx({f"k{s:02}": v for s, v in want.items()})
 
 
+def test_harmonic_makes_no_row_for_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "all_distances", refuse)
+    edges = chain(seed=8)
+    far = hops_from(edges)
+    want = {s: sum(1 / x for x in d.values() if x) / len(far) for s, d in far.items()}
+    assert as_dict(centrality.harmonic(projection(spark, edges, extra_nodes=[99])), "score") == pytest.approx(want | {99: 0.0})
+
+
 @pytest.mark.parametrize("most", [1, 7, 64, 65, 1000])
 def test_hops_in_batches_of_any_size(most):
     edges = chain(parts=6, size=30, arcs=70)
