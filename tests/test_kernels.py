@@ -83,3 +83,13 @@ def test_hops_in_batches_of_any_size(most):
             if d:
                 want[s, d] = want.get((s, d), 0) + 1
     assert found == want
+
+
+@pytest.mark.parametrize("probability", [0.3, 1.0])
+def test_celf_counts_what_joins_count_without_a_row_for_a_pair(spark, monkeypatch, probability):
+    p = projection(spark, chain(parts=3, size=10), extra_nodes=[99])
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "fits", lambda _: False)
+        want = [tuple(r) for r in centrality.celf(p, seeds=4, probability=probability, simulations=5).collect()]
+    monkeypatch.setattr(centrality, "_celf_by_joins", refuse)
+    assert [tuple(r) for r in centrality.celf(p, seeds=4, probability=probability, simulations=5).collect()] == want
