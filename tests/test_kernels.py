@@ -64,6 +64,15 @@ def test_harmonic_makes_no_row_for_a_pair(spark, monkeypatch):
     assert as_dict(centrality.harmonic(projection(spark, edges, extra_nodes=[99])), "score") == pytest.approx(want | {99: 0.0})
 
 
+def test_betweenness_makes_no_row_for_a_pair(spark, monkeypatch):
+    edges = chain(seed=4)
+    p = projection(spark, edges, extra_nodes=[99])
+    want = as_dict(centrality.betweenness(p, sources=p.nodes), "score")
+    monkeypatch.setattr(centrality, "_dependencies", refuse)
+    assert as_dict(centrality.betweenness(p), "score") == pytest.approx(want)
+    assert max(want.values()) > 100
+
+
 @pytest.mark.parametrize("most", [1, 7, 64, 65, 1000])
 def test_hops_in_batches_of_any_size(most):
     edges = chain(parts=6, size=30, arcs=70)
