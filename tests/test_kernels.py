@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tests.graphs import as_dict, projection
 
-from graphloom.operators import centrality, kernels
+from graphloom.operators import centrality, kernels, paths
 
 
 def chain(parts=4, size=12, arcs=30, seed=3):
@@ -102,3 +102,23 @@ def test_celf_counts_what_joins_count_without_a_row_for_a_pair(spark, monkeypatc
         want = [tuple(r) for r in centrality.celf(p, seeds=4, probability=probability, simulations=5).collect()]
     monkeypatch.setattr(centrality, "_celf_by_joins", refuse)
     assert [tuple(r) for r in centrality.celf(p, seeds=4, probability=probability, simulations=5).collect()] == want
+
+
+def ends(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id long")
+
+
+def routed(df):
+    return {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("depth", [None, 1, 3])
+def test_shortest_routes_in_tasks(spark, monkeypatch, depth):
+    p = projection(spark, chain(seed=5), extra_nodes=[99])
+    a, b = ends(spark, 0, 5, 13, 99, 1000, None), ends(spark, *range(0, 48, 2), 99, 0)
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "routable", lambda _: False)
+        want = routed(paths.shortest_routes(p, a, b, depth))
+    monkeypatch.setattr(paths, "written", refuse)
+    got = paths.shortest_routes(p, a, b, depth).collect()
+    assert routed(paths.shortest_routes(p, a, b, depth)) == want and len(got) == len(want) > 0
