@@ -122,3 +122,21 @@ def test_shortest_routes_in_tasks(spark, monkeypatch, depth):
     monkeypatch.setattr(paths, "written", refuse)
     got = paths.shortest_routes(p, a, b, depth).collect()
     assert routed(paths.shortest_routes(p, a, b, depth)) == want and len(got) == len(want) > 0
+
+
+def weighted(edges, seed=9):
+    draw = random.Random(seed)
+    return [(a, b, draw.choice([0.0, 0.5, 1.0, 1.0, 2.0])) for a, b in edges]
+
+
+def test_least_routes_in_tasks(spark, monkeypatch):
+    p = projection(spark, weighted(chain(seed=6)), extra_nodes=[99])
+    a, b = ends(spark, 0, 5, 13, 99, 1000, None), ends(spark, *range(0, 48, 2), 99, 0)
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "routable", lambda _: False)
+        want = routed(paths.dijkstra(p, a, b))
+    monkeypatch.setattr(paths, "written", refuse)
+    assert routed(paths.dijkstra(p, a, b)) == want and len(want) > 20
+    costs = paths.dijkstra(p, a, b, nodes=False)
+    assert "nodes" not in costs.columns
+    assert routed(costs) == {(s, t, h, c) for s, t, _, h, c in want}
