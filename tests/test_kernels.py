@@ -140,3 +140,30 @@ def test_least_routes_in_tasks(spark, monkeypatch):
     costs = paths.dijkstra(p, a, b, nodes=False)
     assert "nodes" not in costs.columns
     assert routed(costs) == {(s, t, h, c) for s, t, _, h, c in want}
+
+
+@pytest.mark.parametrize("targets", [range(0, 48, 2), [30, 99], [47]])
+def test_a_star_in_tasks(spark, monkeypatch, targets):
+    edges = [(a, b, 1.0 + (a * b) % 3) for a, b in chain(seed=7)]
+    p = projection(spark, edges, extra_nodes=[99])
+    # Neighbours lie within a degree or so of each other in value; node 7 has no place.
+    places = spark.createDataFrame([(i, None if i == 7 else i / 50, i / 40) for i in range(48)], "id long, lat double, lon double")
+    a, b = ends(spark, 0, 5, 13, 99), ends(spark, *targets)
+    want = routed(paths.dijkstra(p, a, b))
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "routable", lambda _: False)
+        assert routed(paths.a_star(p, a, b, places, scale=0.005)) == want
+    monkeypatch.setattr(paths, "written", refuse)
+    assert routed(paths.a_star(p, a, b, places, scale=0.005)) == want and want
+
+
+def test_a_star_leaves_out_what_lies_too_far():
+    """A dead end far away is not searched when the one target is near."""
+    g = object.__new__(kernels._Share)
+    g.ids, g.n = np.arange(6), 6  # 0 -> 1 is the target; 0 -> 2 -> 3 -> 4 -> 5 leads away
+    g.heads, g.w, g.at = np.array([1, 2, 3, 4, 5]), np.ones(5), np.array([0, 2, 2, 3, 4, 5, 5])
+    g.wanted = np.arange(6) == 1
+    g.places = np.array([[0, 0], [0, 0.01], [0, -0.01], [0, -20], [0, -40], [0, -60.0]])
+    cost, _ = kernels._least(g, 0, kernels._towards_targets(g, 0.01))
+    assert cost[1] == 1 and np.isinf(cost[4]) and np.isinf(cost[5])
+    assert np.isfinite(kernels._least(g, 0, None)[0]).all()
