@@ -167,3 +167,38 @@ def test_a_star_leaves_out_what_lies_too_far():
     cost, _ = kernels._least(g, 0, kernels._towards_targets(g, 0.01))
     assert cost[1] == 1 and np.isinf(cost[4]) and np.isinf(cost[5])
     assert np.isfinite(kernels._least(g, 0, None)[0]).all()
+
+
+@pytest.mark.parametrize(("k", "most"), [(1, 48), (3, 48), (4, 5)])
+def test_first_paths_in_tasks(spark, monkeypatch, k, most):
+    edges = weighted(chain(parts=3, size=7, arcs=14, seed=12))
+    p = projection(spark, [e for e in edges if e[2]], extra_nodes=[99])
+    a, b = ends(spark, 0, 5, 9, 99, None), ends(spark, *range(21), 99)
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "routable", lambda _: False)
+        want = routed(paths.yen(p, a, b, k))
+    monkeypatch.setattr(paths, "written", refuse)
+    monkeypatch.setattr(kernels, "MOST_WALKS", most)
+    found = paths.yen(p, a, b, k)
+    assert found.columns == ["source", "target", "rank", "nodes", "hop_count", "total_cost"]
+    got = found.collect()
+    assert routed(found) == want and len(got) == len(want) > 10
+
+
+def test_walks_beyond_the_most_are_searched_pair_by_pair():
+    edges = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0), (0, 2, 9.0), (2, 3, 1.0), (1, 3, 50.0)]
+    g = object.__new__(kernels._Share)
+    g.ids, g.n = np.arange(4), 4
+    edges = sorted(edges)
+    g.heads, g.w = np.array([e[1] for e in edges]), np.array([e[2] for e in edges])
+    g.at = np.concatenate([[0], np.cumsum(np.bincount([e[0] for e in edges], minlength=4))])
+    g.wanted = np.ones(4, dtype=bool)
+    got = {}
+    for end, rank, hop, cost, path in kernels._first_paths(g, 0, 3):
+        for row in zip(end, rank, hop, cost, path, strict=True):
+            got[int(row[0]), int(row[1])] = (int(row[2]), float(row[3]), [int(x) for x in row[4]])
+    assert got == {
+        (1, 1): (1, 1.0, [0, 1]), (1, 2): (2, 10.0, [0, 2, 1]),
+        (2, 1): (2, 2.0, [0, 1, 2]), (2, 2): (1, 9.0, [0, 2]),
+        (3, 1): (3, 3.0, [0, 1, 2, 3]), (3, 2): (2, 10.0, [0, 2, 3]), (3, 3): (2, 51.0, [0, 1, 3]),
+    }
