@@ -53,3 +53,24 @@ def test_vectors_and_pairs(spark):
     assert {(r.left, r.right) for r in bitsets.similar_pairs(v, 40, 0.5).collect()} == want
     with pytest.raises(Exception, match="outside the width"):
         bitsets.bit_vectors(rows, "id", "f", 10).collect()
+
+
+@pytest.mark.parametrize("least", [0.2, 0.4, 0.5, 0.8, 1.0])
+def test_similar_pairs_by_pairs_of_bits(spark, monkeypatch, least):
+    draw = random.Random(int(least * 10))
+    own = {i: frozenset(draw.sample(range(70), draw.choice([0, 1, 1, 2, 2, 3, 4, 5, 9]))) for i in range(120)}
+    own |= {200 + i: own[i] for i in range(20)}  # copies
+    monkeypatch.setattr(bitsets, "TOGETHER", 2)
+    table = spark.createDataFrame([(i, bitsets.pack(x, 128), len(x)) for i, x in own.items()], "id long, bits array<bigint>, n_bits long")
+    want = {}
+    for a in own:
+        for b in own:
+            if a < b:
+                j = len(own[a] & own[b]) / len(own[a] | own[b]) if own[a] | own[b] else 1.0
+                if j >= least - 1e-12:
+                    want[a, b] = j
+    found = bitsets.similar_pairs(table, 128, least)
+    # Candidates meet on pairs of bits: the plan has no join of rows on one bit of every vector.
+    assert "key" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [((r.left, r.right), r.jaccard) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
