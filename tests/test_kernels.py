@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.graphs import as_dict, projection
 
@@ -202,3 +203,95 @@ def test_walks_beyond_the_most_are_searched_pair_by_pair():
         (2, 1): (2, 2.0, [0, 1, 2]), (2, 2): (1, 9.0, [0, 2]),
         (3, 1): (3, 3.0, [0, 1, 2, 3]), (3, 2): (2, 10.0, [0, 2, 3]), (3, 3): (2, 51.0, [0, 1, 3]),
     }
+
+
+def blocks(seed, parts=5, size=9, arcs=30):
+    """Dense parts; each shares a node with an earlier one, or an arc leads to it or from it."""
+    draw = random.Random(seed)
+    out, nodes = set(), [0]
+    for _ in range(parts):
+        fresh = list(range(max(nodes) + 1, max(nodes) + 1 + draw.choice([1, 2, size])))
+        joint = draw.choice(nodes)
+        if draw.random() < 0.5:
+            own = [*fresh, joint]
+        else:
+            own, end = fresh, draw.choice(fresh)
+            out.add(draw.choice([(joint, end), (end, joint)]))
+        out |= {tuple(draw.sample(own, 2)) for _ in range(arcs if len(own) > 1 else 0)}
+        nodes += fresh
+    return sorted(out)
+
+
+def between(edges):
+    """Shares of shortest paths through each node, from counts of paths."""
+    far = hops_from(edges)
+    before = {}
+    for a, b in set(edges):
+        before.setdefault(b, []).append(a)
+    count = {}
+    for s, dist in far.items():
+        count[s, s] = 1
+        for v in sorted(dist, key=dist.get)[1:]:
+            count[s, v] = sum(count[s, u] for u in before[v] if dist.get(u) == dist[v] - 1)
+    out = dict.fromkeys(far, 0.0)
+    for s, dist in far.items():
+        for v in dist:
+            out[v] += sum(count[s, v] * count[v, t] / count[s, t] for t, d in far[v].items() if s != v != t and dist[v] + d == dist[t])
+    return out
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_searches_each_block_by_itself(spark, monkeypatch, directed):
+    edges = [(a + 500 * k, b + 500 * k) for k in range(4) for a, b in blocks(k)]
+    want = between(edges if directed else edges + [(b, a) for a, b in edges])
+    monkeypatch.setattr(centrality, "_dependencies", refuse)
+    p = projection(spark, edges, directed, extra_nodes=[9999])
+    half = 1.0 if directed else 0.5
+    assert as_dict(centrality.betweenness(p), "score") == pytest.approx({v: x * half for v, x in want.items()} | {9999: 0.0})
+    assert max(want.values()) > 20
+
+
+@pytest.mark.parametrize("together", [3, 4096])
+def test_betweenness_of_blocks_costs_no_more_than_each(monkeypatch, together):
+    """Twenty groups in a row: sources of one are not followed through the others."""
+    edges = np.array(chain(parts=20, size=30, arcs=120, seed=2))
+    moved = []
+    monkeypatch.setattr(kernels, "TOGETHER", together)
+    monkeypatch.setattr(kernels, "_sums", lambda x, rows, begin, f=kernels._sums: moved.append(len(rows) * x.shape[1]) or f(x, rows, begin))
+    dealt = kernels._blocked(pa.table({"src": edges[:, 0], "dst": edges[:, 1]}))
+    rows = dealt.to_pylist()
+    assert max(r["pairs"] for r in rows) >= 2 * 2 * 19
+    for share in range(kernels.SHARES):
+        own = [r | {"part": k, "ins": None, "outs": None} for r in rows for k in range(r["many"]) if (r["first"] + k) % kernels.SHARES == share]
+        if own:
+            schema = pa.schema([(c, pa.int64()) for c in ("src", "dst", "block", "many", "part")] + [("ins", pa.float64()), ("outs", pa.float64())])
+            kernels._within(pa.Table.from_pylist([{c: r[c] for c in schema.names} for r in own], schema))
+    # Once ahead and once back for each level, of which nodes of a batch see several.
+    assert 0 < sum(moved) < 20 * (30 * 121) * 2 * 10
+
+
+def test_betweenness_beyond_the_paths_a_number_counts(spark):
+    """1,100 diamonds in a row: 2^1100 shortest paths from end to end."""
+    k = 1100
+    edges = [e for i in range(0, 3 * k, 3) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))]
+    n = 3 * k + 1
+    want = {i: i * (n - 1 - i) if i % 3 == 0 else (i // 3 * 3 + 1) * (n - 3 - i // 3 * 3) / 2 for i in range(n)}
+    assert as_dict(centrality.betweenness(projection(spark, edges)), "score") == pytest.approx(want)
+
+
+def test_too_many_paths_within_a_block_fail():
+    """Pairs of nodes, each with arcs to both of the next pair: no node parts them, and paths double from pair to pair."""
+    k = 1200
+    edges = [(2 * i + x, 2 * i + 2 + y) for i in range(k) for x in (0, 1) for y in (0, 1)]
+    arcs = kernels.Arcs(*np.array(edges).T)
+    one = np.ones(arcs.n)
+    with pytest.raises(FloatingPointError):
+        kernels._brandes(arcs, np.array([0]), np.array([0]), np.zeros(arcs.n, dtype=np.int64), one, one, np.zeros(arcs.n))
+
+
+def test_sums_of_many_and_of_few():
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 9, (50, 3)).astype(float)
+    for sizes in ([3000, 1, 2], draw.integers(1, 30, 40), [1], [1] * 20):
+        rows, begin = draw.integers(0, 50, sum(sizes)), np.cumsum(sizes) - sizes
+        assert (kernels._sums(x, rows, begin) == np.add.reduceat(x[rows], begin, axis=0)).all()
